@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fitspark.llm.bpe import bpe_round_trip
+from fitspark.llm.common import shared_path
 from fitspark.llm.exact_dedup import exact_dedup
 from fitspark.llm.line_dedup import line_dedup
+from fitspark.llm.mixing import mix
 from fitspark.llm.simhash import simhash_groups
+from fitspark.llm.token_counts import token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,14 +29,34 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir), shingle=3).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    light, plan = mix(documents(spark, sf_dir))
+    sources = spark.createDataFrame([(s, int(n), float(t)) for s, n, t in plan.sources.itertuples(index=False, name=None)], "s string, source_size long, target double")
+    # One row for each source.
+    rows = light.join(F.broadcast(sources), F.col("mix_source").eqNullSafe(F.col("s")), "left")
+    return rows.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_copies")).cast("long").alias("taken"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """It starts with an empty cache, so that every distinct text is encoded."""
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), shared_path(spark, "token-cache"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_simhash": op3_simhash,
+    "op6_mixing": op6_mixing,
+    "op7_bpe": op7_bpe,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
