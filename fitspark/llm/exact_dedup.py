@@ -34,8 +34,10 @@ def golomb_encode(values: np.ndarray, low: int, high: int) -> tuple[bytes, int]:
     ends = np.cumsum(quotient + 1)
     unary = np.zeros(int(ends[-1]), np.uint8)
     unary[ends - 1] = 1
-    rest = ((gaps & ((1 << k) - 1))[:, None] >> np.arange(k)) & 1 if k else np.zeros((n, 0), np.uint8)
-    return np.packbits(np.concatenate([unary, rest.astype(np.uint8).ravel()])).tobytes(), k
+    rest = np.empty((n, k), np.uint8)
+    for b in range(k):  # bit by bit, to need no array of n * k integers
+        rest[:, b] = (gaps >> b) & 1
+    return np.packbits(np.concatenate([unary, rest.ravel()])).tobytes(), k
 
 
 def golomb_decode(code: bytes, n: int, k: int, low: int) -> np.ndarray:
@@ -45,8 +47,11 @@ def golomb_decode(code: bytes, n: int, k: int, low: int) -> np.ndarray:
     bits = np.unpackbits(np.frombuffer(code, np.uint8))
     ends = np.flatnonzero(bits)[:n] + 1
     quotient = np.diff(ends, prepend=0) - 1
-    rest = bits[ends[-1] : ends[-1] + n * k].reshape(n, k).astype(np.int64) @ (1 << np.arange(k, dtype=np.int64)) if k else 0
-    return np.cumsum((quotient.astype(np.int64) << k) + rest) + low
+    gaps = quotient.astype(np.int64) << k
+    rest = bits[ends[-1] : ends[-1] + n * k].reshape(n, k)
+    for b in range(k):
+        gaps |= rest[:, b].astype(np.int64) << b
+    return np.cumsum(gaps) + low
 
 
 def _send(owners: int, width: int):

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fitspark.llm import toxicity
 from fitspark.llm.bpe import bpe_round_trip
 from fitspark.llm.common import shared_path
 from fitspark.llm.exact_dedup import exact_dedup
@@ -29,6 +30,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir), shingle=3).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     light, plan = mix(documents(spark, sf_dir))
     sources = spark.createDataFrame([(s, int(n), float(t)) for s, n, t in plan.sources.itertuples(index=False, name=None)], "s string, source_size long, target double")
@@ -53,6 +61,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_simhash": op3_simhash,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_bpe": op7_bpe,
     "op8_exact_dedup": op8_exact_dedup,
