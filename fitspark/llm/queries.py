@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitspark.llm import toxicity
+from fitspark.llm import pii, secrets, toxicity
 from fitspark.llm.bpe import bpe_round_trip
 from fitspark.llm.common import shared_path
 from fitspark.llm.exact_dedup import exact_dedup
 from fitspark.llm.line_dedup import line_dedup
 from fitspark.llm.mixing import mix
+from fitspark.llm.quality import quality_scores
 from fitspark.llm.simhash import simhash_groups
 from fitspark.llm.token_counts import token_counts
 
@@ -26,10 +27,20 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).drop("uid")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secret_spans(documents(spark, sf_dir)))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir), shingle=3).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _ = quality_scores(documents(spark, sf_dir))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -58,14 +69,21 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), shared_path(spark, "token-cache"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.pii_spans(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_bpe": op7_bpe,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitspark.llm.common import small_batches, text_of, written
+from fitspark.llm.common import bitmap_of, maybe_in, small_batches, text_of, written
 from fitspark.llm.components import connected_components
 
 SHINGLE = 5
@@ -195,3 +195,24 @@ def simhash_groups(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RAD
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     node = labelled.join(least, "label").select("fp", "component_id")
     return light.join(node, "fp").select("doc_id", "fp", "component_id")
+
+
+#: The map of dropped ids has 2**DROP_BITS bits, whatever the input (4 MB).
+DROP_BITS = 25
+
+
+def near_documents(docs: DataFrame, **options) -> DataFrame:
+    """`docs` with one document of each near-duplicate group: the one with the smallest doc_id.
+
+    Returns the columns of `docs`. Documents are told apart by doc_id: rows that
+    share a doc_id stay or go together; if some of them would stay, all do. A row
+    with null doc_id stays. A bitmap of fixed size lets most rows pass without a
+    shuffle; only those it may hold are compared with the dropped ids.
+    """
+    groups = simhash_groups(docs, **options).where("doc_id is not null")
+    fate = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    dropped = written(fate.where("not stays").select(F.col("doc_id").alias("drop_id"), F.xxhash64("doc_id").alias("drop_key")), "dropped")
+    rows = docs.select(F.struct(*docs.columns).alias("near_row"), F.col("doc_id").cast("long").alias("near_id")).withColumn("near_key", F.xxhash64("near_id"))
+    marked = maybe_in(rows, "near_key", written(bitmap_of(dropped, "drop_key", DROP_BITS), "drops"), DROP_BITS, "near_maybe")
+    asked = marked.where("near_maybe").join(dropped, F.col("near_id") == F.col("drop_id"), "left_anti")
+    return marked.where("not near_maybe").select("near_row.*").union(asked.select("near_row.*"))
