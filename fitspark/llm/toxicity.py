@@ -25,6 +25,8 @@ FIT_WORDS = 8000
 CALIBRATION = 0.25
 EPOCHS = 5
 BATCH = 64
+#: Steps that the fit takes at least, however few rows there are.
+LEAST_STEPS = 250
 #: The score at which a document is rejected if its language has no threshold of its own.
 CUT = 0.3
 #: Labelled rows of each label that a language needs for a threshold of its own.
@@ -167,7 +169,8 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, seed: int = 5, epochs:
     """Fit embedding, filters and output by Adam on the logistic loss; only windows that win the pooling learn."""
     rng = np.random.default_rng(seed)
     n = FILTERS * len(WIDTHS)
-    m = Model(rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32), [rng.normal(0, 0.5 / np.sqrt(DIM * w), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS], np.zeros(n, np.float32), rng.normal(0, 0.2, n).astype(np.float32), 0.0)
+    # Small embeddings, so that words the fit has not met hardly move the pooled values.
+    m = Model(rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32), [rng.normal(0, 0.5 / np.sqrt(DIM * w), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS], np.zeros(n, np.float32), rng.normal(0, 0.2, n).astype(np.float32), 0.0)
     m.embedding[0] = 0
     dense = [*m.filters, m.bias, m.weight]
     first, second = [np.zeros_like(p) for p in dense], [np.zeros_like(p) for p in dense]
@@ -175,7 +178,8 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, seed: int = 5, epochs:
     o = [0.0, 0.0]
     step, rate = 0, 0.01
     weight_of = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
-    for epoch in range(epochs):
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(docs) // BATCH)))
+    for _ in range(epochs):
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), BATCH):
             some = order[lo : lo + BATCH]
@@ -237,7 +241,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, seed: int = 5, epochs:
             gb = float(g.sum())
             o = [0.9 * o[0] + 0.1 * gb, 0.999 * o[1] + 0.001 * gb * gb]
             m.offset -= rate * (o[0] / c1) / (np.sqrt(o[1] / c2) + 1e-8)
-        rate *= 0.8
+        rate *= 0.1 ** (1 / epochs)
     return m
 
 
