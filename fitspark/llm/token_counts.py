@@ -98,5 +98,6 @@ def token_counts(docs: DataFrame, path: str, cache: str, *, limit: int = 4096) -
     # The bitmap of misses lets a few cached digests through.
     fresh = counted.join(wanted.select("digest"), "digest", "left_semi")
     fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache, version)
+    # Written, so that both sides of the join are plain exchanges and a hot digest can be split.
+    counts = written(read_cache(spark, cache, version).join(light.select("digest").distinct(), "digest", "left_semi"), "counts")
     return light.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
