@@ -47,6 +47,7 @@ def last_rung(x: Column, rungs: list[tuple[float, float]]) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
+    """The value within bounds; null becomes the lower one."""
     return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), x))
 
 

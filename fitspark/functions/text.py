@@ -68,7 +68,8 @@ def notice_days(c: Column) -> Column:
     days = take(r"(\d{1,3})\s*days?\s*(?:notice|left|remaining)")
     mons = take(r"(\d{1,2})\s*months?\s*notice") * 30
     now = F.when(low.rlike(r"immediate(?:ly)?\s+(?:joiner|available)"), 0)
-    return F.least(F.lit(180), F.greatest(F.lit(0), F.coalesce(days, mons, now)))
+    found = F.coalesce(days, mons, now)
+    return F.when(found.isNotNull(), F.least(F.lit(180), F.greatest(F.lit(0), found)))  # greatest() would skip a null
 
 
 def score_of(c: Column) -> Column:

@@ -89,7 +89,8 @@ def _integrity() -> Column:
 
 def idle_months(ref_date: str | None) -> Column:
     day = dates.parse_date(F.nullif(F.col("last_active_date"), F.lit("")))
-    return F.coalesce(F.greatest(F.lit(0.0), dates.months(day, F.to_date(F.lit(ref_date or METHOD["ref_date"])))), F.lit(METHOD["availability"]["default_months"]))
+    idle = F.greatest(F.lit(0.0), dates.months(day, F.to_date(F.lit(ref_date or METHOD["ref_date"]))))
+    return F.when(day.isNotNull(), idle).otherwise(METHOD["availability"]["default_months"])
 
 
 def response() -> tuple[Column, Column]:

@@ -343,14 +343,14 @@ def distinct_counts(spark, d):
 
 
 @query("""
-    WITH t AS (SELECT c_custkey, c_name, sum(o_totalprice) AS total, list(DISTINCT o_orderstatus ORDER BY o_orderstatus) AS flags FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL)
-    SELECT row_number() OVER (ORDER BY total DESC, c_custkey) AS rank, c_custkey, round(total, 1) AS overall, array_to_string(flags, ', ') AS flags FROM t ORDER BY total DESC, c_custkey LIMIT 20""")
+    WITH t AS (SELECT c_custkey, c_name, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS total, list(DISTINCT o_orderstatus ORDER BY o_orderstatus) AS flags FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL)
+    SELECT row_number() OVER (ORDER BY total DESC, c_custkey) AS rank, c_custkey, CAST(round(total, 1) AS DOUBLE) AS overall, array_to_string(flags, ', ') AS flags FROM t ORDER BY total DESC, c_custkey LIMIT 20""")
 def leaderboard(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    totals = o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("overall"), F.array_sort(F.collect_set("o_orderstatus")).alias("flags"))
+    totals = o.groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("overall"), F.array_sort(F.collect_set("o_orderstatus")).alias("flags"))
     rows = totals.join(c, totals.o_custkey == c.c_custkey).select("c_custkey", "overall", "flags")
     board = ranking.leaderboard(rows, score="overall", key="c_custkey", lists={"flags": "flags"}, limit=20)
-    return board.select(F.col("rank").cast("long").alias("rank"), "c_custkey", F.round("overall", 1).alias("overall"), "flags")
+    return board.select(F.col("rank").cast("long").alias("rank"), "c_custkey", F.round("overall", 1).cast("double").alias("overall"), "flags")
 
 
 @query("SELECT r_regionkey, n_nationkey, CAST(i AS BIGINT) AS repeat FROM region, nation, range(3) t(i) WHERE r_regionkey = n_regionkey")
@@ -419,7 +419,7 @@ def point_lookup(spark, d):
 def ordered_dedup_lines(spark, d):
     lines = F.filter(F.split("text", "\n"), lambda x: text.tidy_key(x) != "")
     kept = table(spark, d, "documents").select("doc_id", arrays.distinct_by(lines, text.tidy_key).alias("kept")).where(F.size("kept") > 0)
-    return kept.select("doc_id", F.size("kept").cast("long").alias("n_lines"), F.md5(F.array_join(F.transform("kept", F.trim), "\n")).alias("digest"))
+    return kept.select("doc_id", F.size("kept").cast("long").alias("n_lines"), F.md5(F.array_join(F.transform("kept", lambda x: F.trim(x)), "\n")).alias("digest"))
 
 
 @query(r"SELECT doc_id, length(regexp_replace(text, '\s+', '', 'g')) < 20 AS nearly_empty, trim(coalesce(substr(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], 1, 80), '')) AS first_line FROM documents")

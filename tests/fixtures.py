@@ -48,7 +48,7 @@ CANDIDATES = [
             job("Engineer", "Paywell", "2023-01-01", None, 30, "Designed backend service after backend service. Led on-call for payment incidents; mentored. Docker.", True),
             job("Engineer", "Shopwell", "2020-06-01", "2022-12-01", 30, "Backend service work, backend service tests."),
         ],
-        signals(skill_assessment_scores={"service design": 85, "sql": 80}), "Engineer", "backend service, service, service",
+        signals(skill_assessment_scores={"service design": 85, "sql": 80}), "Engineer", "backend service, service",
     ),
     # One pattern of five hits, in an internal project that nobody owned: 0.4 * 0.7 * 0.85 / 5.
     candidate(
