@@ -43,13 +43,20 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/fitspark/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Rows for each file of a written table whose number of rows is known.
+FILE_ROWS = 50_000
+
+
+def written(df: DataFrame, label: str, *, rows: int | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder.
 
     It cuts lineage and survives the loss of any executor. The caller's clean-up
-    of the shared folder removes it.
+    of the shared folder removes it. `rows` is a bound of their number after a
+    shuffle: small tables then become few files, however many partitions there are.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,13 +20,13 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     """
     e = written(edges.where("a is not null and b is not null and a != b").select("a", "b").distinct(), "edges")
     chosen: list[DataFrame] = []
-    while not e.isEmpty():
+    while n := e.count():
         if len(chosen) == max_rounds:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         both = e.union(e.select("b", "a"))
         rank = lambda c: F.xxhash64(F.col(c), F.lit(len(chosen)))
         best = both.groupBy("a").agg(F.min_by("b", rank("b")).alias("b"))
-        step = written(best.select(F.col("a").alias("node"), F.when(rank("b") < rank("a"), F.col("b")).otherwise(F.col("a")).alias("to")), "choice")
+        step = written(best.select(F.col("a").alias("node"), F.when(rank("b") < rank("a"), F.col("b")).otherwise(F.col("a")).alias("to")), "choice", rows=2 * n)
         chosen.append(step)
         e = written(
             e.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")
@@ -35,6 +35,7 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
             .select(F.col("ta").alias("a"), F.col("tb").alias("b"))
             .distinct(),
             "edges",
+            rows=n,
         )
     if not chosen:
         return e.select(F.col("a").alias("node"), F.col("b").alias("label"))

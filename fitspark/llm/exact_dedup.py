@@ -149,12 +149,12 @@ def exact_dedup(docs: DataFrame, *, fingerprint_bits: int = FINGERPRINT_BITS, su
         docs.select("doc_id", F.char_length(text).alias("n"), norm.alias("norm")).select("doc_id", "n", F.unhex(F.sha2("norm", 256)).alias("sha"), fp.alias("fp"), F.monotonically_increasing_id().alias("uid")),
         "light",
     )
-    suspects = written(bitmap_of(suspect_fingerprints(light, fingerprint_bits=fingerprint_bits), "fp", suspect_bits), "suspects")
+    suspects = written(bitmap_of(suspect_fingerprints(light, fingerprint_bits=fingerprint_bits), "fp", suspect_bits), "suspects", rows=1 << suspect_bits >> 6)
     texts = maybe_in(docs.select(norm.alias("norm")).select("norm", fp.alias("fp")), "fp", suspects, suspect_bits, "suspect").where("suspect")
     verified = texts.groupBy("norm").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(F.unhex(F.sha2("norm", 256)).alias("sha"), "size")
     marked = maybe_in(light, "fp", suspects, suspect_bits, "suspect").where("suspect")
     first = marked.groupBy("sha").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("null"), "doc_id", "uid")).alias("keep"))
-    groups = written(verified.join(first, "sha").select("sha", "size", F.col("keep.doc_id").alias("keep_id"), F.col("keep.uid").alias("keep_uid")), "groups")
+    groups = written(verified.join(first, "sha").select("sha", "size", F.col("keep.doc_id").alias("keep_id"), F.col("keep.uid").alias("keep_uid")), "groups", rows=light.count())
     return light.join(groups, "sha", "left").select(
         "doc_id",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -175,7 +175,7 @@ def exact_documents(docs: DataFrame, *, fingerprint_bits: int = FINGERPRINT_BITS
     order = F.struct((-F.char_length(text)).alias("n"), F.col("doc_id").isNull().alias("null"), "doc_id")
     rows = docs.select(F.struct(*docs.columns).alias("dedup_row"), strip_ws(text).alias("dedup_norm"), order.alias("dedup_order")).withColumn("dedup_fp", fp)
     light = written(rows.select(F.col("dedup_fp").alias("fp"), F.monotonically_increasing_id().alias("uid")), "light")
-    suspects = written(bitmap_of(suspect_fingerprints(light, fingerprint_bits=fingerprint_bits), "fp", suspect_bits), "suspects")
+    suspects = written(bitmap_of(suspect_fingerprints(light, fingerprint_bits=fingerprint_bits), "fp", suspect_bits), "suspects", rows=1 << suspect_bits >> 6)
     marked = maybe_in(rows, "dedup_fp", suspects, suspect_bits, "dedup_suspect")
     kept = marked.where("dedup_suspect").groupBy("dedup_norm").agg(F.min_by("dedup_row", "dedup_order").alias("dedup_row"))
     return marked.where("not dedup_suspect").select("dedup_row.*").union(kept.select("dedup_row.*"))

@@ -189,8 +189,8 @@ def simhash_groups(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RAD
     """
     small_batches(docs.sparkSession)
     light = written(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
-    distinct = written(light.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    parts = written(connected_components(close_links(distinct, radius=radius, max_shard=max_shard)), "parts")
+    distinct = written(light.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", rows=light.count())
+    parts = written(connected_components(close_links(distinct, radius=radius, max_shard=max_shard)), "parts", rows=distinct.count())
     labelled = distinct.join(parts.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     node = labelled.join(least, "label").select("fp", "component_id")

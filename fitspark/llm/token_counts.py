@@ -86,9 +86,10 @@ def token_counts(docs: DataFrame, path: str, cache: str, *, limit: int = 4096) -
     keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
     light = written(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     known = read_cache(spark, cache, version)
-    wanted = written(light.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).join(known, "digest", "left_anti"), "misses")
+    n = light.count()
+    wanted = written(light.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).join(known, "digest", "left_anti"), "misses", rows=n)
     key = F.xxhash64("digest").alias("key")
-    maps = {name: written(bitmap_of(rows.select(key), "key", MAP_BITS), name) for name, rows in (("miss", wanted), ("many", wanted.where("times > 1")))}
+    maps = {name: bitmap_of(rows.select(key), "key", MAP_BITS) for name, rows in (("miss", wanted), ("many", wanted.where("times > 1")))}
     scan = keyed.select("digest", "text", key)
     for name, rows in maps.items():
         scan = maybe_in(scan, "key", rows, MAP_BITS, name)
@@ -97,7 +98,8 @@ def token_counts(docs: DataFrame, path: str, cache: str, *, limit: int = 4096) -
     counted = once.union(many).mapInArrow(_counted(path), "digest binary, n_tokens long")
     # The bitmap of misses lets a few cached digests through.
     fresh = counted.join(wanted.select("digest"), "digest", "left_semi")
-    fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
+    found = fresh.select("digest", F.lit(version).alias("version"), "n_tokens")
+    found.write.mode("append").parquet(cache)
     # Written, so that both sides of the join are plain exchanges and a hot digest can be split.
-    counts = written(read_cache(spark, cache, version).join(light.select("digest").distinct(), "digest", "left_semi"), "counts")
+    counts = written(read_cache(spark, cache, version).join(light.select("digest").distinct(), "digest", "left_semi"), "counts", rows=n)
     return light.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
