@@ -83,7 +83,7 @@ class Model:
     def tables(self, buckets: np.ndarray) -> list[list[np.ndarray]]:
         """What each of the words with these buckets adds to each filter at each place in its window."""
         words = self.embedding[buckets].sum(axis=1)
-        return [[words @ w[j] for j in range(len(w))] for w in self.filters]
+        return [[exact_product(words, w[j]) for j in range(len(w))] for w in self.filters]
 
 
 class Scorer:
@@ -107,7 +107,7 @@ class Scorer:
                     for j, t in enumerate(more):
                         held[j] = grown(held[j], self.done, t)
                 self.done = len(self.words.buckets)
-            z = pooled(tokens, starts, self.tables, m.bias) @ m.weight + m.offset
+            z = exact_product(pooled(tokens, starts, self.tables, m.bias), m.weight[:, None])[:, 0] + m.offset
             out[lo : lo + 32] = sigmoid(m.scale * z + m.shift)
             if self.done > KEPT_WORDS:
                 self.forget()
@@ -131,6 +131,14 @@ def buckets_of(text: str) -> np.ndarray:
     return np.array(words.buckets, np.int32)[numbers].reshape(-1, PARTS)
 
 
+def exact_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b, summed in one order: a row's result must not depend on what stands beside it, as it may with BLAS."""
+    out = a[:, :1] * b[0]
+    for d in range(1, len(b)):
+        out = out + a[:, d : d + 1] * b[d]
+    return out
+
+
 def pack(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All documents in a row, each followed by padding, and where each starts."""
     pad = np.zeros(PAD, np.int32)
@@ -249,7 +257,7 @@ def logits(m: Model, docs: list[np.ndarray]) -> np.ndarray:
     out = []
     for lo in range(0, len(docs), 64):
         tokens, starts, buckets = distinct_words(docs[lo : lo + 64])
-        out.append(pooled(tokens, starts, m.tables(buckets), m.bias) @ m.weight + m.offset)
+        out.append(exact_product(pooled(tokens, starts, m.tables(buckets), m.bias), m.weight[:, None])[:, 0] + m.offset)
     return np.concatenate(out) if out else np.zeros(0)
 
 
