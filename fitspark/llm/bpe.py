@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from fitspark.llm.common import small_batches, text_of
 
 #: A block of texts is encoded when it has this many new distinct pieces or this many pieces in all.
-BLOCK_NEW = 300_000
-BLOCK_PIECES = 6_000_000
+BLOCK_NEW = 100_000
+BLOCK_PIECES = 2_000_000
 #: Pieces whose ids a Python worker keeps between blocks; all are forgotten beyond it.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 250_000
 
 NONE = np.int32(2**31 - 1)
 
@@ -68,15 +68,15 @@ def merge_replay(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarra
     ids = np.zeros(0, np.int32)
     if len(parts):
         raw = np.frombuffer(b"".join(pieces[i] for i in parts), np.uint8)
-        own = np.repeat(np.arange(len(parts)), sizes[parts])
+        own = np.repeat(np.arange(len(parts), dtype=np.int32), sizes[parts])
         n = len(raw)
         token = vocabulary.of_byte[raw]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         last = np.flatnonzero(np.diff(own, append=-1))
         after[last] = -1
         before[np.concatenate([[0], last[:-1] + 1])] = -1
         rank = np.full(n, NONE, np.int32)
-        has = np.flatnonzero(after >= 0)
+        has = np.flatnonzero(after >= 0).astype(np.int32)
         rank[has] = vocabulary.pair_ranks(token[has], token[after[has]])
         alive = np.ones(n, bool)
         index: dict[int, list[np.ndarray]] = {}
