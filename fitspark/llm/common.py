@@ -33,10 +33,7 @@ def strip_ws(c: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return (path or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")  # unset only where one machine is all
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
