@@ -1,7 +1,8 @@
-"""Substring duplicates by line hashing."""
+"""Substring duplicates by hashing lines, cut at sentence ends."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,35 +12,38 @@ from pyspark.sql import functions as F
 
 from fitspark.llm.common import small_batches, text_of, written
 
-#: Lines with fewer words are left alone: short lines recur by chance.
+#: Units with fewer words are left alone: short ones recur by chance.
 MIN_WORDS = 5
+#: Units tile a text. A line ends a unit, and so does a sentence, since a passage that is copied may begin inside a line.
+UNIT = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
 
 UNITS = "doc_id long, uid long, pos long, start long, stop long, n_words long, digest binary"
 
 
 def _units(min_words: int):
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(),) * 6 + (pa.binary(),)
+        each = re.compile(UNIT)
         for b in batches:
             cols: list[list] = [[] for _ in kinds]
             for doc_id, uid, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 at = 0
-                for pos, line in enumerate(text.split("\n")):
-                    words = line.encode().lower().split()
+                for pos, unit in enumerate(each.findall(text)):
+                    words = unit.encode().lower().split()
                     if len(words) >= min_words:
-                        for c, v in zip(cols, (doc_id, uid, pos, at, at + len(line), len(words), xxhash.xxh3_128_digest(b" ".join(words)))):
+                        for c, v in zip(cols, (doc_id, uid, pos, at, at + len(unit.rstrip("\n")), len(words), xxhash.xxh3_128_digest(b" ".join(words)))):
                             c.append(v)
-                    at += len(line) + 1
+                    at += len(unit)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "uid", "pos", "start", "stop", "n_words", "digest"])
 
-    return lines
+    return cut
 
 
 def line_units(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
-    """The lines of every text with `min_words` words or more.
+    """The units of every text with `min_words` words or more.
 
-    start and stop are code points in the text, stop exclusive, without the line
-    break. digest is 128 bits of the line with A-Z in lower case and one space
+    start and stop are code points in the text, stop exclusive, without line breaks
+    at the end. digest is 128 bits of the unit with A-Z in lower case and one space
     between words. uid tells rows with the same doc_id apart. Null text: none.
     """
     small_batches(docs.sparkSession)
@@ -47,16 +51,16 @@ def line_units(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
-    """The lines to remove: every repetition of an earlier line in any document.
+    """The units to remove: every repetition of an earlier unit in any document.
 
-    Returns doc_id, uid, line, start, stop, n_words, keep_doc_id, keep_line, one
-    row per removed line, with its place in the original text and the occurrence
+    Returns doc_id, uid, unit, start, stop, n_words, keep_doc_id, keep_unit, one
+    row per removed unit, with its place in the original text and the occurrence
     that stays. The earliest occurrence has the smallest doc_id (null last), then
-    the first row, then the first line. Repeated rows lose all their lines but
-    the first row's. Null and empty texts have no lines; other columns are
+    the first row, then the first unit. Repeated rows lose all their units but
+    the first row's. Null and empty texts have no units; other columns are
     ignored; no rows: no rows.
 
-    Digests are counted with partial sums on the map side, so a line that a third
+    Digests are counted with partial sums on the map side, so a unit that a third
     of all documents share is one row from each task; the join that follows
     compares light rows and may be split at hot digests by adaptive execution.
     """
@@ -67,18 +71,20 @@ def line_dedup(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     return (
         units.join(repeated.select("digest", "first"), "digest")
         .where(~at.eqNullSafe(F.col("first")))
-        .select("doc_id", "uid", F.col("pos").alias("line"), "start", "stop", "n_words", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.pos").alias("keep_line"))
+        .select("doc_id", "uid", F.col("pos").alias("unit"), "start", "stop", "n_words", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.pos").alias("keep_unit"))
     )
 
 
-def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """`docs` with the removed lines cut out of the texts; the original offsets are in removed_spans.
+def without_units(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """`docs` with the removed units cut out of the texts; their original offsets are in removed_spans.
 
     Rows are matched by doc_id, which must tell them apart here; a row with null
-    doc_id keeps its text. A removed line goes with its line break.
+    doc_id keeps its text. Line breaks stay.
     """
     spans = removed.where("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed_spans"))
-    lines = removed.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
     names = [F.col(c) for c in docs.columns if c not in ("text", "removed_spans")]
-    kept = F.expr("array_join(filter(split(text, '\\n'), (l, i) -> not array_contains(gone, cast(i as bigint))), '\\n')")
-    return docs.join(spans.join(lines, "doc_id"), "doc_id", "left").select(*names, F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), "removed_spans")
+    s, n = F.col("removed_spans"), F.size("removed_spans")
+    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(s, i - 1)["stop"]).cast("int")
+    end = lambda i: F.when(i == n, F.char_length("text")).otherwise(F.get(s, i)["start"]).cast("int")
+    kept = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(F.col("text"), begin(i) + 1, end(i) - begin(i))), "")
+    return docs.join(spans, "doc_id", "left").select(*names, F.when(s.isNull(), F.col("text")).otherwise(kept).alias("text"), "removed_spans")

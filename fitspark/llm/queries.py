@@ -88,21 +88,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
-        WITH lines AS (
-          SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos
-          FROM documents),
+        WITH u AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS u FROM documents),
+        units AS (SELECT doc_id, unnest(u) AS unit, generate_subscripts(u, 1) - 1 AS pos FROM u),
         placed AS (
-          SELECT doc_id, pos, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS start,
-                 list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
-          FROM lines),
+          SELECT doc_id, pos, unit, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY pos) - length(unit) AS start,
+                 list_filter(string_split_regex(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+          FROM units),
         ranked AS (
-          SELECT *, array_to_string(words, ' ') AS norm,
-                 row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, pos) AS r,
-                 first_value(doc_id) OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, pos) AS keep_doc_id,
-                 first_value(pos) OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, pos) AS keep_line
-          FROM placed WHERE len(words) >= 5)
-        SELECT doc_id, CAST(pos AS BIGINT) AS line, CAST(start AS BIGINT) AS start, CAST(start + length(line) AS BIGINT) AS stop,
-               CAST(len(words) AS BIGINT) AS n_words, keep_doc_id, CAST(keep_line AS BIGINT) AS keep_line
+          SELECT *, row_number() OVER w AS r, first_value(doc_id) OVER w AS keep_doc_id, first_value(pos) OVER w AS keep_unit
+          FROM placed WHERE len(words) >= 5 WINDOW w AS (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, pos))
+        SELECT doc_id, CAST(pos AS BIGINT) AS unit, CAST(start AS BIGINT) AS start, CAST(start + length(rtrim(unit, chr(10))) AS BIGINT) AS stop,
+               CAST(len(words) AS BIGINT) AS n_words, keep_doc_id, CAST(keep_unit AS BIGINT) AS keep_unit
         FROM ranked WHERE r > 1""",
     "op8_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)

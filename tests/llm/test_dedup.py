@@ -94,14 +94,12 @@ def test_lines_equal_brute_force(docs, edge):
     for df in (docs.select("doc_id", "text"), edge.where("doc_id is not null").dropDuplicates(["doc_id"])):
         seen, want = {}, set()
         for i, t in sorted((r["doc_id"], r["text"] or "") for r in df.collect()):
-            at = 0
-            for pos, line in enumerate(t.split("\n")):
-                words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in line))
+            for pos, m in enumerate(re.finditer(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", t)):
+                words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in m[0]))
                 if len(words) >= 5:
                     first = seen.setdefault(" ".join(words), (i, pos))
                     if first != (i, pos):
-                        want.add((i, pos, at, at + len(line), len(words), *first))
-                at += len(line) + 1
+                        want.add((i, pos, m.start(), m.start() + len(m[0].rstrip("\n")), len(words), *first))
         got = {tuple(r) for r in line_dedup.line_dedup(df).drop("uid").collect()}
         assert got == want
 
@@ -112,13 +110,21 @@ def test_repeated_rows_and_null_ids_lose_their_lines(edge, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
-def test_removed_lines_leave_the_rest(spark):
+def test_removed_units_leave_the_rest(spark):
     rows = spark.createDataFrame([(1, "a b c d e\nkept one"), (2, "first\na b c  D e\nlast"), (3, None)], "doc_id long, text string")
-    cut = line_dedup.without_lines(rows, line_dedup.line_dedup(rows)).orderBy("doc_id").collect()
-    assert [r["text"] for r in cut] == ["a b c d e\nkept one", "first\nlast", None]
+    cut = line_dedup.without_units(rows, line_dedup.line_dedup(rows)).orderBy("doc_id").collect()
+    assert [r["text"] for r in cut] == ["a b c d e\nkept one", "first\n\nlast", None]
     assert cut[1]["removed_spans"][0].asDict() == {"start": 6, "stop": 16} and cut[0]["removed_spans"] is None
 
 
+def test_passages_inside_lines_are_found(spark):
+    words = [f"w{i}" for i in range(400)]
+    passage = " ".join(w + ("." if i % 9 == 8 else "") for i, w in enumerate(words[:60]))
+    rows = spark.createDataFrame([(1, "One more start " + passage + " and an end."), (2, "Other words first, " + passage + " other end."), (3, " ".join(words[100:200]) + ".")], "doc_id long, text string")
+    got = line_dedup.line_dedup(rows).collect()
+    assert {(r["doc_id"], r["keep_doc_id"]) for r in got} == {(2, 1)} and sum(r["n_words"] for r in got) >= 40
+
+
 # ------------------------------------------------------------------ SimHash
 
 
