@@ -18,7 +18,7 @@ from fitspark.llm.common import small_batches, text_of
 #: A block of texts is encoded when it has this many new distinct pieces or this many pieces in all.
 BLOCK_NEW = 100_000
 BLOCK_PIECES = 2_000_000
-#: Pieces whose ids a Python worker keeps between blocks; all are forgotten beyond it.
+#: Pieces whose ids a task keeps between blocks; all are forgotten beyond it.
 KEPT_PIECES = 250_000
 
 NONE = np.int32(2**31 - 1)
@@ -187,7 +187,7 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(path: str, pattern: str) -> Encoder:
-    """This Python worker's encoder, kept between tasks."""
+    """This Python worker's encoder; its vocabulary is kept between tasks."""
     if (path, pattern) not in _encoders:
         _encoders.clear()
         _encoders[path, pattern] = Encoder(path, pattern)
@@ -228,6 +228,7 @@ def _encoded(path: str, pattern: str, with_ids: bool):
                     yield from flush()
         if held:
             yield from flush()
+        e.forget()  # the worker may wait for other work with what it holds
 
     return mapped
 

@@ -41,8 +41,8 @@ PREFIXES = (5, 4)
 PARTS = 1 + len(PREFIXES)
 
 
-#: Distinct words that a Python worker keeps between batches; all are forgotten beyond it.
-KEPT_WORDS = 150_000
+#: Distinct words that a task keeps between batches; all are forgotten beyond it.
+KEPT_WORDS = 60_000
 
 
 class Words:
@@ -115,9 +115,9 @@ class Scorer:
 
 
 def grown(table: np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
-    """The table with `rows` from row n on; it doubles when it is full."""
+    """The table with `rows` from row n on; it grows by half when it is full."""
     if n + len(rows) > len(table):
-        wider = np.zeros((max(n + len(rows), 2 * len(table), 4096), rows.shape[1]), np.float32)
+        wider = np.zeros((max(n + len(rows), len(table) * 3 // 2, 4096), rows.shape[1]), np.float32)
         wider[:n] = table[:n]
         table = wider
     table[n : n + len(rows)] = rows
