@@ -15,6 +15,8 @@ from fitspark.llm.common import bitmap_of, maybe_in, small_batches, text_of, wri
 from fitspark.llm.components import connected_components
 
 SHINGLE = 5
+#: The share of shingles that texts must have in common for a link beyond the radius.
+SIMILARITY = 0.8
 RADIUS = 3
 BITS = 64
 #: A shard of more fingerprints is dealt again by further bits.
@@ -23,14 +25,19 @@ MAX_SHARD = 512
 LEVELS = 3
 
 
-def fingerprint(text: str, shingle: int) -> int:
-    """The SimHash of a text, as an unsigned 64-bit integer."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of words in lower case; of all words if there are fewer; none of none."""
     words = text.encode().lower().split()
     if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
+        return np.zeros(0, np.uint64)
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, itertools.repeat(42)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, itertools.repeat(42)), np.uint64, max(1, len(words) - shingle + 1))
+
+
+def fingerprint(text: str, shingle: int) -> int:
+    """The SimHash of a text, as an unsigned 64-bit integer."""
+    h = shingle_hashes(text, shingle)
+    n = len(h)
     ones = np.zeros(BITS, np.int64)
     for part in range(0, n, 1 << 16):  # bounds the memory of a very long text
         ones += np.unpackbits(h[part : part + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -176,21 +183,104 @@ def close_links(distinct: DataFrame, *, radius: int = RADIUS, max_shard: int = M
     return every.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_linked(radius), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, max_shard: int = MAX_SHARD) -> DataFrame:
+#: Further links: fingerprints within WIDE bits that meet in one of TABLES samplings of the bits.
+WIDE = 12
+TABLES = 24
+#: Fingerprints of a sampled shard on average; the number of sampled bits follows from it.
+SAMPLED_SHARD = 32
+
+
+def _sampled(tables: int, bits: int):
+    rng = np.random.default_rng(11)
+    places = [np.sort(rng.choice(BITS, bits, replace=False)).astype(np.uint64) for _ in range(tables)]
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for t, at in enumerate(places):
+                key = np.full(len(fp), t, np.uint64)
+                for p in at:
+                    key = key << np.uint64(1) | (fp >> p & np.uint64(1))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0)], ["key", "fp"])
+
+    return mapped
+
+
+def _nearest(near: int, far: int, most: int):
+    """For each value of a shard its nearest one in the tree so far, if between `near` and `far` bits away.
+
+    A shard of more than `most` is walked in sorted pieces of that size.
+    """
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_held, tree = None, BKTree()
+        for b in batches:
+            pairs = []
+            for key, value in zip(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64).tolist()):
+                if key != key_held or len(tree.values) >= most:
+                    key_held, tree = key, BKTree()
+                found = [((tree.values[i] ^ value).bit_count(), tree.values[i]) for i in tree.near_then_add(value, far)]
+                if found and (best := min(found))[0] > near:
+                    pairs.append((min(value, best[1]), max(value, best[1])))
+            a = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+
+    return mapped
+
+
+def _sets(shingle: int):
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "grams"])
+
+    return mapped
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, n: int, *, shingle: int, radius: int, similarity: float, max_shard: int = MAX_SHARD) -> DataFrame:
+    """Edges (a, b) between fingerprints further apart than `radius` whose texts have at least this share of shingles in common.
+
+    Candidates come from BK-trees over shards that samplings of the bits deal; each
+    value asks for its nearest in each of its shards. They are checked on the whole
+    texts, one for each fingerprint. These links come on top of those within the
+    radius, and only those are complete.
+    """
+    spark = docs.sparkSession
+    bits = int(min(40, max(8, np.log2(max(1, n) / SAMPLED_SHARD))))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = distinct.where("least is not null").select("fp").mapInArrow(_sampled(TABLES, bits), "key long, fp long")
+    pairs = written(keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_nearest(radius, WIDE, max_shard), "a long, b long").distinct(), "candidates", rows=n)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = written(asked.join(distinct, "fp").select("fp", F.col("least").alias("want_id"), F.xxhash64("least").alias("want_key")), "wanted", rows=n)
+    rows = docs.select(F.col("doc_id").cast("long").alias("sim_id"), text_of().alias("sim_text")).withColumn("sim_key", F.xxhash64("sim_id"))
+    some = maybe_in(rows, "sim_key", bitmap_of(wanted, "want_key", DROP_BITS), DROP_BITS, "sim_maybe").where("sim_maybe")
+    texts = some.join(wanted, F.col("sim_id") == F.col("want_id")).groupBy("fp").agg(F.min("sim_text").alias("text"))
+    sets = written(texts.mapInArrow(_sets(shingle), "fp long, grams array<bigint>"), "sets")
+    one = lambda k: sets.select(F.col("fp").alias(k), F.col("grams").alias(f"grams_{k}"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b")
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    return both.where(shared >= similarity * (F.size("grams_a") + F.size("grams_b") - shared)).select("a", "b")
+
+
+def simhash_groups(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None, max_shard: int = MAX_SHARD) -> DataFrame:
     """Near-duplicate groups of `docs` (doc_id, text, ...).
 
     Returns one row per row: doc_id, fp (the fingerprint as a signed long),
     component_id (the smallest doc_id of the group, itself included). Fingerprints that
-    differ in `radius` bits or fewer are linked; a group is what links connect.
-    Texts without words have fingerprint zero, null ones too. A group of rows with
-    null doc_id only has null as component_id. Rows with equal fingerprints are
-    one node from the start, so a hot group of copies is one node. Other columns
-    are ignored; no rows: no rows.
+    differ in `radius` bits or fewer are linked, and with `similarity` those that
+    similar_links() adds; a group is what links connect. Texts without words have
+    fingerprint zero, null ones too. A group of rows with null doc_id only has null
+    as component_id. Rows with equal fingerprints are one node from the start, so
+    a hot group of copies is one node. Other columns are ignored; no rows: no rows.
     """
     small_batches(docs.sparkSession)
     light = written(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
     distinct = written(light.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", rows=light.count())
-    parts = written(connected_components(close_links(distinct, radius=radius, max_shard=max_shard)), "parts", rows=distinct.count())
+    n = distinct.count()
+    links = close_links(distinct, radius=radius, max_shard=max_shard)
+    if similarity is not None:
+        links = links.union(similar_links(docs, distinct, n, shingle=shingle, radius=radius, similarity=similarity, max_shard=max_shard))
+    parts = written(connected_components(links), "parts", rows=n)
     labelled = distinct.join(parts.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     node = labelled.join(least, "label").select("fp", "component_id")
@@ -204,12 +294,13 @@ DROP_BITS = 25
 def near_documents(docs: DataFrame, **options) -> DataFrame:
     """`docs` with one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Returns the columns of `docs`. Documents are told apart by doc_id: rows that
+    Groups are those of simhash_groups(), by default with further links between texts
+    that share four fifths of their shingles. Returns the columns of `docs`. Documents are told apart by doc_id: rows that
     share a doc_id stay or go together; if some of them would stay, all do. A row
     with null doc_id stays. A bitmap of fixed size lets most rows pass without a
     shuffle; only those it may hold are compared with the dropped ids.
     """
-    groups = simhash_groups(docs, **options).where("doc_id is not null")
+    groups = simhash_groups(docs, **{"similarity": SIMILARITY} | options).where("doc_id is not null")
     fate = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
     dropped = written(fate.where("not stays").select(F.col("doc_id").alias("drop_id"), F.xxhash64("doc_id").alias("drop_key")), "dropped")
     rows = docs.select(F.struct(*docs.columns).alias("near_row"), F.col("doc_id").cast("long").alias("near_id")).withColumn("near_key", F.xxhash64("near_id"))

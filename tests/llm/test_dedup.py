@@ -184,3 +184,30 @@ def test_groups_of_edge_cases(edge, empty):
     assert left.columns == edge.columns
     ids = [r["doc_id"] for r in left.collect()]
     assert ids.count(1) == 2 and ids.count(None) == 2 and not {2, 10, 4, 5} & set(ids) and 3 in ids
+
+
+def test_edited_copies_join_by_similarity(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(4000)]
+    rows, at = [], 0
+    for _ in range(25):
+        words = [rng.choice(vocabulary) for _ in range(300)]
+        rows.append((at, " ".join(words)))
+        for k in (2, 5):  # 10 and 25 of 296 shingles change
+            edited = list(words)
+            for i in range(k):
+                edited[20 + i * 55] = "changed"
+            rows.append((at + k, " ".join(edited)))
+        rows.append((at + 8, " ".join(words[:150] + [rng.choice(vocabulary) for _ in range(150)])))  # half is other text
+        at += 10
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()}
+    joined = sum(got[a + k] == a for a in range(0, 250, 10) for k in (2, 5))
+    assert joined >= 44 and all(got[a + 8] == a + 8 for a in range(0, 250, 10))
+    assert all(got[i] // 10 == i // 10 for i in got)
+
+
+def test_sampled_shards_may_be_small(spark, docs):
+    wide = lambda most: {(r["doc_id"], r["component_id"]) for r in simhash.simhash_groups(docs, similarity=0.8, max_shard=most).collect()}
+    base = {(r["doc_id"], r["component_id"]) for r in simhash.simhash_groups(docs).collect()}
+    groups = lambda x: len({c for _, c in x})
+    assert groups(wide(512)) <= groups(wide(2)) <= groups(base)
