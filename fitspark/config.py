@@ -101,6 +101,7 @@ class Role:
     flags: frozenset[str]
     query: str = ""
     raw: dict = field(default_factory=dict, compare=False, repr=False)
+    method: dict = field(default_factory=lambda: METHOD, compare=False, repr=False)
 
 
 def _fail(path: str, what: str) -> ProfileError:
@@ -140,8 +141,35 @@ def _pattern(p: Any, path: str) -> str:
     return p
 
 
-def role_of(d: dict) -> Role:
-    """Check a role profile and turn it into a Role. Unknown keys and repeated signal ids are errors, too."""
+def method_of(changes: dict | None) -> dict:
+    """The method's constants with some changed; names and kinds of values must be those of METHOD."""
+
+    def merged(base: dict, new: dict, path: str) -> dict:
+        out = dict(base)
+        for k, v in new.items():
+            at = f"{path}{k}"
+            if k not in base:
+                raise _fail(at, "unknown key")
+            if isinstance(base[k], dict) and k != "first_years":
+                if not isinstance(v, dict):
+                    raise _fail(at, "expected a mapping")
+                out[k] = merged(base[k], v, f"{at}.")
+            elif isinstance(base[k], NUMBER) and (isinstance(v, bool) or not isinstance(v, NUMBER)):
+                raise _fail(at, "expected a number")
+            elif isinstance(base[k], (str, list)) and not isinstance(v, type(base[k])):
+                raise _fail(at, f"expected {type(base[k]).__name__}")
+            else:
+                out[k] = [tuple(x) for x in v] if k.endswith("_rungs") else _pattern(v, at) if path == "context." else v
+        return out
+
+    return merged(METHOD, changes or {}, "")
+
+
+def role_of(d: dict, method: dict | None = None) -> Role:
+    """Check a role profile and turn it into a Role. Unknown keys and repeated signal ids are errors, too.
+
+    `method` has changes to the method's constants for this role.
+    """
     if not isinstance(d, dict):
         raise _fail("profile", "expected a mapping")
     for key in d:
@@ -199,13 +227,14 @@ def role_of(d: dict) -> Role:
         flags=frozenset(k for k, v in flags.items() if v["enabled"]),
         query=_get(d, "cross_encoder_query", str, ""),
         raw=d,
+        method=method_of(method),
     )
 
 
-def load_role(text: str) -> Role:
-    """A role profile in YAML."""
+def load_role(text: str, method_text: str | None = None) -> Role:
+    """A role profile in YAML, and changes to the method's constants in YAML."""
     try:
-        return role_of(yaml.safe_load(text))
+        return role_of(yaml.safe_load(text), yaml.safe_load(method_text) if method_text else None)
     except yaml.YAMLError as e:
         raise ProfileError(f"field 'profile': not YAML: {e}") from e
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitspark.config import METHOD, Role
+from fitspark.config import Role
 from fitspark.functions import arrays, dates, text
 from fitspark.operators.intrinsic import facts, jobs, skills
 
@@ -33,7 +33,7 @@ def with_chunks(candidates: DataFrame, role: Role, *, ref_date: str | None = Non
     signal and what else is known of the job. Computed once; all that follows
     folds over it.
     """
-    m, ref = METHOD, F.to_date(F.lit(ref_date or METHOD["ref_date"]))
+    m, ref = role.method, F.to_date(F.lit(ref_date or role.method["ref_date"]))
     blank = lambda c: F.coalesce(c, F.lit(""))
 
     def chunk(j: Column) -> Column:
@@ -64,8 +64,8 @@ def with_chunks(candidates: DataFrame, role: Role, *, ref_date: str | None = Non
     return out.withColumn("career_text", joined).withColumn("all_text", F.concat_ws(" ", "head", "career_text", F.array_join("names", " ")))
 
 
-def _integrity() -> Column:
-    i = METHOD["integrity"]
+def _integrity(role: Role) -> Column:
+    i = role.method["integrity"]
     months, yoe = F.col("career_months"), F.col("yoe")
     claimed = text.years_claimed(F.col("head"))
     hard = [
@@ -87,21 +87,21 @@ def _integrity() -> Column:
     return _product(*(F.when(h, i["hard"]).otherwise(1.0) for h in hard), *soft)
 
 
-def idle_months(ref_date: str | None) -> Column:
+def idle_months(role: Role, ref_date: str | None) -> Column:
     day = dates.parse_date(F.nullif(F.col("last_active_date"), F.lit("")))
-    idle = F.greatest(F.lit(0.0), dates.months(day, F.to_date(F.lit(ref_date or METHOD["ref_date"]))))
-    return F.when(day.isNotNull(), idle).otherwise(METHOD["availability"]["default_months"])
+    idle = F.greatest(F.lit(0.0), dates.months(day, F.to_date(F.lit(ref_date or role.method["ref_date"]))))
+    return F.when(day.isNotNull(), idle).otherwise(role.method["availability"]["default_months"])
 
 
-def response() -> tuple[Column, Column]:
+def response(role: Role) -> tuple[Column, Column]:
     """Whether a candidate is dormant, and whether one responds rarely."""
-    a, rate = METHOD["availability"], F.col("recruiter_response_rate")
+    a, rate = role.method["availability"], F.col("recruiter_response_rate")
     low = F.when(rate < 0, 1.0).otherwise(rate) < a["low_response"]
     return (F.col("idle") > a["dormant_months"]) & low, low
 
 
-def _availability() -> Column:
-    a = METHOD["availability"]
+def _availability(role: Role) -> Column:
+    a = role.method["availability"]
     raw = (
         a["recency"] * F.exp(-F.col("idle") / a["decay_months"])
         + a["response"] * F.greatest(F.lit(0.0), F.col("recruiter_response_rate"))
@@ -109,14 +109,14 @@ def _availability() -> Column:
         + a["interview"] * F.col("interview_completion_rate")
         + a["completeness"] * F.col("profile_completeness_score") / 100
     )
-    dormant, low = response()
+    dormant, low = response(role)
     return (a["base"] + a["span"] * raw) * F.when(dormant, a["dormant_damp"]).when(low, a["low_response_damp"]).otherwise(1.0)
 
 
 def _location(role: Role) -> Column:
-    s, place = METHOD["location"], F.col("location")
+    s, place = role.method["location"], F.col("location")
     preferred, acceptable = _has_any(place, role.preferred), _has_any(place, role.acceptable)
-    home = _has_any(place, METHOD["home_markers"])
+    home = _has_any(place, role.method["home_markers"])
     moving = (F.col("willing_to_relocate") == 1) & F.lit(role.relocation)
     base = F.when(preferred, s["preferred"]).when(acceptable, s["acceptable"]).when(home & moving, s["home_relocating"]).when(home, s["home"]).when(moving, s["abroad_relocating"]).otherwise(s["abroad"])
     remote = F.col("remote_pref") == 1
@@ -126,7 +126,7 @@ def _location(role: Role) -> Column:
 
 def with_components(candidates: DataFrame, role: Role, *, ref_date: str | None = None) -> DataFrame:
     """Add the facts, chunks, evidence of each signal and the fifteen components."""
-    out = with_chunks(candidates, role, ref_date=ref_date).withColumn("idle", idle_months(ref_date))
+    out = with_chunks(candidates, role, ref_date=ref_date).withColumn("idle", idle_months(role, ref_date))
     regexes = [k for k, s in enumerate(role.signals) if s.evidence_regex is not None]
 
     def best(k: int) -> Column:
@@ -136,10 +136,10 @@ def with_components(candidates: DataFrame, role: Role, *, ref_date: str | None =
     out = out.withColumn("evidence", F.array(*evidence))
     n_in, n_out = text.count_matches(F.col("career_text"), role.in_regex), text.count_matches(F.col("career_text"), role.out_regex)
     prose = F.lower(F.concat_ws(" ", "head", "career_text"))
-    claimed = F.filter("names", lambda n: _has_any(n, METHOD["ai_terms"]))
+    claimed = F.filter("names", lambda n: _has_any(n, role.method["ai_terms"]))
     supported = F.filter(claimed, lambda n: F.exists(F.filter(F.split(n, "[^a-z]+"), lambda w: F.length(w) >= 4), lambda w: F.contains(prose, F.substring(w, 1, 5))))
     scores = F.map_values(F.map_filter(F.coalesce(F.col("signals.skill_assessment_scores"), F.expr("cast(map() as map<string,double>)")), lambda k, v: (text.flag(k, role.skill_regex) == 1.0) & v.isNotNull()))
-    a = METHOD["assessment"]
+    a = role.method["assessment"]
     hands_on = F.filter("chunks", lambda c: c["hands_on"])
     coverage = F.lit(0.0)
     for k in regexes:
@@ -147,7 +147,7 @@ def with_components(candidates: DataFrame, role: Role, *, ref_date: str | None =
     number = lambda c: c.cast("double")
     parts = {
         "yoe_fit": dates.gaussian(F.col("yoe"), role.peak_years, role.sigma_years),
-        "hopper": number((F.col("n_jobs") >= METHOD["hopper"]["jobs"]) & (F.col("avg_tenure_months") < METHOD["hopper"]["tenure"])),
+        "hopper": number((F.col("n_jobs") >= role.method["hopper"]["jobs"]) & (F.col("avg_tenure_months") < role.method["hopper"]["tenure"])),
         "only_consulting": number((F.col("n_jobs") > 0) & F.forall("chunks", lambda c: c["consulting"])),
         "months_since_ic_role": F.coalesce(F.array_min(F.transform(hands_on, lambda c: c["since"])), F.lit(999.0)),
         "cv_primary": number((n_out >= 3) & (n_out > n_in)),
@@ -157,9 +157,9 @@ def with_components(candidates: DataFrame, role: Role, *, ref_date: str | None =
         "evid_coverage": coverage / max(1, len(regexes)),
         "depth_bonus": F.coalesce(F.array_max(F.transform("chunks", lambda c: c["depth"])), F.lit(0.0)),
         "assess_strength": arrays.shrunk_top_mean(scores, a["top"], a["floor"], a["span"], a["shrink"]),
-        "integrity": _integrity(),
-        "availability_mult": _availability(),
-        "notice_pen": dates.first_rung(F.col("notice_period_days"), METHOD["notice_rungs"]),
+        "integrity": _integrity(role),
+        "availability_mult": _availability(role),
+        "notice_pen": dates.first_rung(F.col("notice_period_days"), role.method["notice_rungs"]),
         "loc2_v4": _location(role),
     }
     return out.select("*", *(parts[k].alias(k) for k in COMPONENTS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitspark.config import METHOD, Role
+from fitspark.config import Role
 from fitspark.embedding import EmbeddingBackend, embed_lists
 from fitspark.functions import arrays, dates, text
 from fitspark.operators.components import response, with_components
@@ -38,7 +38,7 @@ def score_candidates(candidates: DataFrame, role: Role, backend: EmbeddingBacken
     fit has overall, candidate_id, role_title, per_signal, gates, red_flags and gaps.
     Map-only: nothing is shuffled, and no candidate's score depends on another's.
     """
-    m = METHOD
+    m = role.method
     keep = [c for c in candidates.columns if c not in CANDIDATE.fieldNames()]
     rows = with_similarity(with_components(candidates, role, ref_date=ref_date), role, backend)
     document = text.tokens(F.col("all_text"))
@@ -98,12 +98,12 @@ def score_candidates(candidates: DataFrame, role: Role, backend: EmbeddingBacken
 
 def gaps(role: Role) -> Column:
     """Advice: weak signals in order, then gates that damp, then flags that fired."""
-    low = METHOD["low_signal"]
+    low = role.method["low_signal"]
     weak = F.transform(
         F.filter("_signals", lambda s: (s["dense"] < low) & (s["evidence"] < low)),
         lambda s: F.format_string("Little shows \"%s\": describe work that demonstrates it, with figures (similarity %.2f, evidence %.2f).", s["label"], s["dense"], s["evidence"]),
     )
-    dormant, rare = response()
+    dormant, rare = response(role)
     damped = {g: F.get("_gates", F.lit(k))["damped"] for k, g in enumerate(("integrity", "availability", "notice", "location"))}
     why = F.when(dormant, "long inactive and rarely answering recruiters").when(rare, "rarely answering recruiters").otherwise("little activity on the platform")
     fired = lambda flag: F.array_contains("_fired", flag)

@@ -151,3 +151,16 @@ def posting_texts(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add `text`: the description in a page's job posting data, else the page's text; and how it was got."""
     found = text.posting_description(F.col(html))
     return pages.withColumn("method", F.when(found.isNotNull(), "json-ld").otherwise("html")).withColumn("text", text.html_text(F.coalesce(found, F.col(html))))
+
+
+def read_manifest(spark: SparkSession, path: str, slugs: list[str] | None = None) -> DataFrame:
+    """A JSON array of jobs (slug, url, ...) with board and key; only these slugs if given."""
+    rows = spark.read.schema("slug string, url string, title string, company string").option("multiLine", True).json(path)
+    return routed(rows.where(F.col("slug").isin(*slugs)) if slugs else rows)
+
+
+def job_texts(manifest: DataFrame, pages: DataFrame) -> DataFrame:
+    """Jobs of a manifest with the text of their stored page (url, html); a job without a page has an error."""
+    joined = manifest.join(posting_texts(pages).select("url", "method", "text"), "url", "left")
+    empty = F.coalesce(F.length("text"), F.lit(0)) == 0
+    return joined.withColumn("error", F.when(empty, "no page or no text"))

@@ -171,3 +171,12 @@ def test_embeddings():
 def test_first_embeddings_are_in_the_reported_order(spark):
     rows = score_candidates(frame(spark, CANDIDATES[:1]), ROLE_OBJECT, HashEmbedding()).select(F.col("fit.per_signal.id").alias("ids")).first()
     assert rows["ids"] == [s["id"] for s in ROLE["signals"]]
+
+
+def test_constants_can_be_changed_for_a_role(spark):
+    mild = role_of(ROLE, {"integrity": {"hard": 0.5}, "notice_rungs": [[10, 1.0], [1000, 0.5]]})
+    got = {r["candidate_id"]: r for r in compute_components(frame(spark, CANDIDATES), mild).collect()}
+    assert got["WEAK"]["integrity"] == 0.5 and got["STRONG"]["notice_pen"] == 0.5
+    for changes, named in (({"integrity": {"soft": 1}}, "integrity.soft"), ({"integrity": 1}, "integrity"), ({"pool_half_life": "x"}, "pool_half_life"), ({"context": {"owner": "("}}, "context.owner")):
+        with pytest.raises(ProfileError, match=named):
+            role_of(ROLE, changes)

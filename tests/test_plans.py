@@ -238,6 +238,22 @@ def test_routing(spark):
     assert [r[0] for r in shared] == ["https://docs.google.com/document/d/AbC-1/export?format=txt", None]
 
 
+def test_manifest(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps([{"slug": "a", "url": "https://x.org/a"}, {"slug": "b", "url": "https://amazon.jobs/en/jobs/9"}, {"slug": "c", "url": "https://x.org/c"}]))
+    jobs = documents.read_manifest(spark, str(tmp_path / "m.json"), ["a", "b"])
+    pages = spark.createDataFrame([("https://x.org/a", "<p>Text</p>")], "url string, html string")
+    got = {r["slug"]: (r["board"], r["text"], r["error"]) for r in documents.job_texts(jobs, pages).collect()}
+    assert got == {"a": ("page", "Text", None), "b": ("amazon", None, "no page or no text")}
+
+
+def test_sql_functions(spark):
+    from fitspark.functions.register import register
+
+    assert len(register(spark)) == 6
+    row = spark.sql("SELECT fit_clip(5, 0, 3) a, fit_months(date '2022-12-01', date '2026-06-06') b, fit_tidy(' A  b ') c, fit_overlap(array('x'), array('x', 'y')) d, fit_cosine(array(1D, 0D), array(2D, 0D)) e, fit_half_life(18, 18) f").first()
+    assert (row["a"], row["c"], row["d"], row["e"], row["f"]) == (3.0, "a b", 0.5, 1.0, 0.5) and row["b"] == pytest.approx(42 + 5 / 30)
+
+
 def test_made_resumes_and_discovery(spark, tmp_path):
     jobs = spark.createDataFrame([("acme_engineer", "Engineer", ["SQL", "Go"])], "jd_slug string, title string, skills array<string>")
     made = study.make_resumes(jobs)
