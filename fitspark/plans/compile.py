@@ -8,10 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitspark.backends import TextBackend, ask
-from fitspark.config import METHOD, ProfileError, Role, role_of, to_yaml
+from fitspark.backends import MockBackend, TextBackend, ask
+from fitspark.config import METHOD, Role, role_of
 from fitspark.dialect import safe_pattern
-from fitspark.functions import text
 from fitspark.functions.jsonx import tolerant_json
 from fitspark.operators import coerce
 from fitspark.operators.validate import candidate_violations
@@ -90,8 +89,6 @@ def compile_candidates(texts: DataFrame, backend: TextBackend, write: Callable[[
         built = compile_parts(rows, CANDIDATE_PARTS, model, write, key=key, column=column, ref_date=ref_date).withColumn("candidate_id", ident)
         return write(built.withColumn("violations", candidate_violations()), "attempt")
 
-    from fitspark.backends import MockBackend
-
     out, left = None, texts
     for i in range(max_repairs + 2):
         last = i == max_repairs + 1
@@ -130,5 +127,3 @@ def checked_role(profile: dict) -> tuple[Role, list[str]]:
             mended.append(k)
     return role_of(profile), mended
 
-
-__all__ = ["CANDIDATE_PARTS", "ROLE_PARTS", "Part", "ProfileError", "checked_role", "compile_candidates", "compile_parts", "compile_roles", "prompts_of", "text", "to_yaml"]
