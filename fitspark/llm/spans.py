@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fitspark.llm.common import text_of
-
 MARK, INSTEAD = "\x01", "\x02"
 
 SPAN = "struct<start:int,stop:int,match:string,before:string,after:string>"
@@ -57,6 +55,3 @@ def written_out(spans: Column) -> Column:
 def normal_below(z: Column) -> Column:
     """The standard normal distribution function, by a logistic form that is right within 2e-4."""
     return 1 / (1 + F.exp(-(z * 1.5976 + z * z * z * 0.070566)))
-
-
-__all__ = ["labelled", "matches", "normal_below", "text_of", "written_out"]
