@@ -14,6 +14,8 @@ from fitspark.llm.common import WORD, ship, text_of, written
 
 #: Blocks of a source at most; each is the documents that a hash deals to it.
 BLOCKS = 2048
+#: Blocks of all sources at most; with many sources, each has fewer. It bounds the sources, too.
+ALL_BLOCKS = 400_000
 #: Documents of a block that a source needs before it gets another block.
 BLOCK_DOCS = 8
 #: Single documents that are added to a block taken in part.
@@ -94,7 +96,7 @@ def plan_mix(blocks: pd.DataFrame, counts: pd.DataFrame, *, share: float, weight
     by = {None if not isinstance(k, str) else k: g for k, g in by.items()}
     sizes = [int(by[s]["size"].sum()) for s in names]
     target = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share * sum(sizes))
-    rows, partial = [], []
+    rows, partial, cuts = [], [], [0]
     for s, size, goal in zip(names, sizes, target):
         g = by[s].sort_values("block")
         block, words = g["block"].to_numpy(), g["size"].to_numpy()
@@ -111,14 +113,15 @@ def plan_mix(blocks: pd.DataFrame, counts: pd.DataFrame, *, share: float, weight
         if held is not None and rest >= 1:
             partial.append((s, int(block[held]), float(rest)))
         rows += [(s, int(b), int(c)) for b, c in zip(block, copies)]
+        cuts.append(len(rows))
     taken = pd.DataFrame(rows, columns=["source", "block", "copies"])
     # Each shard draws its quota of a source's permuted block copies; the ranges are disjoint.
-    quotas = [int(taken.loc[taken["source"].isna() if s is None else taken["source"] == s, "copies"].sum()) for s in names]
+    copies = taken["copies"].to_numpy()
+    quotas = [int(copies[a:b].sum()) for a, b in zip(cuts, cuts[1:])]
     split = split_quotas(quotas, shards, seed)
     shard_of = np.full((len(taken), MOST_REPEATS + 1), -1, np.int64)
-    for k, s in enumerate(names):
-        at = np.flatnonzero((taken["source"].isna() if s is None else taken["source"] == s).to_numpy())
-        draws = [(i, c) for i in at for c in range(taken["copies"].iat[i])]
+    for k, (s, a, b) in enumerate(zip(names, cuts, cuts[1:])):
+        draws = [(i, c) for i in range(a, b) for c in range(copies[i])]
         owner = np.repeat(np.arange(shards), split[:, k])
         for (i, c), o in zip((draws[j] for j in _rng(seed, "draw", s).permutation(len(draws))), owner):
             shard_of[i, c] = o
@@ -170,13 +173,16 @@ def mix(docs: DataFrame, *, share: float = SHARE, weights: tuple[float, ...] = W
     as any. No rows: no rows. Reruns agree, as everything is dealt by hashes.
 
     The driver holds one row for each source and at most `max_blocks` for its
-    blocks; the number of sources is taken to be bounded. A hot source is dealt to
+    blocks, ALL_BLOCKS in all; more sources than that are an error. A hot source is dealt to
     blocks like any other; no task holds more than one block of it.
     """
     spark = docs.sparkSession
     ship(spark)
     light = written(_keyed(docs, text_of(), ["doc_id"]), "sizes")
-    counts = light.groupBy(F.col("mix_source").alias("source")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    counts = light.groupBy(F.col("mix_source").alias("source")).agg(F.count(F.lit(1)).alias("n")).limit(ALL_BLOCKS + 1).toPandas()
+    if len(counts) > ALL_BLOCKS:
+        raise ValueError(f"more than {ALL_BLOCKS} sources: group them before mixing")
+    max_blocks = max(1, min(max_blocks, ALL_BLOCKS // max(1, len(counts))))
     counts["source"] = counts["source"].astype(object).where(counts["source"].notna(), None)
     counts["n_blocks"] = [int(min(max_blocks, max(1, n // BLOCK_DOCS))) for n in counts["n"]]
     blocks_of = spark.createDataFrame(list(zip(counts["source"], counts["n_blocks"])), "source string, n_blocks long")

@@ -114,6 +114,15 @@ def test_mix_of_documents(docs):
     assert sorted(map(repr, mixing.mix(docs.repartition(7))[0].select("doc_id", "mix_copies", "mix_shards").collect())) == sorted(map(repr, light.select("doc_id", "mix_copies", "mix_shards").collect()))
 
 
+def test_number_of_blocks_is_bounded(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "ALL_BLOCKS", 40)
+    _, plan = mixing.mix(docs)
+    assert len(plan.blocks) <= 40 and len(plan.sources) == 20
+    monkeypatch.setattr(mixing, "ALL_BLOCKS", 10)
+    with pytest.raises(ValueError, match="more than 10 sources"):
+        mixing.mix(docs)
+
+
 def test_shards_hold_their_quotas(docs):
     _, plan = mixing.mix(docs, shards=4)
     drawn = [s for x in plan.blocks["shards"] for s in x]
