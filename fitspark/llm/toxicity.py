@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fitspark.llm.common import small_batches, text_of, written
 
+#: Fits 16 bits, in which the sample's words travel.
 BUCKETS = 1 << 15
 DIM = 12
 WIDTHS = (1, 2, 3)
@@ -20,7 +21,7 @@ FILTERS = 12
 #: Labelled rows of each label that the fit reads at most; the earliest by a hash of doc_id.
 FIT_ROWS = 3000
 #: A labelled row of more words is left out of the fit, which bounds its memory.
-FIT_WORDS = 8000
+FIT_WORDS = 4000
 #: The share of the sample that is kept from training, to calibrate scores and thresholds.
 CALIBRATION = 0.25
 EPOCHS = 5
@@ -42,7 +43,7 @@ PARTS = 1 + len(PREFIXES)
 
 
 #: Distinct words that a task keeps between batches; all are forgotten beyond it.
-KEPT_WORDS = 60_000
+KEPT_WORDS = 100_000
 
 
 class Words:
@@ -308,7 +309,7 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.array([len(w) <= FIT_WORDS for w in words], bool)
         mask = pa.array(keep)
         cols = [b.column(i).filter(mask) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array([w.tobytes() for w, k in zip(words, keep) if k], pa.binary())], ["doc_id", "lang", "toxic", "words"])
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([w.astype(np.uint16).tobytes() for w, k in zip(words, keep) if k], pa.binary())], ["doc_id", "lang", "toxic", "words"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, seed: int = 5) -> Model:
@@ -325,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, seed: int =
     wanted = F.broadcast(ranked[0].union(ranked[1]).select("doc_id", "toxic"))  # 2 * rows rows at most
     texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), text_of().alias("text")).join(wanted, "doc_id").select("doc_id", "lang", "toxic", "text")
     got = written(texts.mapInArrow(_bucketed, "doc_id long, lang string, toxic int, words binary"), "fit").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").limit(2 * rows).toArrow().to_pydict()
-    words = [np.frombuffer(w, np.int32).reshape(-1, PARTS) for w in got["words"]]
+    words = [np.frombuffer(w, np.uint16).astype(np.int32).reshape(-1, PARTS) for w in got["words"]]
     toxic = np.array(got["toxic"], np.float64)
     if not 0 < toxic.sum() < len(toxic):
         return Model(np.zeros((BUCKETS, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), -3.0, thresholds={})
