@@ -67,7 +67,7 @@ def line_dedup(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     units = written(line_units(docs, min_words=min_words), "units")
     at = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "uid", "pos")
     # Written, so that both sides of the join are plain exchanges and a hot digest can be split.
-    repeated = written(units.groupBy("digest").agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("first")).where("times > 1"), "repeated")
+    repeated = written(units.groupBy("digest").agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("first")).where("times > 1"), "repeated", rows=units.count())
     return (
         units.join(repeated.select("digest", "first"), "digest")
         .where(~at.eqNullSafe(F.col("first")))
