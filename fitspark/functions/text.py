@@ -11,6 +11,18 @@ from fitspark.dialect import java_pattern
 
 # Fixed values.
 STOPWORDS = ("a", "an", "the", "and", "or", "of", "to", "in", "for", "on", "with", "at", "by", "from", "is", "are", "as", "be", "that", "this", "it")
+# What tags of a page become.
+TAGS = (
+    (r"(?i)<\s*br\s*/?>", "\n"),
+    (r"(?i)<\s*li[^>]*>", "\n- "),
+    (r"(?i)</\s*(?:p|div|section|ul|ol|h[1-6])\s*>", "\n"),
+    (r"(?i)<\s*h[1-6][^>]*>", "\n\n"),
+    (r"<[^>]+>", ""),
+)
+# Statements of notice, in days and months, and that there is none.
+NOTICE_DAYS = r"(\d{1,3})\s*days?\s*(?:notice|left|remaining)"
+NOTICE_MONTHS = r"(\d{1,2})\s*months?\s*notice"
+NOTICE_NONE = r"immediate(?:ly)?\s+(?:joiner|available)"
 YEARS = r"(\d+(?:\.\d+)?)\s*years of (?:hands[- ]on )?experience"
 
 
@@ -65,9 +77,9 @@ def notice_days(c: Column) -> Column:
     """Days of notice that a text states, 0 to 180, or null."""
     low = F.lower(c)
     take = lambda rx: F.nullif(F.regexp_extract(low, rx, 1), F.lit("")).try_cast("int")
-    days = take(r"(\d{1,3})\s*days?\s*(?:notice|left|remaining)")
-    mons = take(r"(\d{1,2})\s*months?\s*notice") * 30
-    now = F.when(low.rlike(r"immediate(?:ly)?\s+(?:joiner|available)"), 0)
+    days = take(NOTICE_DAYS)
+    mons = take(NOTICE_MONTHS) * 30
+    now = F.when(low.rlike(NOTICE_NONE), 0)
     found = F.coalesce(days, mons, now)
     return F.when(found.isNotNull(), F.least(F.lit(180), F.greatest(F.lit(0), found)))  # greatest() would skip a null
 
@@ -147,13 +159,7 @@ def html_text(c: Column) -> Column:
     """
     t = F.coalesce(c, F.lit(""))
     t = F.when(t.contains("&lt;"), unescape(t)).otherwise(t)
-    for pattern, instead in (
-        (r"(?i)<\s*br\s*/?>", "\n"),
-        (r"(?i)<\s*li[^>]*>", "\n- "),
-        (r"(?i)</\s*(?:p|div|section|ul|ol|h[1-6])\s*>", "\n"),
-        (r"(?i)<\s*h[1-6][^>]*>", "\n\n"),
-        (r"<[^>]+>", ""),
-    ):
+    for pattern, instead in TAGS:
         t = F.regexp_replace(t, pattern, instead)
     t = unescape(t)
     t = F.regexp_replace(t, r"[ \t]+\n", "\n")
