@@ -37,14 +37,27 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with the value computed once; in lambdas it would be computed again for each element."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def distinct_by(items: Column, key) -> Column:
     """The items without those whose key occurred before, in order.
 
-    Each item is paired with the number of its key's first occurrence, so it takes
-    one pass for each distinct key only in the lookup of array_position().
+    Keys are sorted with their places, the first place of each key is kept, and the
+    places are sorted again: O(n log n).
     """
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+
+    def first_places(s: Column) -> Column:
+        kept = F.filter(s, lambda x, j: (j == 0) | ~x["k"].eqNullSafe(F.get(s, j - 1)["k"]))
+        return F.sort_array(F.transform(kept, lambda x: x["i"]))
+
+    def pick(a: Column) -> Column:
+        placed = F.sort_array(F.transform(a, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+        return F.transform(bound(placed, first_places), lambda i: F.get(a, i))
+
+    return bound(items, pick)
 
 
 def shrunk_top_mean(values: Column, k: int, floor: float, span: float, shrink: float) -> Column:
