@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SMALL
+from paths import SMALL
 
 from fitspark.plans import candidates, catalog, workflows  # noqa: F401
 

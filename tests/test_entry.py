@@ -1,7 +1,7 @@
 import subprocess
 import sys
 
-from conftest import ROOT
+from paths import ROOT
 
 
 def test_entry_returns_rows(spark):
