@@ -36,7 +36,10 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str, shingle: int) -> int:
     """The SimHash of a text, as an unsigned 64-bit integer."""
-    h = shingle_hashes(text, shingle)
+    return _majority(shingle_hashes(text, shingle))
+
+
+def _majority(h: np.ndarray) -> int:
     n = len(h)
     ones = np.zeros(BITS, np.int64)
     for part in range(0, n, 1 << 16):  # bounds the memory of a very long text
@@ -183,47 +186,63 @@ def close_links(distinct: DataFrame, *, radius: int = RADIUS, max_shard: int = M
     return every.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_linked(radius), "a long, b long")
 
 
-#: Further links: fingerprints within WIDE bits that meet in one of TABLES samplings of the bits.
-WIDE = 12
-TABLES = 24
-#: Fingerprints of a sampled shard on average; the number of sampled bits follows from it.
-SAMPLED_SHARD = 32
+#: Shingles are ranked by how often they occur in about so many documents; of them, so many at most are told apart.
+RANKED_DOCS = 20_000
+RANKED = 1 << 18
+#: Room for rounding in bounds that must not shut out a pair.
+EPSILON = 1e-9
 
 
-def _sampled(tables: int, bits: int):
-    rng = np.random.default_rng(11)
-    places = [np.sort(rng.choice(BITS, bits, replace=False)).astype(np.uint64) for _ in range(tables)]
-
+def _distinct_shingles(shingle: int):
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for t, at in enumerate(places):
-                key = np.full(len(fp), t, np.uint64)
-                for p in at:
-                    key = key << np.uint64(1) | (fp >> p & np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0)], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *(np.unique(shingle_hashes(t, shingle)) for t in b.column(0).to_pylist())]).view(np.int64))], ["gram"])
 
     return mapped
 
 
-def _nearest(near: int, far: int, most: int):
-    """For each value of a shard its nearest one in the tree so far, if between `near` and `far` bits away.
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several documents of a sample share, and their numbers of documents.
+
+    They only put the shingles of each set in an order. Every order gives the same
+    links; one that has rare shingles first gives fewer candidates.
+    """
+    share = min(1.0, RANKED_DOCS / max(1, docs.count()))
+    some = (docs.sample(share, seed=5) if share < 1 else docs).select(text_of().alias("text"))
+    counted = some.mapInArrow(_distinct_shingles(shingle), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    got = counted.orderBy(F.desc("n"), "gram").limit(RANKED).toArrow()
+    grams, n = got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(grams)
+    return grams[order], n[order]
+
+
+def prefix_of(grams: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of rank and hash: sets of this similarity have one of them in common.
 
-    A shard of more than `most` is walked in sorted pieces of that size.
+    The partner of a set of s shingles holds at least similarity * s of them, so it
+    cannot lack more than the rest.
     """
+    rank = np.zeros(len(grams), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+        rank = np.where(common[at] == grams, times[at], 0)
+    most = len(grams) - int(np.ceil(similarity * len(grams) - EPSILON)) + 1
+    return grams[np.lexsort((grams, rank))[:most]]
 
+
+def _prefixes(shingle: int, similarity: float, common: np.ndarray, times: np.ndarray):
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_held, tree = None, BKTree()
         for b in batches:
-            pairs = []
-            for key, value in zip(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64).tolist()):
-                if key != key_held or len(tree.values) >= most:
-                    key_held, tree = key, BKTree()
-                found = [((tree.values[i] ^ value).bit_count(), tree.values[i]) for i in tree.near_then_add(value, far)]
-                if found and (best := min(found))[0] > near:
-                    pairs.append((min(value, best[1]), max(value, best[1])))
-            a = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+            fps, sids, sizes, prefixes = [], [], [], []
+            for t in b.column(1).to_pylist():
+                h = shingle_hashes(t, shingle)
+                grams = np.unique(h)
+                fps.append(_majority(h))
+                sids.append(xxhash.xxh3_64_intdigest(grams.tobytes()))
+                sizes.append(len(grams))
+                prefixes.append(prefix_of(grams, similarity, common, times).view(np.int64) if len(grams) else np.zeros(0, np.int64))
+            signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), signed(fps), signed(sids), pa.array(sizes, pa.int32()), b.column(2), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "fp", "sid", "size", "text_key", "prefix"])
 
     return mapped
 
@@ -231,35 +250,71 @@ def _nearest(near: int, far: int, most: int):
 def _sets(shingle: int):
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "grams"])
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], ["sid", "fp", "grams"])
 
     return mapped
 
 
-def similar_links(docs: DataFrame, distinct: DataFrame, n: int, *, shingle: int, radius: int, similarity: float, max_shard: int = MAX_SHARD) -> DataFrame:
-    """Edges (a, b) between fingerprints further apart than `radius` whose texts have at least this share of shingles in common.
-
-    Candidates come from BK-trees over shards that samplings of the bits deal; each
-    value asks for its nearest in each of its shards. They are checked on the whole
-    texts, one for each fingerprint. These links come on top of those within the
-    radius, and only those are complete.
-    """
-    spark = docs.sparkSession
-    bits = int(min(40, max(8, np.log2(max(1, n) / SAMPLED_SHARD))))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = distinct.where("least is not null").select("fp").mapInArrow(_sampled(TABLES, bits), "key long, fp long")
-    pairs = written(keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_nearest(radius, WIDE, max_shard), "a long, b long").distinct(), "candidates", rows=n)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = written(asked.join(distinct, "fp").select("fp", F.col("least").alias("want_id"), F.xxhash64("least").alias("want_key")), "wanted", rows=n)
-    rows = docs.select(F.col("doc_id").cast("long").alias("sim_id"), text_of().alias("sim_text")).withColumn("sim_key", F.xxhash64("sim_id"))
+def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
+    """Edges (a, b) of fingerprints for those pairs (a, b) of sets that have the similarity, from the whole texts."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    wanted = written(asked.join(sets, "sid").select("sid", "fp", F.col("text_key").alias("want_key")), "wanted")
+    rows = docs.select(text_of().alias("sim_text")).withColumn("sim_key", F.xxhash64("sim_text"))
     some = maybe_in(rows, "sim_key", bitmap_of(wanted, "want_key", DROP_BITS), DROP_BITS, "sim_maybe").where("sim_maybe")
-    texts = some.join(wanted, F.col("sim_id") == F.col("want_id")).groupBy("fp").agg(F.min("sim_text").alias("text"))
-    sets = written(texts.mapInArrow(_sets(shingle), "fp long, grams array<bigint>"), "sets")
-    one = lambda k: sets.select(F.col("fp").alias(k), F.col("grams").alias(f"grams_{k}"))
+    texts = some.join(wanted, F.col("sim_key") == F.col("want_key")).groupBy("sid", "fp").agg(F.min("sim_text").alias("text"))
+    whole = written(texts.mapInArrow(_sets(shingle), "sid long, fp long, grams array<bigint>"), "sets")
+    one = lambda k: whole.select(F.col("sid").alias(k), F.col("fp").alias(f"fp_{k}"), F.col("grams").alias(f"grams_{k}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b")
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    return both.where(shared >= similarity * (F.size("grams_a") + F.size("grams_b") - shared)).select("a", "b")
+    good = both.where(shared >= similarity * (F.size("grams_a") + F.size("grams_b") - shared))
+    return written(good.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct(), "similar")
+
+
+def similar_links(docs: DataFrame, light: DataFrame, links: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that, with `links`, connect exactly what those and all pairs of texts of this similarity connect.
+
+    `light` has fp, sid (a hash of the set of shingles), size, text_key and prefix
+    of each document. Two sets of the similarity share a shingle of their prefixes
+    (see prefix_of()), whatever the number of documents. First each set is compared
+    with one set of each of its shingles; then all sets that share one and are not
+    connected yet are compared with each other. So a large group of copies needs a
+    comparison for each copy, not for each pair. Texts without words have no links.
+    """
+    light = light.where("size > 0")
+    first = lambda c: F.any_value(c).alias(c)
+    sets = written(light.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("text_key").alias("text_key"), first("size"), first("prefix")), "shingle_sets")
+    same = light.select("sid", F.col("fp").alias("b")).distinct().join(sets.select("sid", F.col("fp").alias("a")), "sid").where("a != b").select("a", "b")
+    links = written(links.union(same), "links")
+    at = sets.select("sid", "fp", "size", F.posexplode("prefix").alias("pos", "gram"))
+    several = written(at.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "several")
+    rows = written(at.join(several, "gram", "left_semi"), "shared_grams")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        parts = connected_components(links).select(F.col("node").alias("fp"), "label")
+        return written(rows.join(parts, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
+
+    def fits(x: str, y: str) -> Column:
+        n, m = F.col(f"{x}.size"), F.col(f"{y}.size")
+        left = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))  # more they cannot share if this is the first shingle they do
+        return (F.least(n, m) >= similarity * F.greatest(n, m) - EPSILON) & (left >= similarity / (1 + similarity) * (n + m) - EPSILON)
+
+    def pairs_of(joined: DataFrame) -> DataFrame:
+        kept = joined.where(fits("x", "y") & (F.col("x.label") != F.col("y.label")))
+        return kept.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+
+    # Tables that are joined by shingle are written first, so that a join can be split at hot shingles.
+    each = labelled(links)
+    leaders = written(each.groupBy("gram").agg(F.min(F.struct("sid", "size", "pos", "label")).alias("y")).select("gram", "y.*"), "leaders")
+    tried = written(pairs_of(each.alias("x").join(leaders.alias("y"), "gram")), "candidates")
+    links = written(links.union(_similar(docs, sets, tried, shingle=shingle, similarity=similarity)), "links")
+    each = labelled(links)
+    counts = each.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = written(counts.groupBy("gram").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("gram", "main"), "main")
+    # Of two sets with different labels one at least has not the label that is most common at their shingle.
+    fewer = written(each.join(main, "gram").where("label != main"), "fewer")
+    rest = pairs_of(fewer.alias("x").join(each.alias("y"), "gram").where((F.col("y.label") == F.col("x.main")) | (F.col("x.sid") < F.col("y.sid"))))
+    return links.union(_similar(docs, sets, written(rest.join(tried, ["a", "b"], "left_anti"), "candidates"), shingle=shingle, similarity=similarity))
 
 
 def simhash_groups(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None, max_shard: int = MAX_SHARD) -> DataFrame:
@@ -267,19 +322,24 @@ def simhash_groups(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RAD
 
     Returns one row per row: doc_id, fp (the fingerprint as a signed long),
     component_id (the smallest doc_id of the group, itself included). Fingerprints that
-    differ in `radius` bits or fewer are linked, and with `similarity` those that
-    similar_links() adds; a group is what links connect. Texts without words have
+    differ in `radius` bits or fewer are linked, and with `similarity` those of all
+    texts that have this share of shingles in common; a group is what links connect. Texts without words have
     fingerprint zero, null ones too. A group of rows with null doc_id only has null
     as component_id. Rows with equal fingerprints are one node from the start, so
     a hot group of copies is one node. Other columns are ignored; no rows: no rows.
     """
     small_batches(docs.sparkSession)
-    light = written(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
+    if similarity is None:
+        light = written(rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
+    else:
+        made = rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_prefixes(shingle, similarity, *common_shingles(docs, shingle)), "doc_id long, fp long, sid long, size int, text_key long, prefix array<bigint>")
+        light = written(made, "fingerprints")
     distinct = written(light.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", rows=light.count())
     n = distinct.count()
     links = close_links(distinct, radius=radius, max_shard=max_shard)
     if similarity is not None:
-        links = links.union(similar_links(docs, distinct, n, shingle=shingle, radius=radius, similarity=similarity, max_shard=max_shard))
+        links = similar_links(docs, light, links, shingle=shingle, similarity=similarity)
     parts = written(connected_components(links), "parts", rows=n)
     labelled = distinct.join(parts.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -211,3 +211,31 @@ def test_sampled_shards_may_be_small(spark, docs):
     base = {(r["doc_id"], r["component_id"]) for r in simhash.simhash_groups(docs).collect()}
     groups = lambda x: len({c for _, c in x})
     assert groups(wide(512)) <= groups(wide(2)) <= groups(base)
+
+
+def test_similar_texts_are_grouped_as_all_pairs_are(spark, docs, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    licence = [word() for _ in range(30)]  # in many texts that are not similar otherwise
+    made = []
+    for _ in range(60):
+        words = [word() for _ in range(rng.choice([9, 40, 70, 150]))] + rng.choice([[], licence])
+        made.append(words)
+        for _ in range(3):
+            cut = rng.randint(0, len(words) // 8)
+            made.append(words[cut:] if rng.random() < 0.5 else words[: len(words) - cut] + [word() for _ in range(cut // 2)])
+    hot = [word() for _ in range(90)]
+    made += [[*hot[:k], word(), *hot[k + 1 :]] for k in range(80)]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(10_000 + i, " ".join(w)) for i, w in enumerate(made)] + [(None, " ".join(made[0] + ["end"]))]
+    grams = [frozenset(simhash.shingle_hashes(t or "", 5).tolist()) for _, t in rows]
+    fps = [simhash.fingerprint(t or "", 5) for _, t in rows]
+    near = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    alike = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if grams[i] and grams[j] and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
+    assert sum((fps[i] ^ fps[j]).bit_count() > 12 for i, j in alike) > 20
+    root = roots(len(rows), near + alike)
+    least = {r: min(rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None) for r in set(root)}
+    want = sorted((rows[i][0] is None, rows[i][0] or 0, least[root[i]]) for i in range(len(rows)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for ranked in (20_000, 100):  # whatever the sample, the groups are the same
+        monkeypatch.setattr(simhash, "RANKED_DOCS", ranked)
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"]) for r in simhash.simhash_groups(frame, similarity=0.8).collect()) == want
