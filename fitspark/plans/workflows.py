@@ -129,7 +129,7 @@ def compiled_candidates(spark, d):
 @query()
 def study_scores(spark, d):
     """Two judges and the formula on made-up résumés."""
-    jobs = table(spark, d, "part").where("p_partkey <= 50").select(F.concat(F.lit("job"), F.col("p_partkey").cast("string")).alias("jd_slug"), F.col("p_type").alias("title"), F.array("p_brand", "p_name").alias("skills"))
+    jobs = table(spark, d, "part").select(F.concat(F.lit("job"), F.col("p_partkey").cast("string")).alias("jd_slug"), F.col("p_type").alias("title"), F.array("p_brand", "p_name").alias("skills"))
     made = study.make_resumes(jobs).join(jobs.select("jd_slug", F.col("title").alias("jd_text")), "jd_slug").withColumnRenamed("text", "resume_text")
     engine = made.select("jd_slug", "tier", F.length("resume_text").cast("double").alias("score"))
     return run_study(made, engine, MockJudge(), repeats=2).select("jd_slug", "tier", "method", "repeat", "score", "tokens", "error")

@@ -315,3 +315,12 @@ def test_scoring_a_stream(spark, tmp_path):
     q.awaitTermination(120)
     want = {r["candidate_id"]: r["overall"] for r in score_candidates(candidates(spark).drop("resume_id", "raw_text"), ROLE_OBJECT, HashEmbedding()).collect()}
     assert {r["candidate_id"]: r["overall"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_study_scores_cover_all_jobs(spark, tmp_path):
+    from fitspark.plans import workflows
+
+    parts = [(k, f"type {k % 7}", f"brand {k % 5}", f"name {k}") for k in range(1, 81)]
+    spark.createDataFrame(parts, "p_partkey long, p_type string, p_brand string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = workflows.study_scores(spark, str(tmp_path)).groupBy("jd_slug").count().collect()
+    assert {r["jd_slug"] for r in got} == {f"job{k}" for k in range(1, 81)} and {r["count"] for r in got} == {3 * 3 * 2}
