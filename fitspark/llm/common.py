@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,10 @@ WS_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\x0c\r"
 
-#: Rows of an Arrow batch: texts may be very long, so batches hold few of them.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch at most: texts may be very long.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+#: A map of rows has 16 bits for each key, but 2**MAX_BITS bits (32 MB) at most.
+MAX_BITS, LEAST_BITS = 28, 15
 
 
 def text_of(col: str | Column = "text") -> Column:
@@ -31,9 +34,11 @@ def strip_ws(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where one machine is all."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return (path or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")  # unset only where one machine is all
+    if not path and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    return (path or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -60,27 +65,47 @@ def written(df: DataFrame, label: str, *, rows: int | None = None) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of an Arrow batch of texts, for an operator that runs Python."""
+    """Bound the memory of an Arrow batch of texts, for an operator that runs Python.
+
+    Spark reads the bounds when a result is computed, so they stay with the session.
+    """
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+@dataclass
+class KeyMap:
+    """A one-hash membership map of 64-bit keys, which lets a scan tell most rows that have none of them."""
+
+    rows: DataFrame
+    bits: int
+
+
+#: Bits of a row of a map, which is what bitmap_construct_agg() makes.
+CHUNK = 15
 
 
-def bitmap_of(keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """A one-hash membership bitmap of 64-bit keys as rows (bm_word, bm_bits).
+def key_map(keys: DataFrame, key: str, n: int, *, bits: int | None = None) -> KeyMap:
+    """A map of the column `key` of `keys`, which are about `n`, as 4 kB rows (bm_chunk, bm_bits).
 
-    At most 2**bits / 64 rows whatever the input, which bounds a broadcast of it.
+    Its size goes by the number of keys up to 2**MAX_BITS bits; a broadcast of it
+    is never larger than 32 MB. With more than some 10**8 keys it fills up: then
+    more rows pass than need to, up to all, and never fewer.
     """
+    bits = bits or min(MAX_BITS, max(LEAST_BITS, 4 + (max(1, n) - 1).bit_length()))
     slot = F.expr(f"{key} & {(1 << bits) - 1}L")
-    return (
-        keys.select(F.shiftright(slot, 6).alias("bm_word"), F.expr(f"shiftleft(1L, cast({key} & 63L as int))").alias("bm_bits"))
-        .groupBy("bm_word")
-        .agg(F.expr("bit_or(bm_bits)").alias("bm_bits"))
-    )
-
-
-def maybe_in(rows: DataFrame, key: str, bitmap: DataFrame, bits: int, flag: str) -> DataFrame:
-    """Add `flag`: true for every key that was put into the bitmap, and for few others."""
-    word = F.expr(f"shiftright({key} & {(1 << bits) - 1}L, 6)")
-    hit = F.expr(f"coalesce(bm_bits & shiftleft(1L, cast({key} & 63L as int)), 0L) != 0L")
-    return rows.join(F.broadcast(bitmap), word == F.col("bm_word"), "left").withColumn(flag, hit).drop("bm_word", "bm_bits")
+    slots = keys.select(slot.alias("bm_slot")).select(F.shiftright("bm_slot", CHUNK).alias("bm_chunk"), F.expr(f"bm_slot & {(1 << CHUNK) - 1}L").alias("bm_at"))
+    # Chunks are put together where their slots have been dealt to: partial chunks of every task would be larger than the slots.
+    return KeyMap(slots.repartition("bm_chunk").groupBy("bm_chunk").agg(F.bitmap_construct_agg("bm_at").alias("bm_bits")), bits)
+
+
+def maybe_in(rows: DataFrame, key: str, known: KeyMap, flag: str) -> DataFrame:
+    """Add `flag`: true for every key that was put into the map, and for few others."""
+    chunk = F.expr(f"shiftright({key} & {(1 << known.bits) - 1}L, {CHUNK})")
+    at = F.expr(f"cast({key} & {(1 << CHUNK) - 1}L as int)")
+    byte = F.conv(F.hex(F.substring("bm_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1, F.lit(False))
+    return rows.join(F.broadcast(known.rows), chunk == F.col("bm_chunk"), "left").withColumn(flag, hit).drop("bm_chunk", "bm_bits")

@@ -19,15 +19,20 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     side. No edges: no rows.
     """
     e = written(edges.where("a is not null and b is not null and a != b").select("a", "b").distinct(), "edges")
-    chosen: list[DataFrame] = []
+    out, rounds = None, 0
     while n := e.count():
-        if len(chosen) == max_rounds:
+        if rounds == max_rounds:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         both = e.union(e.select("b", "a"))
-        rank = lambda c: F.xxhash64(F.col(c), F.lit(len(chosen)))
+        rank = lambda c: F.xxhash64(F.col(c), F.lit(rounds))
         best = both.groupBy("a").agg(F.min_by("b", rank("b")).alias("b"))
         step = written(best.select(F.col("a").alias("node"), F.when(rank("b") < rank("a"), F.col("b")).otherwise(F.col("a")).alias("to")), "choice", rows=2 * n)
-        chosen.append(step)
+        # Labels are folded round by round, so that no plan grows with the rounds.
+        if out is None:
+            most, out = 2 * n, step.select("node", F.col("to").alias("label"))
+        else:
+            moved = out.join(step.select(F.col("node").alias("label"), "to"), "label", "left")
+            out = written(moved.select("node", F.coalesce("to", "label").alias("label")), "labels", rows=most)
         e = written(
             e.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")
             .join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
@@ -37,9 +42,5 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
             "edges",
             rows=n,
         )
-    if not chosen:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    out = chosen[0].select("node", F.col("to").alias("label"))
-    for step in chosen[1:]:
-        out = out.join(step.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return out
+        rounds += 1
+    return out or e.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitspark.llm.common import bitmap_of, maybe_in, ship, strip_ws, text_of, written
+from fitspark.llm.common import KeyMap, key_map, maybe_in, ship, strip_ws, text_of, written
 
 #: Bits of an exchanged fingerprint; more make fewer false suspects.
 FINGERPRINT_BITS = 48
@@ -19,8 +19,6 @@ FINGERPRINT_BITS = 48
 PER_OWNER = 2_000_000
 #: Rows of a sender's block.
 PER_BLOCK = 1_000_000
-#: The map of suspects has 2**SUSPECT_BITS bits, whatever the input (4 MB).
-SUSPECT_BITS = 25
 
 
 def golomb_encode(values: np.ndarray, low: int, high: int) -> tuple[bytes, int]:
@@ -124,7 +122,13 @@ def suspect_fingerprints(light: DataFrame, *, fingerprint_bits: int = FINGERPRIN
     return blocks.join(replies, ["owner", "block"]).mapInArrow(_suspects(width), "fp long")
 
 
-def exact_dedup(docs: DataFrame, *, fingerprint_bits: int = FINGERPRINT_BITS, suspect_bits: int = SUSPECT_BITS) -> DataFrame:
+def suspect_map(light: DataFrame, fingerprint_bits: int) -> KeyMap:
+    """The suspects among `light` (fp, uid) as a map that picks their rows from a scan."""
+    found = written(suspect_fingerprints(light, fingerprint_bits=fingerprint_bits).distinct(), "suspects")
+    return key_map(found, "fp", found.count())
+
+
+def exact_dedup(docs: DataFrame, *, fingerprint_bits: int = FINGERPRINT_BITS) -> DataFrame:
     """Group the rows of `docs` (doc_id, text, ...) whose texts are equal without white space.
 
     Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256.
@@ -138,8 +142,8 @@ def exact_dedup(docs: DataFrame, *, fingerprint_bits: int = FINGERPRINT_BITS, su
        owners of ranges of the fingerprints and get bitmaps of duplicates back.
        A hot group is one entry in each block, so no owner gets its rows.
     3. Suspects alone are shuffled for verification: texts are compared byte by
-       byte by grouping on them, pre-aggregated on the map side. A bitmap of
-       fixed size picks the suspects from the scan; what it lets through besides
+       byte by grouping on them, pre-aggregated on the map side. A map of
+       bounded size picks the suspects from the scan; what it lets through besides
        forms groups of one.
     """
     text = text_of()
@@ -149,10 +153,10 @@ def exact_dedup(docs: DataFrame, *, fingerprint_bits: int = FINGERPRINT_BITS, su
         docs.select("doc_id", F.char_length(text).alias("n"), norm.alias("norm")).select("doc_id", "n", F.unhex(F.sha2("norm", 256)).alias("sha"), fp.alias("fp"), F.monotonically_increasing_id().alias("uid")),
         "light",
     )
-    suspects = written(bitmap_of(suspect_fingerprints(light, fingerprint_bits=fingerprint_bits), "fp", suspect_bits), "suspects", rows=1 << suspect_bits >> 6)
-    texts = maybe_in(docs.select(norm.alias("norm")).select("norm", fp.alias("fp")), "fp", suspects, suspect_bits, "suspect").where("suspect")
+    suspects = suspect_map(light, fingerprint_bits)
+    texts = maybe_in(docs.select(norm.alias("norm")).select("norm", fp.alias("fp")), "fp", suspects, "suspect").where("suspect")
     verified = texts.groupBy("norm").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(F.unhex(F.sha2("norm", 256)).alias("sha"), "size")
-    marked = maybe_in(light, "fp", suspects, suspect_bits, "suspect").where("suspect")
+    marked = maybe_in(light, "fp", suspects, "suspect").where("suspect")
     first = marked.groupBy("sha").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("null"), "doc_id", "uid")).alias("keep"))
     groups = written(verified.join(first, "sha").select("sha", "size", F.col("keep.doc_id").alias("keep_id"), F.col("keep.uid").alias("keep_uid")), "groups", rows=light.count())
     return light.join(groups, "sha", "left").select(
@@ -164,7 +168,7 @@ def exact_dedup(docs: DataFrame, *, fingerprint_bits: int = FINGERPRINT_BITS, su
     )
 
 
-def exact_documents(docs: DataFrame, *, fingerprint_bits: int = FINGERPRINT_BITS, suspect_bits: int = SUSPECT_BITS) -> DataFrame:
+def exact_documents(docs: DataFrame, *, fingerprint_bits: int = FINGERPRINT_BITS) -> DataFrame:
     """`docs` with one row of each group that exact_dedup() finds, by the same rule and exchange.
 
     Returns the columns of `docs`. Rows that no fingerprint makes suspect are not
@@ -175,7 +179,7 @@ def exact_documents(docs: DataFrame, *, fingerprint_bits: int = FINGERPRINT_BITS
     order = F.struct((-F.char_length(text)).alias("n"), F.col("doc_id").isNull().alias("null"), "doc_id")
     rows = docs.select(F.struct(*docs.columns).alias("dedup_row"), strip_ws(text).alias("dedup_norm"), order.alias("dedup_order")).withColumn("dedup_fp", fp)
     light = written(rows.select(F.col("dedup_fp").alias("fp"), F.monotonically_increasing_id().alias("uid")), "light")
-    suspects = written(bitmap_of(suspect_fingerprints(light, fingerprint_bits=fingerprint_bits), "fp", suspect_bits), "suspects", rows=1 << suspect_bits >> 6)
-    marked = maybe_in(rows, "dedup_fp", suspects, suspect_bits, "dedup_suspect")
+    suspects = suspect_map(light, fingerprint_bits)
+    marked = maybe_in(rows, "dedup_fp", suspects, "dedup_suspect")
     kept = marked.where("dedup_suspect").groupBy("dedup_norm").agg(F.min_by("dedup_row", "dedup_order").alias("dedup_row"))
     return marked.where("not dedup_suspect").select("dedup_row.*").union(kept.select("dedup_row.*"))

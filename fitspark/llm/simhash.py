@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitspark.llm.common import bitmap_of, maybe_in, small_batches, text_of, written
+from fitspark.llm.common import key_map, maybe_in, small_batches, text_of, written
 from fitspark.llm.components import connected_components
+from fitspark.llm.exact_dedup import suspect_fingerprints
 
 SHINGLE = 5
 #: The share of shingles that texts must have in common for a link beyond the radius.
@@ -247,28 +248,59 @@ def _prefixes(shingle: int, similarity: float, common: np.ndarray, times: np.nda
     return mapped
 
 
-def _sets(shingle: int):
+def _alike(shingle: int, similarity: float):
+    """Those pairs of texts (a, b, text_a, text_b) whose sets have the similarity, as (a, b)."""
+
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], ["sid", "fp", "grams"])
+        for batch in batches:
+            kept, held, grams = [], None, None
+            for i, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if a != held:  # pairs with the same first set often follow each other
+                    held, grams = a, np.unique(shingle_hashes(x, shingle))
+                other = np.unique(shingle_hashes(y, shingle))
+                shared = len(np.intersect1d(grams, other, assume_unique=True))
+                if shared >= similarity * (len(grams) + len(other) - shared):
+                    kept.append(i)
+            yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
 
     return mapped
 
 
 def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
-    """Edges (a, b) of fingerprints for those pairs (a, b) of sets that have the similarity, from the whole texts."""
+    """Edges (a, b) of fingerprints for those pairs (a, b) of sets that have the similarity, from the whole texts.
+
+    One text of each set asked for is shuffled and written; a pair then takes its
+    texts along, which compress better than their shingles' hashes.
+    """
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = written(asked.join(sets, "sid").select("sid", "fp", F.col("text_key").alias("want_key")), "wanted")
+    wanted = written(asked.join(sets.select("sid", "fp", "text_key"), "sid"), "wanted")
     rows = docs.select(text_of().alias("sim_text")).withColumn("sim_key", F.xxhash64("sim_text"))
-    some = maybe_in(rows, "sim_key", bitmap_of(wanted, "want_key", DROP_BITS), DROP_BITS, "sim_maybe").where("sim_maybe")
-    texts = some.join(wanted, F.col("sim_key") == F.col("want_key")).groupBy("sid", "fp").agg(F.min("sim_text").alias("text"))
-    whole = written(texts.mapInArrow(_sets(shingle), "sid long, fp long, grams array<bigint>"), "sets")
-    one = lambda k: whole.select(F.col("sid").alias(k), F.col("fp").alias(f"fp_{k}"), F.col("grams").alias(f"grams_{k}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b")
-    shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    good = both.where(shared >= similarity * (F.size("grams_a") + F.size("grams_b") - shared))
-    return written(good.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct(), "similar")
+    some = maybe_in(rows, "sim_key", key_map(wanted, "text_key", wanted.count()), "sim_maybe").where("sim_maybe")
+    one = some.groupBy("sim_key").agg(F.min("sim_text").alias("text"))
+    texts = written(one.join(wanted, F.col("sim_key") == F.col("text_key")).select("sid", "text"), "texts")
+    side = lambda k: texts.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    good = written(both.mapInArrow(_alike(shingle, similarity), "a long, b long"), "similar")
+    fp = lambda k: wanted.select(F.col("sid").alias(k), F.col("fp").alias(f"fp_{k}"))
+    return good.join(fp("a"), "a").join(fp("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+
+
+#: Bits of a shingle's hash by which partitions ask each other whether others have it.
+GRAM_BITS = 48
+
+
+def shared_postings(light: DataFrame) -> DataFrame:
+    """Rows (gram, sid, size, pos) of the prefixes in `light`, but for shingles that one set alone has.
+
+    Most shingles of a prefix are nobody else's. Partitions learn which by the
+    exchange of exact_dedup: some four bytes for each shingle go to its owner. Those
+    that another has are few; a map of them picks their postings, and equal sets
+    become one posting on the map side.
+    """
+    exploded = light.select("sid", "size", F.posexplode("prefix").alias("pos", "gram")).withColumn("key", F.expr(f"gram & {(1 << GRAM_BITS) - 1}L"))
+    twice = written(suspect_fingerprints(exploded.select(F.col("key").alias("fp"), F.monotonically_increasing_id().alias("uid")), fingerprint_bits=GRAM_BITS).distinct(), "twice")
+    some = maybe_in(exploded, "key", key_map(twice, "fp", twice.count()), "maybe").where("maybe")
+    return some.groupBy("gram", "sid").agg(F.min("size").alias("size"), F.min("pos").alias("pos"))
 
 
 def similar_links(docs: DataFrame, light: DataFrame, links: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
@@ -282,39 +314,45 @@ def similar_links(docs: DataFrame, light: DataFrame, links: DataFrame, *, shingl
     comparison for each copy, not for each pair. Texts without words have no links.
     """
     light = light.where("size > 0")
-    first = lambda c: F.any_value(c).alias(c)
-    sets = written(light.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("text_key").alias("text_key"), first("size"), first("prefix")), "shingle_sets")
+    sets = written(light.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("text_key").alias("text_key")), "shingle_sets")
     same = light.select("sid", F.col("fp").alias("b")).distinct().join(sets.select("sid", F.col("fp").alias("a")), "sid").where("a != b").select("a", "b")
     links = written(links.union(same), "links")
-    at = sets.select("sid", "fp", "size", F.posexplode("prefix").alias("pos", "gram"))
-    several = written(at.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "several")
-    rows = written(at.join(several, "gram", "left_semi"), "shared_grams")
+    posted = written(shared_postings(light), "posted")
+    # The first set of each shingle that several sets have.
+    leaders = written(posted.groupBy("gram").agg(F.min(F.struct("sid", "size", "pos")).alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "y.*"), "leaders")
+    nodes = sets.select("sid", "fp")
+    rows = written(posted.join(leaders.select("gram"), "gram", "left_semi").join(nodes, "sid"), "shared_grams")
 
-    def labelled(links: DataFrame) -> DataFrame:
-        parts = connected_components(links).select(F.col("node").alias("fp"), "label")
-        return written(rows.join(parts, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
+    def labels(links: DataFrame) -> DataFrame:
+        return connected_components(links).select(F.col("node").alias("fp"), "label")
 
     def fits(x: str, y: str) -> Column:
         n, m = F.col(f"{x}.size"), F.col(f"{y}.size")
         left = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))  # more they cannot share if this is the first shingle they do
         return (F.least(n, m) >= similarity * F.greatest(n, m) - EPSILON) & (left >= similarity / (1 + similarity) * (n + m) - EPSILON)
 
-    def pairs_of(joined: DataFrame) -> DataFrame:
-        kept = joined.where(fits("x", "y") & (F.col("x.label") != F.col("y.label")))
-        return kept.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+    def pairs_of(x: DataFrame, y: DataFrame, on: Column) -> DataFrame:
+        both = x.alias("x").join(y.alias("y"), (F.col("x.gram") == F.col("y.gram")) & on & fits("x", "y"))
+        return both.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
 
-    # Tables that are joined by shingle are written first, so that a join can be split at hot shingles.
-    each = labelled(links)
-    leaders = written(each.groupBy("gram").agg(F.min(F.struct("sid", "size", "pos", "label")).alias("y")).select("gram", "y.*"), "leaders")
-    tried = written(pairs_of(each.alias("x").join(leaders.alias("y"), "gram")), "candidates")
+    def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """Pairs of sets that no links connect yet; few pairs are left when the labels come in."""
+        at = lambda k: nodes.select(F.col("sid").alias(k), F.col("fp").alias(f"fp_{k}"))
+        label = lambda k: parts.select(F.col("fp").alias(f"fp_{k}"), F.col("label").alias(f"label_{k}"))
+        both = pairs.join(at("a"), "a").join(at("b"), "b").where("fp_a != fp_b").join(label("a"), "fp_a", "left").join(label("b"), "fp_b", "left")
+        return both.where(F.coalesce("label_a", "fp_a") != F.coalesce("label_b", "fp_b")).select("a", "b")
+
+    tried = written(apart(pairs_of(rows, leaders, F.col("x.sid") != F.col("y.sid")), labels(links)), "candidates")
     links = written(links.union(_similar(docs, sets, tried, shingle=shingle, similarity=similarity)), "links")
-    each = labelled(links)
+    # Tables that are joined by shingle are written first, so that a join can be split at hot shingles.
+    each = written(rows.join(labels(links), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
     counts = each.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("n"))
     main = written(counts.groupBy("gram").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("gram", "main"), "main")
     # Of two sets with different labels one at least has not the label that is most common at their shingle.
     fewer = written(each.join(main, "gram").where("label != main"), "fewer")
-    rest = pairs_of(fewer.alias("x").join(each.alias("y"), "gram").where((F.col("y.label") == F.col("x.main")) | (F.col("x.sid") < F.col("y.sid"))))
-    return links.union(_similar(docs, sets, written(rest.join(tried, ["a", "b"], "left_anti"), "candidates"), shingle=shingle, similarity=similarity))
+    rest = pairs_of(fewer, each, (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("x.main")) | (F.col("x.sid") < F.col("y.sid"))))
+    untried = written(rest.join(tried, ["a", "b"], "left_anti"), "candidates")
+    return links.union(_similar(docs, sets, untried, shingle=shingle, similarity=similarity))
 
 
 def simhash_groups(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None, max_shard: int = MAX_SHARD) -> DataFrame:
@@ -342,28 +380,26 @@ def simhash_groups(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RAD
         links = similar_links(docs, light, links, shingle=shingle, similarity=similarity)
     parts = written(connected_components(links), "parts", rows=n)
     labelled = distinct.join(parts.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    # Both written, so that the join is of plain exchanges and a giant component can be split.
+    labelled = written(labelled, "labelled", rows=n)
+    least = written(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "least", rows=n)
     node = labelled.join(least, "label").select("fp", "component_id")
     return light.join(node, "fp").select("doc_id", "fp", "component_id")
 
 
-#: The map of dropped ids has 2**DROP_BITS bits, whatever the input (4 MB).
-DROP_BITS = 25
-
-
 def near_documents(docs: DataFrame, **options) -> DataFrame:
     """`docs` with one document of each near-duplicate group: the one with the smallest doc_id.
 
     Groups are those of simhash_groups(), by default with further links between texts
     that share four fifths of their shingles. Returns the columns of `docs`. Documents are told apart by doc_id: rows that
     share a doc_id stay or go together; if some of them would stay, all do. A row
-    with null doc_id stays. A bitmap of fixed size lets most rows pass without a
+    with null doc_id stays. A map of bounded size lets most rows pass without a
     shuffle; only those it may hold are compared with the dropped ids.
     """
     groups = simhash_groups(docs, **{"similarity": SIMILARITY} | options).where("doc_id is not null")
     fate = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
     dropped = written(fate.where("not stays").select(F.col("doc_id").alias("drop_id"), F.xxhash64("doc_id").alias("drop_key")), "dropped")
     rows = docs.select(F.struct(*docs.columns).alias("near_row"), F.col("doc_id").cast("long").alias("near_id")).withColumn("near_key", F.xxhash64("near_id"))
-    marked = maybe_in(rows, "near_key", written(bitmap_of(dropped, "drop_key", DROP_BITS), "drops"), DROP_BITS, "near_maybe")
+    marked = maybe_in(rows, "near_key", key_map(dropped, "drop_key", dropped.count()), "near_maybe")
     asked = marked.where("near_maybe").join(dropped, F.col("near_id") == F.col("drop_id"), "left_anti")
     return marked.where("not near_maybe").select("near_row.*").union(asked.select("near_row.*"))

@@ -10,12 +10,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitspark.llm.common import bitmap_of, maybe_in, small_batches, text_of, written
+from fitspark.llm.common import key_map, maybe_in, small_batches, text_of, written
 
-#: Each of the two maps that pick rows from the scan has 2**MAP_BITS bits, whatever the input (4 MB).
-MAP_BITS = 25
-
-CACHE = "digest binary, version string, n_tokens long"
+CACHE = "digest binary, n_tokens long, version string"
 
 _models: dict[str, object] = {}
 
@@ -72,12 +69,13 @@ def token_counts(docs: DataFrame, path: str, cache: str, *, limit: int = 4096) -
     that: any other change could change the count. Repeated rows and rows with
     null doc_id stay. Other columns are ignored; no rows: no rows.
 
-    `cache` is a Parquet table in storage that all machines share. Digests that it
-    has for this tokenizer file are joined to their counts. Of the others, one text
-    of each is encoded, and its count appended. Texts that occur once are encoded
-    where they are read; only repeated ones are shuffled, one of each from each
-    task. Two bitmaps of fixed size tell the scan which rows are which; when they
-    fill up, more texts than necessary are shuffled or encoded, with the same counts.
+    `cache` is a Parquet table in storage that all machines share, in one folder
+    for each tokenizer version, of which a run reads its own, once. Digests that it
+    has are joined to their counts. Of the others, one text of each is encoded, and
+    its count appended. Texts that occur once are encoded where they are read; only
+    repeated ones, and those that the maps cannot tell, are shuffled, one of each
+    from each task. Two maps of bounded size (see key_map()) tell the scan which rows
+    are which; the first is of the misses or of the hits, whichever are fewer.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -85,21 +83,23 @@ def token_counts(docs: DataFrame, path: str, cache: str, *, limit: int = 4096) -
     text = text_of()
     keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
     light = written(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
-    known = read_cache(spark, cache, version)
     n = light.count()
-    wanted = written(light.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).join(known, "digest", "left_anti"), "misses", rows=n)
+    asked = written(light.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).join(read_cache(spark, cache, version), "digest", "left"), "asked", rows=n)
+    hits, misses = asked.where("n_tokens is not null").select("digest", "n_tokens"), asked.where("n_tokens is null").select("digest", "times")
+    n_hits, n_misses, n_many = asked.agg(F.count("n_tokens"), F.count_if(F.col("n_tokens").isNull()), F.count_if(F.expr("n_tokens is null and times > 1"))).first()
     key = F.xxhash64("digest").alias("key")
-    maps = {name: bitmap_of(rows.select(key), "key", MAP_BITS) for name, rows in (("miss", wanted), ("many", wanted.where("times > 1")))}
-    scan = keyed.select("digest", "text", key)
-    for name, rows in maps.items():
-        scan = maybe_in(scan, "key", rows, MAP_BITS, name)
-    once = scan.where("miss and not many").select("digest", "text")
-    many = scan.where("miss and many").groupBy("digest").agg(F.first("text").alias("text"))
-    counted = once.union(many).mapInArrow(_counted(path), "digest binary, n_tokens long")
-    # The bitmap of misses lets a few cached digests through.
-    fresh = counted.join(wanted.select("digest"), "digest", "left_semi")
-    found = fresh.select("digest", F.lit(version).alias("version"), "n_tokens")
-    found.write.mode("append").parquet(cache)
+    few, by_hits = (hits, True) if n_hits < n_misses else (misses, False)
+    scan = maybe_in(keyed.select("digest", "text", key), "key", key_map(few.select(key), "key", min(n_hits, n_misses)), "maybe")
+    scan = maybe_in(scan, "key", key_map(misses.where("times > 1").select(key), "key", n_many), "many")
+    if by_hits:
+        once, rest = scan.where("not maybe and not many"), scan.where("maybe or many")
+    else:  # a few hits pass, and go with their counts
+        once, rest = scan.where("maybe and not many"), scan.where("maybe and many")
+    texts = once.select("digest", "text").union(rest.join(misses, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")))
+    counted = texts.mapInArrow(_counted(path), "digest binary, n_tokens long")
+    fresh = written(counted.join(misses, "digest", "left_semi"), "fresh")
+    if n_misses:
+        fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").partitionBy("version").parquet(cache)
     # Written, so that both sides of the join are plain exchanges and a hot digest can be split.
-    counts = written(read_cache(spark, cache, version).join(light.select("digest").distinct(), "digest", "left_semi"), "counts", rows=n)
+    counts = written(hits.union(fresh), "counts")
     return light.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -88,7 +88,7 @@ def test_cached_counts_are_used_and_versions_kept_apart(spark, tmp_path):
     rows = spark.createDataFrame([(1, "hello"), (2, "world")], "doc_id long, text string")
     own = token_counts.tokenizer_version(model)
     for version in (own, "another"):
-        rows.where("doc_id = 1").select(F.unhex(F.sha2("text", 256)).alias("digest"), F.lit(version).alias("version"), F.lit(77 if version == own else 99).cast("long").alias("n_tokens")).write.mode("append").parquet(cache)
+        rows.where("doc_id = 1").select(F.unhex(F.sha2("text", 256)).alias("digest"), F.lit(version).alias("version"), F.lit(77 if version == own else 99).cast("long").alias("n_tokens")).write.mode("append").partitionBy("version").parquet(cache)
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(rows, model, cache).collect()}
     assert got[1] == 77 and got[2] == len(sentencepiece.SentencePieceProcessor(model_file=model).encode("world"))
 
