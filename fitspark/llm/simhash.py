@@ -231,19 +231,38 @@ def prefix_of(grams: np.ndarray, similarity: float, common: np.ndarray, times: n
     return grams[np.lexsort((grams, rank))[:most]]
 
 
+#: Longs of a set's sketch.
+SKETCH = 8
+
+
+def odd_sketch(grams: np.ndarray) -> np.ndarray:
+    """Bits that say of which of the 64 * SKETCH classes of shingles a set has an odd number.
+
+    Two sketches differ in no more bits than their sets have shingles that the other lacks.
+    """
+    odd = np.bincount((grams >> np.uint64(16)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+SKETCHES = [f"sk{i}" for i in range(SKETCH)]
+PREFIXES = "doc_id long, fp long, sid long, size int, text_key long, prefix array<bigint>, " + ", ".join(f"{c} long" for c in SKETCHES)
+
+
 def _prefixes(shingle: int, similarity: float, common: np.ndarray, times: np.ndarray):
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sids, sizes, prefixes = [], [], [], []
-            for t in b.column(1).to_pylist():
+            fps, sids, sizes, prefixes, sketches = [], [], [], [], np.zeros((b.num_rows, SKETCH), np.int64)
+            for i, t in enumerate(b.column(1).to_pylist()):
                 h = shingle_hashes(t, shingle)
                 grams = np.unique(h)
                 fps.append(_majority(h))
                 sids.append(xxhash.xxh3_64_intdigest(grams.tobytes()))
                 sizes.append(len(grams))
                 prefixes.append(prefix_of(grams, similarity, common, times).view(np.int64) if len(grams) else np.zeros(0, np.int64))
+                sketches[i] = odd_sketch(grams)
             signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), signed(fps), signed(sids), pa.array(sizes, pa.int32()), b.column(2), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "fp", "sid", "size", "text_key", "prefix"])
+            columns = [b.column(0), signed(fps), signed(sids), pa.array(sizes, pa.int32()), b.column(2), pa.array(prefixes, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(SKETCH))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "sid", "size", "text_key", "prefix", *SKETCHES])
 
     return mapped
 
@@ -303,56 +322,83 @@ def shared_postings(light: DataFrame) -> DataFrame:
     return some.groupBy("gram", "sid").agg(F.min("size").alias("size"), F.min("pos").alias("pos"))
 
 
-def similar_links(docs: DataFrame, light: DataFrame, links: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
-    """Edges (a, b) that, with `links`, connect exactly what those and all pairs of texts of this similarity connect.
+#: Rounds of comparing with one set of each shingle.
+ROUNDS = 3
+
+
+def merged(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels (fp, label) after further edges (a, b) of fingerprints."""
+    at = lambda k: parts.select(F.col("fp").alias(k), F.col("label").alias(f"l{k}"))
+    between = edges.join(at("a"), "a").join(at("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    found = connected_components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return written(parts.join(found, "label", "left").select("fp", F.coalesce("to", "label").alias("label")), "labelled")
+
 
-    `light` has fp, sid (a hash of the set of shingles), size, text_key and prefix
-    of each document. Two sets of the similarity share a shingle of their prefixes
-    (see prefix_of()), whatever the number of documents. First each set is compared
-    with one set of each of its shingles; then all sets that share one and are not
-    connected yet are compared with each other. So a large group of copies needs a
-    comparison for each copy, not for each pair. Texts without words have no links.
+def similar_parts(docs: DataFrame, light: DataFrame, parts: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
+    """The labels (fp, label) of `parts` after adding the links of all pairs of texts of this similarity.
+
+    `light` has fp, sid (a hash of the set of shingles), size, text_key, prefix and
+    sketch of each document. Two sets of the similarity share a shingle of their
+    prefixes (see prefix_of()), whatever the number of documents. In some rounds each
+    set is compared with one set of each of its shingles that it is not connected to
+    yet; that connects nearly all that belongs together, by a comparison for each
+    copy of a large group, not for each pair. Then all sets that share a shingle
+    and are still not connected are compared with each other. Sizes, places in the
+    prefixes and sketches rule out pairs that cannot have the similarity before any
+    text is read; none of these bounds shuts out a pair that has it. Texts without
+    words have no links.
     """
     light = light.where("size > 0")
-    sets = written(light.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("text_key").alias("text_key")), "shingle_sets")
+    first = [F.any_value(c).alias(c) for c in SKETCHES]
+    sets = written(light.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("text_key").alias("text_key"), F.min("size").alias("size"), *first), "shingle_sets")
     same = light.select("sid", F.col("fp").alias("b")).distinct().join(sets.select("sid", F.col("fp").alias("a")), "sid").where("a != b").select("a", "b")
-    links = written(links.union(same), "links")
-    posted = written(shared_postings(light), "posted")
-    # The first set of each shingle that several sets have.
-    leaders = written(posted.groupBy("gram").agg(F.min(F.struct("sid", "size", "pos")).alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "y.*"), "leaders")
-    nodes = sets.select("sid", "fp")
-    rows = written(posted.join(leaders.select("gram"), "gram", "left_semi").join(nodes, "sid"), "shared_grams")
-
-    def labels(links: DataFrame) -> DataFrame:
-        return connected_components(links).select(F.col("node").alias("fp"), "label")
+    parts = merged(parts, same)
+    shares = similarity / (1 + similarity)  # of the sizes of two sets in all, they have this much in common
 
     def fits(x: str, y: str) -> Column:
         n, m = F.col(f"{x}.size"), F.col(f"{y}.size")
         left = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))  # more they cannot share if this is the first shingle they do
-        return (F.least(n, m) >= similarity * F.greatest(n, m) - EPSILON) & (left >= similarity / (1 + similarity) * (n + m) - EPSILON)
+        return (F.least(n, m) >= similarity * F.greatest(n, m) - EPSILON) & (left >= shares * (n + m) - EPSILON)
+
+    def near(x: str, y: str) -> Column:
+        bits = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SKETCHES[1:]), F.bit_count(F.col(f"{x}.{SKETCHES[0]}").bitwiseXOR(F.col(f"{y}.{SKETCHES[0]}"))))
+        return bits <= (1 - 2 * shares) * (F.col(f"{x}.size") + F.col(f"{y}.size")) + EPSILON
 
     def pairs_of(x: DataFrame, y: DataFrame, on: Column) -> DataFrame:
-        both = x.alias("x").join(y.alias("y"), (F.col("x.gram") == F.col("y.gram")) & on & fits("x", "y"))
+        both = x.alias("x").join(y.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & on & fits("x", "y"))
         return both.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
 
-    def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        """Pairs of sets that no links connect yet; few pairs are left when the labels come in."""
-        at = lambda k: nodes.select(F.col("sid").alias(k), F.col("fp").alias(f"fp_{k}"))
-        label = lambda k: parts.select(F.col("fp").alias(f"fp_{k}"), F.col("label").alias(f"label_{k}"))
-        both = pairs.join(at("a"), "a").join(at("b"), "b").where("fp_a != fp_b").join(label("a"), "fp_a", "left").join(label("b"), "fp_b", "left")
-        return both.where(F.coalesce("label_a", "fp_a") != F.coalesce("label_b", "fp_b")).select("a", "b")
-
-    tried = written(apart(pairs_of(rows, leaders, F.col("x.sid") != F.col("y.sid")), labels(links)), "candidates")
-    links = written(links.union(_similar(docs, sets, tried, shingle=shingle, similarity=similarity)), "links")
-    # Tables that are joined by shingle are written first, so that a join can be split at hot shingles.
-    each = written(rows.join(labels(links), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
+    def untried(pairs: DataFrame) -> DataFrame:
+        for t in tried:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        return pairs
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        """Written, so that joins by shingle are of plain exchanges and can be split at hot ones."""
+        return written(rows.select("gram", "sid", "size", "pos", "fp").join(parts, "fp"), "postings")
+
+    tried: list[DataFrame] = []
+    sketch = sets.select("sid", "size", *SKETCHES)
+    each = labelled(shared_postings(light).join(sets.select("sid", "fp"), "sid"))
+    for r in range(ROUNDS):
+        # First the same set leads wherever it is; later another at each shingle.
+        rank = F.xxhash64("sid") if r == 0 else F.xxhash64("sid", "gram", F.lit(r))
+        leaders = each.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("sid", "size", "pos", "label"), rank).alias("y"))
+        leaders = written(leaders.where("low != high").select("gram", "y.*"), "leaders")
+        pairs = untried(pairs_of(each, leaders, F.lit(True)))
+        x, y = sketch.alias("x"), sketch.alias("y")
+        likely = pairs.join(x, F.col("a") == F.col("x.sid")).join(y, F.col("b") == F.col("y.sid")).where(near("x", "y")).select("a", "b")
+        tried.append(written(likely, "candidates"))
+        parts = merged(parts, _similar(docs, sets, tried[-1], shingle=shingle, similarity=similarity))
+        each = labelled(each.join(leaders, "gram", "left_semi"))
     counts = each.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("n"))
     main = written(counts.groupBy("gram").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("gram", "main"), "main")
     # Of two sets with different labels one at least has not the label that is most common at their shingle.
-    fewer = written(each.join(main, "gram").where("label != main"), "fewer")
-    rest = pairs_of(fewer, each, (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("x.main")) | (F.col("x.sid") < F.col("y.sid"))))
-    untried = written(rest.join(tried, ["a", "b"], "left_anti"), "candidates")
-    return links.union(_similar(docs, sets, untried, shingle=shingle, similarity=similarity))
+    full = written(each.join(main, "gram").drop("fp").join(sketch.drop("size"), "sid"), "sketched")
+    fewer = full.where("label != main")
+    rest = pairs_of(fewer, full, near("x", "y") & ((F.col("y.label") == F.col("x.main")) | (F.col("x.sid") < F.col("y.sid"))))
+    last = written(untried(rest), "candidates")
+    return merged(parts, _similar(docs, sets, last, shingle=shingle, similarity=similarity))
 
 
 def simhash_groups(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None, max_shard: int = MAX_SHARD) -> DataFrame:
@@ -371,15 +417,15 @@ def simhash_groups(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RAD
     if similarity is None:
         light = written(rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
     else:
-        made = rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_prefixes(shingle, similarity, *common_shingles(docs, shingle)), "doc_id long, fp long, sid long, size int, text_key long, prefix array<bigint>")
+        made = rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_prefixes(shingle, similarity, *common_shingles(docs, shingle)), PREFIXES)
         light = written(made, "fingerprints")
     distinct = written(light.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", rows=light.count())
     n = distinct.count()
-    links = close_links(distinct, radius=radius, max_shard=max_shard)
+    linked = connected_components(close_links(distinct, radius=radius, max_shard=max_shard)).select(F.col("node").alias("fp"), "label")
+    parts = written(distinct.select("fp").join(linked, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")), "parts", rows=n)
     if similarity is not None:
-        links = similar_links(docs, light, links, shingle=shingle, similarity=similarity)
-    parts = written(connected_components(links), "parts", rows=n)
-    labelled = distinct.join(parts.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        parts = similar_parts(docs, light, parts, shingle=shingle, similarity=similarity)
+    labelled = distinct.join(parts, "fp")
     # Both written, so that the join is of plain exchanges and a giant component can be split.
     labelled = written(labelled, "labelled", rows=n)
     least = written(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "least", rows=n)
