@@ -18,3 +18,11 @@ def ship(spark: SparkSession) -> None:
         archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), package.name), "zip", package.parent, package.name)
         sc.addPyFile(archive)
         sc._fitspark_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where one machine is all."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    return (path or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")

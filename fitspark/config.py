@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, Protocol
 
 import yaml
 
@@ -231,6 +231,42 @@ def role_of(d: dict, method: dict | None = None) -> Role:
     )
 
 
+@dataclass(frozen=True)
+class Verdict:
+    """What a validator says: the whole message, the field that it names, and the block of that field."""
+
+    ok: bool
+    error: str | None = None
+    field: str | None = None
+    top: str | None = None
+
+
+class Validator(Protocol):
+    """What compilation checks an artifact with; it changes nothing."""
+
+    def validate(self, d: dict) -> Verdict: ...
+
+
+def named_field(error: str | None) -> tuple[str | None, str | None]:
+    """The field that a message names in quotes, and its first part; none without one."""
+    found = re.search("field '([^']+)'", error or "")
+    return (found[1], re.split(r"[.\[]", found[1], maxsplit=1)[0]) if found else (None, None)
+
+
+class ProfileValidator:
+    """Role profiles, by the rules that loading them applies."""
+
+    def __init__(self, method: dict | None = None) -> None:
+        self.method = method
+
+    def validate(self, d: dict) -> Verdict:
+        try:
+            role_of(d, self.method)
+        except ProfileError as e:
+            return Verdict(False, str(e), *named_field(str(e)))
+        return Verdict(True)
+
+
 def load_role(text: str, method_text: str | None = None) -> Role:
     """A role profile in YAML, and changes to the method's constants in YAML."""
     try:

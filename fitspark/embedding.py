@@ -67,6 +67,18 @@ class DigestEmbedding:
         return out
 
 
+class TermEmbedding:
+    """Marks which of some terms a text has, and a one: vectors that can be worked out by hand."""
+
+    model = "terms"
+
+    def __init__(self, terms: tuple[str, ...]) -> None:
+        self.terms, self.dim = terms, len(terms) + 1
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[*(float(t in (x or "").lower()) for t in self.terms), 1.0] for x in texts]
+
+
 def embed_texts(rows: DataFrame, backend: EmbeddingBackend, *, text: str = "text", vector: str = "vector") -> DataFrame:
     """Add the vector of each text, in batches."""
 
@@ -80,17 +92,20 @@ def embed_texts(rows: DataFrame, backend: EmbeddingBackend, *, text: str = "text
     return rows.mapInArrow(embedded, rows.withColumn(vector, F.expr("cast(array() as array<double>)")).schema)
 
 
-def embed_lists(rows: DataFrame, backend: EmbeddingBackend, *, texts: str, vectors: str) -> DataFrame:
-    """Add the vectors of an array of texts, as array<array<double>>; each text of a batch is embedded once."""
+def embedded_lists(backend: EmbeddingBackend):
+    """A column function that turns an array of texts into their vectors; nothing but the texts goes to Python, and each text of a batch is embedded once."""
 
-    ship(rows.sparkSession)
+    @F.arrow_udf("array<array<double>>")
+    def vectors(lists: pa.Array) -> pa.Array:
+        texts = [x or [] for x in lists.to_pylist()]
+        distinct = sorted({t or "" for x in texts for t in x})
+        of = dict(zip(distinct, backend.embed(distinct)))
+        return pa.array([[of[t or ""] for t in x] for x in texts], pa.list_(pa.list_(pa.float64())))
 
-    def embedded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = [x or [] for x in b.column(b.schema.get_field_index(texts)).to_pylist()]
-            distinct = sorted({t or "" for x in lists for t in x})
-            of = dict(zip(distinct, backend.embed(distinct)))
-            out = [[of[t or ""] for t in x] for x in lists]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.list_(pa.float64())))], [*b.schema.names, vectors])
+    return vectors
 
-    return rows.mapInArrow(embedded, rows.withColumn(vectors, F.expr("cast(array() as array<array<double>>)")).schema)
+
+def embed_lists(rows: DataFrame, backend: EmbeddingBackend, *, texts: str, vectors: str) -> DataFrame:
+    """Add the vectors of an array of texts, as array<array<double>>."""
+    ship(rows.sparkSession)
+    return rows.withColumn(vectors, embedded_lists(backend)(F.col(texts)))

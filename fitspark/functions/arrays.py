@@ -32,6 +32,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(ok, dot(a, b) / n).otherwise(F.lit(0.0))
 
 
+def squared_distance(a: Column, b: Column) -> Column:
+    """The square of the Euclidean distance of two vectors."""
+    return total(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))))
+
+
+def similarity_of_distance(squared: Column) -> Column:
+    """Cosine similarity of two unit vectors from the square of their distance."""
+    return 1 - squared / 2
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Shared members over all members, at least one."""
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
@@ -42,6 +52,33 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
+#: Steps of a fold that gathers rows, before what it has gathered is set aside.
+BLOCK = 256
+
+
+def gathered(items: Column, state: Column, row: str, step) -> Column:
+    """The rows that a fold over the items gives, as array<row>; step(state, item) is (new state, array of rows).
+
+    A fold that appends to an array copies it at each step. Here blocks of BLOCK
+    items have arrays of their own, which are flattened once, so that the work is
+    in proportion to the items.
+    """
+    none = F.expr(f"cast(array() as array<{row}>)")
+
+    def add(acc: Column, x: Column) -> Column:
+        new, rows = step(acc["state"], x)
+        return F.struct(new.alias("state"), F.concat(acc["out"], rows).alias("out"))
+
+    def folded(a: Column) -> Column:
+        def block(acc: Column, k: Column) -> Column:
+            return F.aggregate(F.slice(a, k, BLOCK), F.struct(acc["state"].alias("state"), none.alias("out")), add, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+        starts = F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a), F.lit(BLOCK))).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.aggregate(starts, F.struct(state.alias("state"), F.expr(f"cast(array() as array<array<{row}>>)").alias("out")), block, lambda acc: F.flatten(acc["out"]))
+
+    return bound(items, folded)
+
+
 def distinct_by(items: Column, key) -> Column:
     """The items without those whose key occurred before, in order.
 

@@ -65,3 +65,18 @@ def study_plan(pairs: DataFrame, *, repeats: int, methods: list[str] | None = No
     """Each pair with each repeat, and with each method if given, as generated rows."""
     out = pairs.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)).cast("array<bigint>")))
     return out.withColumn("method", F.explode(F.array(*(F.lit(m) for m in methods)))) if methods else out
+
+
+def session(fit_runs: DataFrame, resumes: DataFrame, profiles: DataFrame, corrections: DataFrame) -> DataFrame:
+    """One row for each workspace: its runs, résumés, profiles and corrections, and the mean score of its runs.
+
+    Each table is counted by itself before they meet, so rows are not multiplied.
+    The mean is null without runs; other counts are then 0.
+    """
+    count = lambda rows, name: rows.groupBy("workspace_id").agg(F.count(F.lit(1)).alias(name))
+    out = fit_runs.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n_fit_runs"), F.avg("overall").alias("mean_overall"))
+    names = ["n_fit_runs"]
+    for rows, name in ((resumes, "n_resumes"), (profiles, "n_profiles"), (corrections, "n_corrections")):
+        out = out.join(count(rows, name), "workspace_id", "full")
+        names.append(name)
+    return out.select("workspace_id", *(F.coalesce(n, F.lit(0)).alias(n) for n in names), "mean_overall")

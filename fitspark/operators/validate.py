@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from fitspark.config import Verdict, named_field
+from fitspark.operators.intrinsic import candidates_of
 from fitspark.operators.matching import violations
 from fitspark.schemas import COMPANY_SIZES, PROFICIENCIES, WORK_MODES
 
@@ -54,3 +58,18 @@ def candidate_rules(*, check_id: bool = True) -> list[tuple[str, str, Column]]:
 
 def candidate_violations(*, check_id: bool = True) -> Column:
     return violations(candidate_rules(check_id=check_id))
+
+
+class CandidateValidator:
+    """Candidates in JSON, one at a time, by the rules that tables of them are checked with."""
+
+    def __init__(self, spark: SparkSession, *, check_id: bool = True) -> None:
+        self.spark, self.check_id = spark, check_id
+
+    def validate(self, d: dict) -> Verdict:
+        rows = candidates_of(self.spark.createDataFrame([(json.dumps(d),)], "candidate_json string"))
+        first = rows.select(F.get(candidate_violations(check_id=self.check_id), F.lit(0)).alias("v")).first()["v"]
+        if first is None:
+            return Verdict(True)
+        error = f"field '{first['path']}': {first['message']}"
+        return Verdict(False, error, *named_field(error))

@@ -51,21 +51,22 @@ ROLE_PARTS = (
 )
 
 
-def prompts_of(texts: DataFrame, parts: tuple[Part, ...], *, key: str, column: str = "text") -> DataFrame:
-    """(key, leaf, prompt), one row for each text and part."""
+def prompts_of(texts: DataFrame, parts: tuple[Part, ...], *, key: str, column: str = "text", asked: str | None = None, hint: str | None = None) -> DataFrame:
+    """(key, leaf, prompt), one row for each text and part; only the parts that the column `asked` names, with the column `hint` after the question."""
     rows = with_sections(texts, column)
-    each = F.array(*(F.struct(F.lit(p.name).alias("leaf"), F.concat(F.lit(p.question + "\n\n"), snippet(column, *p.sections, head=p.head)).alias("prompt")) for p in parts))
-    return rows.select(key, F.inline(each))
+    told = F.concat(F.lit("\n"), F.col(hint)) if hint else F.lit("")
+    each = F.array(*(F.struct(F.lit(p.name).alias("leaf"), F.concat(F.lit(p.question), told, F.lit("\n\n"), snippet(column, *p.sections, head=p.head)).alias("prompt")) for p in parts))
+    return rows.select(key, F.inline(F.filter(each, lambda e: F.array_contains(asked, e["leaf"])) if asked else each))
 
 
-def compile_parts(texts: DataFrame, parts: tuple[Part, ...], backend: TextBackend, write: Callable[[DataFrame, str], DataFrame], *, key: str, column: str = "text", ref_date: str | None = None, system: str | None = None) -> DataFrame:
+def compile_parts(texts: DataFrame, parts: tuple[Part, ...], backend: TextBackend, write: Callable[[DataFrame, str], DataFrame], *, key: str, column: str = "text", ref_date: str | None = None, system: str | None = None, asked: str | None = None, hint: str | None = None) -> DataFrame:
     """Ask for all parts of all texts and build the blocks.
 
     Returns the key, a column for each part, `defaulted` (parts that no
     answer held) and `calls` (telemetry). Answers are written by `write` before they are
     used, since a lost task would ask again.
     """
-    answers = write(ask(prompts_of(texts, parts, key=key, column=column), backend, system=system), "answers")
+    answers = write(ask(prompts_of(texts, parts, key=key, column=column, asked=asked, hint=hint), backend, system=system), "answers")
     by = answers.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("leaf", F.coalesce("answer", F.lit(""))))).alias("_answers"), F.collect_list(F.struct("leaf", "ok", "error", "tokens", "elapsed_s")).alias("calls"))
     rows = texts.select(key, F.col(column).alias("_text")).join(by, key, "left")
     parsed = rows.select("*", *(tolerant_json(F.element_at("_answers", F.lit(p.name))).alias(f"_v_{p.name}") for p in parts))
@@ -79,33 +80,78 @@ def compile_parts(texts: DataFrame, parts: tuple[Part, ...], backend: TextBacken
 def compile_candidates(texts: DataFrame, backend: TextBackend, write: Callable[[DataFrame, str], DataFrame], *, key: str = "resume_id", column: str = "text", ref_date: str | None = None, max_repairs: int = 2) -> DataFrame:
     """Résumé texts into candidates that satisfy every rule.
 
-    Rows that break a rule are compiled again, `max_repairs` times at most; what then
-    still breaks one is replaced by the defaults of all its parts. Blocks are coerced
-    into range, so a rule is broken only by what coercion does not cover.
+    Of a row that breaks a rule, the parts that the broken rules name are asked for
+    again, with what was wrong, `max_repairs` times at most; the others stay. A part that
+    then still breaks a rule is replaced by its defaults. Blocks are coerced into
+    range, so a rule is broken only by what coercion does not cover. `calls` has the
+    calls of all rounds.
     """
     ident = F.concat(F.lit("CAND_"), F.lpad((F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(10_000_000))).cast("string"), 7, "0"))
-
-    def attempt(rows: DataFrame, model: TextBackend) -> DataFrame:
-        built = compile_parts(rows, CANDIDATE_PARTS, model, write, key=key, column=column, ref_date=ref_date).withColumn("candidate_id", ident)
-        return write(built.withColumn("violations", candidate_violations()), "attempt")
-
-    out, left = None, texts
-    for i in range(max_repairs + 2):
-        last = i == max_repairs + 1
-        got = attempt(left, MockBackend() if last else backend)
-        good = got if last else got.where(F.size("violations") == 0)
-        out = good if out is None else out.unionByName(good)
-        if last:
-            break
-        left = texts.join(got.where(F.size("violations") > 0).select(key), key, "left_semi")
-        if left.isEmpty():
-            break
+    names = [p.name for p in CANDIDATE_PARTS]
+
+    def judged(rows: DataFrame) -> DataFrame:
+        return write(rows.withColumn("candidate_id", ident).withColumn("violations", candidate_violations()), "attempt")
+
+    # A broken rule names a part, or a member of one; any other is a matter of all parts.
+    tops = F.transform("violations", lambda v: F.regexp_extract(v["path"], "^[a-z_]+", 0))
+    failing = F.when(F.exists(tops, lambda t: ~t.isin(*names)), F.array(*(F.lit(n) for n in names))).otherwise(F.array_distinct(tops))
+    wrong = F.concat(F.lit("The last answer broke these rules: "), F.array_join(F.transform("violations", lambda v: F.concat_ws(" ", v["path"], v["message"])), "; "), F.lit("."))
+    got = judged(compile_parts(texts, CANDIDATE_PARTS, backend, write, key=key, column=column, ref_date=ref_date))
+    out = got.where(F.size("violations") == 0)
+    for i in range(max_repairs + 1):
+        bad = got.where(F.size("violations") > 0)
+        if bad.isEmpty():
+            return out
+        last = i == max_repairs
+        again = bad.withColumn("_asked", failing).withColumn("_hint", wrong)
+        rows = texts.select(key, column).join(again.select(key, "_asked", "_hint"), key)
+        new = compile_parts(rows, CANDIDATE_PARTS, MockBackend() if last else backend, write, key=key, column=column, ref_date=ref_date, asked="_asked", hint="_hint")
+        mended = again.alias("o").join(new.alias("n"), key)
+        asked = lambda name: F.array_contains("o._asked", name)
+        parts = [F.when(asked(n), F.col(f"n.{n}")).otherwise(F.col(f"o.{n}")).alias(n) for n in names]
+        defaulted = F.array_union(F.array_except("o.defaulted", "o._asked"), F.array_intersect("n.defaulted", "o._asked"))
+        got = judged(mended.select(key, *parts, defaulted.alias("defaulted"), F.concat("o.calls", "n.calls").alias("calls")))
+        out = out.unionByName(got if last else got.where(F.size("violations") == 0))
     return out
 
 
-def compile_roles(texts: DataFrame, backend: TextBackend, write: Callable[[DataFrame, str], DataFrame], *, key: str = "jd_slug", column: str = "text") -> DataFrame:
-    """Job texts into the blocks of role profiles: one row each, `profile_json` among the columns."""
+#: Labels for which a call of their own gives details.
+MAX_DETAIL = 7
+DETAIL = Part("detail", "From the job text give, for the one requirement named last, {\"query\": a sentence to search for, \"evidence_regex\": pattern of words that prove it, \"dense_weight\": 0 to 1}.", ("responsibilities", "qualifications"), lambda v, t, r: v)
+
+
+def with_details(roles: DataFrame, texts: DataFrame, backend: TextBackend, write: Callable[[DataFrame, str], DataFrame], *, key: str, column: str = "text", most: int = MAX_DETAIL) -> DataFrame:
+    """Ask about each of the first `most` signals by itself; what an answer lacks stays as it is. `calls` gets the calls."""
+    named = roles.select(key, F.posexplode("signals").alias("pos", "signal")).where(F.col("pos") < most)
+    shown = with_sections(texts.select(key, column), column).select(key, snippet(column, *DETAIL.sections).alias("shown"))
+    prompts = named.join(shown, key).select(key, "pos", F.concat(F.lit("detail:"), F.col("signal.label")).alias("leaf"), F.concat(F.lit(DETAIL.question + "\n\n"), F.col("shown"), F.lit("\n\nRequirement: "), F.col("signal.label")).alias("prompt"))
+    answers = write(ask(prompts, backend), "details")
+    v = tolerant_json(F.coalesce("answer", F.lit("")))
+    text_of = lambda k: F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit(""))
+    told = F.struct(text_of("query").alias("query"), text_of("evidence_regex").alias("evidence_regex"), F.greatest(F.lit(0.0), F.try_variant_get(v, "$.dense_weight", "double")).alias("dense_weight"))
+    weight = F.try_variant_get(v, "$.dense_weight", "double").isNotNull()
+    by = answers.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", told.withField("dense_weight", F.when(weight, told["dense_weight"])).alias("told")))).alias("_told"),
+        F.collect_list(F.struct("leaf", "ok", "error", "tokens", "elapsed_s")).alias("_calls"),
+    )
+
+    def detailed(s: Column, i: Column) -> Column:
+        d = F.element_at("_told", i)
+        return F.struct(s["id"].alias("id"), s["label"].alias("label"), F.coalesce(d["query"], s["query"]).alias("query"), F.coalesce(d["evidence_regex"], s["evidence_regex"]).alias("evidence_regex"), F.coalesce(d["dense_weight"], s["dense_weight"]).alias("dense_weight"))
+
+    rows = roles.join(by, key, "left")
+    signals = F.when(F.col("_told").isNull(), F.col("signals")).otherwise(F.transform("signals", detailed))
+    return rows.withColumn("signals", signals).withColumn("calls", F.concat("calls", F.coalesce("_calls", F.expr("array()").cast(roles.schema["calls"].dataType)))).drop("_told", "_calls")
+
+
+def compile_roles(texts: DataFrame, backend: TextBackend, write: Callable[[DataFrame, str], DataFrame], *, key: str = "jd_slug", column: str = "text", max_signal_detail: int = MAX_DETAIL) -> DataFrame:
+    """Job texts into the blocks of role profiles: one row each, `profile_json` among the columns.
+
+    The first `max_signal_detail` signals get a call each for their details.
+    """
     got = compile_parts(texts, ROLE_PARTS, backend, write, key=key, column=column)
+    if max_signal_detail:
+        got = with_details(got, texts, backend, write, key=key, column=column, most=max_signal_detail)
     fallback = F.array(F.struct(F.lit("general_fit").alias("id"), F.lit("general fit").alias("label"), F.col("role.summary").alias("query"), F.lit(None).cast("string").alias("evidence_regex"), F.lit(1.0).alias("dense_weight")))
     signals = F.when(F.size("signals") > 0, F.col("signals")).otherwise(fallback)
     got = got.withColumn("signals", signals).withColumn("cross_encoder_query", coerce.cross_query(F.col("role"), F.col("signals")))

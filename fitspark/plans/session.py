@@ -70,19 +70,22 @@ def corrections(before: DataFrame, after: DataFrame, *, workspace_id: str, note:
 # ------------------------------------------------------------------ entries as editable rows
 
 
-def to_rows(candidates: DataFrame, column: str) -> DataFrame:
-    """An array of entries as rows (candidate_id, pos, members)."""
-    return candidates.select("candidate_id", F.posexplode(column).alias("pos", "entry")).select("candidate_id", "pos", "entry.*")
+def to_rows(candidates: DataFrame, column: str, *, key: str = "candidate_id") -> DataFrame:
+    """An array of entries as rows (key, pos, members)."""
+    return candidates.select(key, F.posexplode(column).alias("pos", "entry")).select(key, "pos", "entry.*")
 
 
-def from_rows(rows: DataFrame, column: str, *, named: tuple[str, ...]) -> DataFrame:
-    """Edited rows as arrays again, in order; rows in which all of `named` are blank are dropped."""
-    members = [c for c in rows.columns if c not in ("candidate_id", "pos")]
+def from_rows(rows: DataFrame, column: str, *, named: tuple[str, ...], key: str = "candidate_id") -> DataFrame:
+    """Edited rows as arrays again, in order; rows in which all of `named` are blank are dropped.
+
+    The key must tell candidates apart: a résumé's own, where their ids are made from it.
+    """
+    members = [c for c in rows.columns if c not in (key, "pos")]
     blank = F.lit(True)
     for c in named:
         blank = blank & (F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "")
-    kept = rows.where(~blank).groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.struct(*members).alias("entry")))).alias("all"))
-    return kept.select("candidate_id", F.transform("all", lambda x: x["entry"]).alias(column))
+    kept = rows.where(~blank).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.struct(*members).alias("entry")))).alias("all"))
+    return kept.select(key, F.transform("all", lambda x: x["entry"]).alias(column))
 
 
 # ------------------------------------------------------------------ studies

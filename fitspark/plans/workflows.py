@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitspark.backends import MockBackend, MockJudge, ask
+from fitspark.cluster import shared_dir
 from fitspark.config import role_of, structural
-from fitspark.functions import jsonx, text
-from fitspark.operators import coerce, matching
+from fitspark.embedding import HashEmbedding
+from fitspark.functions import arrays, jsonx, text
+from fitspark.functions.register import register
+from fitspark.operators import coerce, matching, metrics
 from fitspark.operators import ranking as rank
+from fitspark.operators.score import score_candidates
 from fitspark.plans import candidates as pool
 from fitspark.plans.catalog import query, table
 from fitspark.plans.compile import compile_candidates
@@ -25,8 +27,7 @@ from fitspark.streaming import events
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """A table in the folder that all machines share."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
-    path = f"{base}/fitspark/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/fitspark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -94,9 +95,34 @@ def heaviest_signals(spark, d):
     return split.select("n_nationkey", F.get("h.must", F.lit(0))["name"].alias("must"), F.size("h.nice").alias("nice"))
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(url, 'greenhouse[.]io/') THEN 'greenhouse' WHEN regexp_matches(url, 'myworkdayjobs[.]com/') THEN 'workday' ELSE 'page' END AS board, 'html' AS method FROM pages WHERE html NOT LIKE '%ld+json%'")
+@query(r"""
+    WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://boards.greenhouse.io/acme/jobs/' || page_id WHEN 1 THEN 'https://x.myworkdayjobs.com/en/job/' || page_id ELSE url END AS url, CASE WHEN page_id % 3 = 0 THEN 'page ' || page_id END AS told FROM pages)
+    SELECT page_id, CASE WHEN regexp_matches(url, 'greenhouse[.]io/[^?#]') THEN 'greenhouse' WHEN regexp_matches(url, 'myworkdayjobs[.]com/[^?#]') THEN 'workday' ELSE 'page' END AS board,
+           CASE WHEN told IS NULL THEN 'html' ELSE 'json-ld' END AS method, told FROM p""")
 def job_pages(spark, d):
-    return documents.posting_texts(documents.routed(table(spark, d, "pages").where("html not like '%ld+json%'"))).select("page_id", "board", "method")
+    """Every page; some have a board's address, and every third one posting data in JSON-LD before its HTML."""
+    i = F.col("page_id")
+    url = F.when(i % 5 == 0, F.concat(F.lit("https://boards.greenhouse.io/acme/jobs/"), i.cast("string"))).when(i % 5 == 1, F.concat(F.lit("https://x.myworkdayjobs.com/en/job/"), i.cast("string"))).otherwise(F.col("url"))
+    data = F.concat(F.lit('<script type="application/ld+json">{"@type": "JobPosting", "description": "<p>page '), i.cast("string"), F.lit('</p>"}</script>'))
+    pages = table(spark, d, "pages").select("page_id", url.alias("url"), F.when(i % 3 == 0, F.concat(data, F.col("html"))).otherwise(F.col("html")).alias("html"))
+    got = documents.posting_texts(documents.routed(pages))
+    return got.select("page_id", "board", "method", F.when(F.col("method") == "json-ld", F.col("text")).alias("told"))
+
+
+@query("""
+    WITH f AS (SELECT doc_id, doc_id // 3 AS jd, ['strong', 'borderline', 'weak'][doc_id % 3 + 1] AS tier FROM documents)
+    SELECT 'job' || jd AS jd_slug, tier, '/data/job' || jd || '_' || tier || CASE WHEN doc_id % 2 = 0 THEN '/single_column' ELSE '' END || '/resume.txt' AS resume_path
+    FROM f WHERE jd % 7 <> 0 AND jd % 11 <> 0 AND (doc_id % 2 = 0 OR doc_id % 5 <> 0)""")
+def dataset_discovery(spark, d):
+    """A listing of files with one résumé for each document, in a folder of its own, in a layout's folder below it, in both or in none."""
+    docs = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 3).alias("jd"))
+    tier = F.element_at(F.array(*(F.lit(t) for t in ("strong", "borderline", "weak"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    folder = F.concat(F.lit("job"), F.col("jd").cast("string"), F.lit("_"), tier)
+    base = docs.withColumn("name", folder)
+    flat = base.where("doc_id % 5 != 0").select(F.concat(F.lit("/data/"), "name", F.lit("/resume.txt")).alias("path"), F.col("name").alias("folder"), F.lit("data").alias("parent"))
+    laid = base.where("doc_id % 2 = 0").select(F.concat(F.lit("/data/"), "name", F.lit("/single_column/resume.txt")).alias("path"), F.lit("single_column").alias("folder"), F.col("name").alias("parent"))
+    jobs = docs.select("jd", F.concat(F.lit("job"), F.col("jd").cast("string")).alias("folder")).distinct()
+    return study.pair_files(flat.union(laid), jobs.where("jd % 7 != 0"), jobs.where("jd % 11 != 0"))
 
 
 @query("SELECT n_nationkey, n_nationkey % 2 = 0 AS same_flags, CAST(n_nationkey % 3 AS BIGINT) AS signal_count_delta FROM nation")
@@ -126,13 +152,123 @@ def compiled_candidates(spark, d):
     return got.select("resume_id", "candidate_id", F.size("career_history").alias("n_jobs"), F.size("skills").alias("n_skills"), F.size("violations").alias("n_violations"), F.array_join("defaulted", ", ").alias("defaulted"))
 
 
+#: A general role for made-up résumés: who led and designed is preferred to who helped, and that to who filed.
+STUDY_ROLE = role_of(
+    {
+        "role": {"title": "Any", "summary": "Work of one's own.", "ideal_experience": {"peak_years": 6.0, "sigma_years": 3.0}},
+        "signals": [
+            {"id": "leading", "label": "leading", "query": "designed and led work", "evidence_regex": "designed|led work", "dense_weight": 0.6},
+            {"id": "helping", "label": "helping", "query": "helped with projects", "evidence_regex": "helped|designed", "dense_weight": 0.4},
+        ],
+        "domain": {"in_domain_terms": ["project"], "out_of_domain_terms": ["files"], "in_domain_regex": "work|helped", "out_of_domain_regex": "files and calendars"},
+        "relevant_skill_regex": "brand",
+    }
+)
+
+
+def made_resumes(spark, d: str) -> DataFrame:
+    jobs = table(spark, d, "part").select(F.concat(F.lit("job"), F.col("p_partkey").cast("string")).alias("jd_slug"), F.col("p_type").alias("title"), F.array("p_brand", "p_name").alias("skills"))
+    return study.make_resumes(jobs).join(jobs.select("jd_slug", F.col("title").alias("jd_text")), "jd_slug")
+
+
+@query("""
+    WITH t(tier, title, notice, n_skills) AS (VALUES ('strong', '', 15, 2), ('borderline', 'Junior ', 60, 2), ('weak', 'Office Clerk', 120, 2))
+    SELECT 'job' || p_partkey AS jd_slug, tier, CASE WHEN tier = 'weak' THEN title ELSE title || p_type END AS title, CAST(notice AS INTEGER) AS notice, CAST(n_skills AS INTEGER) AS n_skills, 1 AS n_jobs, true AS is_current,
+           CASE tier WHEN 'strong' THEN 'Designed and led work with ' || p_brand || ', ' || p_name || '.' WHEN 'borderline' THEN 'Helped with ' || p_brand || ', ' || p_name || '.' ELSE 'Kept files and calendars.' END AS description, 'BSc' AS degree
+    FROM part, t""")
+def resume_fields(spark, d):
+    """What made-up résumés state, read back from their text."""
+    made = made_resumes(spark, d)
+    c = study.candidates_of_resumes(made, ref=F.to_date(F.lit("2026-06-06")), key=F.concat_ws("|", "jd_slug", "tier"))
+    job = F.get("career_history", F.lit(0))
+    return c.select("jd_slug", "tier", job["title"].alias("title"), F.col("signals.notice_period_days").alias("notice"), F.size("skills").alias("n_skills"), F.size("career_history").alias("n_jobs"), job["is_current"].alias("is_current"), job["description"].alias("description"), F.get("education", F.lit(0))["degree"].alias("degree"))
+
+
 @query()
 def study_scores(spark, d):
-    """Two judges and the formula on made-up résumés."""
-    jobs = table(spark, d, "part").select(F.concat(F.lit("job"), F.col("p_partkey").cast("string")).alias("jd_slug"), F.col("p_type").alias("title"), F.array("p_brand", "p_name").alias("skills"))
-    made = study.make_resumes(jobs).join(jobs.select("jd_slug", F.col("title").alias("jd_text")), "jd_slug").withColumnRenamed("text", "resume_text")
-    engine = made.select("jd_slug", "tier", F.length("resume_text").cast("double").alias("score"))
-    return run_study(made, engine, MockJudge(), repeats=2).select("jd_slug", "tier", "method", "repeat", "score", "tokens", "error")
+    """Two judges and the formula on made-up résumés: the formula scores what the résumés state."""
+    made = made_resumes(spark, d)
+    stated = study.candidates_of_resumes(made.select("jd_slug", "tier", "text"), ref=F.to_date(F.lit("2026-06-06")), key=F.concat_ws("|", "jd_slug", "tier"))
+    engine = score_candidates(stated, STUDY_ROLE, HashEmbedding()).select("jd_slug", "tier", F.col("overall").alias("score"))
+    return run_study(made.withColumnRenamed("text", "resume_text"), engine, MockJudge(), repeats=2).select("jd_slug", "tier", "method", "repeat", "score", "tokens", "error")
+
+
+@query("""
+    SELECT page_id, CASE page_id % 4 WHEN 0 THEN '# Job ' || page_id || chr(10) || '_Location: Town_' || chr(10) || chr(10) || 'Work & play'
+      WHEN 1 THEN '# Job ' || page_id || chr(10) || '_Location: Town_' || chr(10) || chr(10) || 'Build' || chr(10) || chr(10) || '- fast'
+      WHEN 2 THEN '# Job ' || page_id || chr(10) || '_Location: _' || chr(10) || chr(10) || chr(10) || '## Description' || chr(10) || 'Ship' || chr(10) || chr(10) || '## Preferred Qualifications' || chr(10) || 'Care'
+      ELSE '# Job ' || page_id || chr(10) || chr(10) || chr(10) || '## Responsibilities' || chr(10) || 'Lead' || chr(10) || chr(10) || '## Description' || chr(10) || 'Do' END AS text,
+      CASE page_id % 4 WHEN 0 THEN 'https://boards-api.greenhouse.io/v1/boards/acme/jobs/' || page_id || '?content=true' WHEN 1 THEN 'https://acme.wd1.myworkdayjobs.com/wday/cxs/acme/site/job/x/' || page_id
+      WHEN 2 THEN 'https://www.amazon.jobs/en/jobs/' || page_id || '.json' ELSE 'https://careers.google.com/api/v3/jobs/' || page_id || '/' END AS api
+    FROM pages""")
+def board_postings(spark, d):
+    """Answers of four boards, one for each page, as text; and where the boards give them."""
+    i = F.col("page_id").cast("string")
+    k = F.col("page_id") % 4
+    q = lambda t: F.concat(F.lit('{"title": "Job '), i, F.lit(f'", {t}}}'))
+    body = F.when(k == 0, q('"location": {"name": "Town"}, "content": "<p>Work &amp; play</p>"')).when(k == 1, F.concat(F.lit('{"jobPostingInfo": '), q('"location": "Town", "jobDescription": "<p>Build</p><ul><li>fast</li></ul>"'), F.lit("}"))).when(k == 2, q('"description": "<b>Ship</b>", "basic_qualifications": "", "preferred_qualifications": "Care"')).otherwise(F.concat(F.lit('{"job": '), q('"description": "Do", "responsibilities": "<p>Lead</p>"'), F.lit("}")))
+    url = F.when(k == 0, F.concat(F.lit("https://boards.greenhouse.io/acme/jobs/"), i)).when(k == 1, F.concat(F.lit("https://acme.wd1.myworkdayjobs.com/en/site/job/x/"), i)).when(k == 2, F.concat(F.lit("https://www.amazon.jobs/en/jobs/"), i)).otherwise(F.concat(F.lit("https://www.google.com/about/careers/applications/jobs/results/"), i))
+    pages = documents.routed(table(spark, d, "pages").select("page_id", url.alias("url"), body.alias("body")))
+    return pages.select("page_id", documents.board_posting(F.col("board"), F.col("body")).alias("text"), documents.board_url(F.col("board"), F.col("url")).alias("api"))
+
+
+@query("""
+    WITH e AS (SELECT *, 'w' || user_id % 40 AS workspace_id FROM events)
+    SELECT workspace_id, count(*) FILTER (WHERE event_type = 'purchase') AS n_fit_runs, count(*) FILTER (WHERE event_type = 'click') AS n_resumes, count(*) FILTER (WHERE event_type = 'view') AS n_profiles,
+           count(*) FILTER (WHERE event_type = 'error') AS n_corrections, round(avg(value) FILTER (WHERE event_type = 'purchase'), 6) AS mean_overall
+    FROM e WHERE event_type IN ('purchase', 'click', 'view', 'error') GROUP BY workspace_id""")
+def session_metrics(spark, d):
+    e = table(spark, d, "events").select("event_type", F.concat(F.lit("w"), (F.col("user_id") % 40).cast("string")).alias("workspace_id"), F.col("value").alias("overall"))
+    of = lambda kind: e.where(F.col("event_type") == kind)
+    return metrics.session(of("purchase"), of("click"), of("view"), of("error")).withColumn("mean_overall", F.round("mean_overall", 6))
+
+
+@query("""
+    SELECT o_orderstatus AS status, o_orderpriority AS priority, CAST(grouping_id(o_orderstatus, o_orderpriority) AS BIGINT) AS level, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS total,
+           true AS distinct_is_close, round(quantile_cont(o_totalprice, 0.5), 4) AS median
+    FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
+def order_cube(spark, d):
+    """All groupings of two columns; the approximate number of customers is within a tenth of the exact one."""
+    near = F.abs(F.approx_count_distinct("o_custkey", 0.02) - F.count_distinct("o_custkey")) <= 0.1 * F.count_distinct("o_custkey") + 2
+    g = table(spark, d, "orders").cube(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    return g.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"), near.alias("distinct_is_close"), F.round(F.percentile("o_totalprice", 0.5), 4).alias("median"))
+
+
+@query("""
+    SELECT l_returnflag AS flag, l_linestatus AS status, CAST(grouping_id(l_returnflag, l_linestatus) AS BIGINT) AS level, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS quantity
+    FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
+def line_rollup(spark, d):
+    g = table(spark, d, "lineitem").rollup(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
+    return g.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("quantity"))
+
+
+@query("""
+    WITH u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS v FROM embeddings), q AS (SELECT v AS q FROM u WHERE vec_id = 0)
+    SELECT vec_id, round(list_dot_product(v, q), 6) AS similarity FROM u, q""")
+def distance_similarity(spark, d):
+    """Similarities from distances of unit vectors."""
+    e = table(spark, d, "embeddings")
+    asked = arrays.unit(F.array(*(F.lit(float(x)) for x in e.where("vec_id = 0").select("embedding").first()[0])))
+    return e.select("vec_id", F.round(arrays.similarity_of_distance(arrays.squared_distance(arrays.unit(F.col("embedding")), asked)), 6).alias("similarity"))
+
+
+@query(r"""
+    WITH g AS (SELECT a.user_id, sum(CASE WHEN sign(b.value - a.value) * sign(b.event_id - a.event_id) > 0 THEN 1 ELSE 0 END) AS c, sum(CASE WHEN sign(b.value - a.value) * sign(b.event_id - a.event_id) < 0 THEN 1 ELSE 0 END) AS d
+               FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id GROUP BY a.user_id)
+    SELECT u.user_id, round(coalesce((c - d) / nullif(c + d, 0), 0), 6)::DOUBLE AS gamma, round(least(50, greatest(10, u.top)), 6) AS clipped, u.kinds
+    FROM (SELECT user_id, max(value) AS top, lower(string_agg(DISTINCT event_type, ' ' ORDER BY event_type)) AS kinds FROM events GROUP BY user_id) u LEFT JOIN g USING (user_id)""")
+def sql_functions(spark, d):
+    """The registered scalar, table and aggregate functions, called from SQL."""
+    register(spark)
+    table(spark, d, "events").createOrReplaceTempView("fit_events")
+    spark.sql("SELECT user_id, fit_gamma(event_id, value) AS gamma FROM fit_events GROUP BY user_id").createOrReplaceTempView("fit_gammas")
+    return spark.sql(r"""
+        WITH u AS (SELECT user_id, max(value) AS top, array_join(array_sort(collect_set(event_type)), '
+  
+') AS kinds FROM fit_events GROUP BY user_id),
+        lines AS (SELECT u.user_id, array_join(transform(array_sort(collect_list(struct(l.pos, l.line))), x -> x.line), '  ') AS kinds FROM u, LATERAL fit_lines(u.kinds) AS l GROUP BY u.user_id)
+        SELECT u.user_id, round(g.gamma, 6) AS gamma, round(fit_clip(u.top, 10D, 50D), 6) AS clipped, fit_tidy(lines.kinds) AS kinds
+        FROM u JOIN fit_gammas g ON g.user_id = u.user_id JOIN lines ON lines.user_id = u.user_id""")
 
 
 @query()

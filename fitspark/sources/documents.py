@@ -153,6 +153,47 @@ def posting_texts(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("method", F.when(found.isNotNull(), "json-ld").otherwise("html")).withColumn("text", text.html_text(F.coalesce(found, F.col(html))))
 
 
+def board_posting(board: Column, body: Column) -> Column:
+    """The JSON answer of a board's interface as text: title, place, then its parts; null if it is none or has no title.
+
+    Members are looked for in the object that some boards wrap a job in, then at the top.
+    """
+    v = F.try_parse_json(body)
+
+    def member(*paths: str) -> Column:
+        found = [F.nullif(F.try_variant_get(v, f"$.{p}", "string"), F.lit("")) for p in paths]
+        return F.coalesce(*found) if len(found) > 1 else found[0]
+
+    def part(label: str, *paths: str) -> Column:
+        got = member(*paths)
+        return F.when(got.isNotNull(), F.concat(F.lit(f"\n## {label}\n"), text.html_text(got)))
+
+    title = member("title", "jobPostingInfo.title", "job.title")
+    head = F.concat(F.lit("# "), title)
+    placed = lambda *paths: F.concat(head, F.lit("\n_Location: "), F.coalesce(member(*paths), F.lit("")), F.lit("_\n"))
+    plain = lambda *paths: F.concat(F.lit("\n"), text.html_text(F.coalesce(member(*paths), F.lit(""))))
+    joined = lambda *parts: F.concat_ws("\n", *parts)
+    return (
+        F.when(board == "greenhouse", F.concat(placed("location.name"), plain("content")))
+        .when(board == "workday", F.concat(placed("jobPostingInfo.location", "location"), plain("jobPostingInfo.jobDescription", "jobDescription")))
+        .when(board == "amazon", joined(placed("normalized_location", "location"), part("Description", "description"), part("Basic Qualifications", "basic_qualifications"), part("Preferred Qualifications", "preferred_qualifications")))
+        .when(board == "google", joined(F.concat(head, F.lit("\n")), part("Qualifications", "job.qualifications", "qualifications"), part("Responsibilities", "job.responsibilities", "responsibilities"), part("Description", "job.description", "description")))
+    )
+
+
+def board_url(board: Column, url: Column) -> Column:
+    """Where a board gives a job in JSON, or null."""
+    take = lambda pattern, i: F.regexp_extract(url, pattern, i)
+    green, work = r"greenhouse\.io/([^/]+)/jobs/(\d+)", r"^https?://([^/]+)/[^/]+/([^/]+)/job/(.+)$"
+    host = take(work, 1)
+    return (
+        F.when((board == "greenhouse") & url.rlike(green), F.concat(F.lit("https://boards-api.greenhouse.io/v1/boards/"), take(green, 1), F.lit("/jobs/"), take(green, 2), F.lit("?content=true")))
+        .when((board == "workday") & url.rlike(work), F.concat(F.lit("https://"), host, F.lit("/wday/cxs/"), F.element_at(F.split(host, r"\."), 1), F.lit("/"), take(work, 2), F.lit("/job/"), take(work, 3)))
+        .when(board == "amazon", F.concat(F.lit("https://www.amazon.jobs/en/jobs/"), take(r"/jobs/(\d+)", 1), F.lit(".json")))
+        .when(board == "google", F.concat(F.lit("https://careers.google.com/api/v3/jobs/"), take(r"results/(\d+)", 1), F.lit("/")))
+    )
+
+
 def read_manifest(spark: SparkSession, path: str, slugs: list[str] | None = None) -> DataFrame:
     """A JSON array of jobs (slug, url, ...) with board and key; only these slugs if given."""
     rows = spark.read.schema("slug string, url string, title string, company string").option("multiLine", True).json(path)

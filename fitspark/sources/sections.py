@@ -39,15 +39,14 @@ def with_sections(rows: DataFrame, column: str = "text") -> DataFrame:
     over the lines of each text carries the section on, so nothing is exploded.
     """
     lines = F.split(F.trim(F.coalesce(F.col(column), F.lit(""))), "\n")
-    zero = F.struct(F.lit(None).cast("string").alias("now"), F.expr("cast(array() as array<struct<section:string,line:string>>)").alias("out"))
+    row = "struct<section:string,line:string>"
 
-    def step(s: Column, line: Column) -> Column:
+    def step(now: Column, line: Column) -> tuple[Column, Column]:
         header = line.rlike(HEADER)
-        now = F.when(header, section_of(line)).otherwise(s["now"])
-        kept = F.when(~header & now.isNotNull(), F.concat(s["out"], F.array(F.struct(now.alias("section"), line.alias("line"))))).otherwise(s["out"])
-        return F.struct(now.alias("now"), kept.alias("out"))
+        new = F.when(header, section_of(line)).otherwise(now)
+        return new, F.when(~header & now.isNotNull(), F.array(F.struct(now.alias("section"), line.alias("line")))).otherwise(F.expr(f"cast(array() as array<{row}>)"))
 
-    placed = F.aggregate(lines, zero, step, lambda s: s["out"])
+    placed = arrays.gathered(lines, F.lit(None).cast("string"), row, step)
 
     def body(name: str) -> Column:
         return F.trim(F.regexp_replace(F.array_join(F.transform(F.filter("_placed", lambda p: p["section"] == name), lambda p: p["line"]), "\n"), r"^\s+|\s+$", ""))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitspark.schemas import SCORES
+from fitspark.functions import arrays, text
+from fitspark.schemas import CANDIDATE, SCORES
 
 TIER_DIR = r"^(.+)_(strong|borderline|weak)$"
 
@@ -17,15 +18,22 @@ def files_under(spark: SparkSession, path: str, name: str) -> DataFrame:
     return found.select("path", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -3).alias("parent"))
 
 
-def discover_dataset(spark: SparkSession, resumes: str, jobs: str, *, layout: str = "single_column", limit: int | None = None) -> DataFrame:
-    """(jd_slug, tier, resume_path), ordered by folder name: the résumé in the layout's folder, else the flat one; jobs need a text and a profile."""
-    files = files_under(spark, resumes, "resume.txt")
-    flat = files.where(F.col("folder").rlike(TIER_DIR)).select(F.col("folder").alias("name"), F.col("path").alias("flat"))
-    laid = files.where((F.col("folder") == layout) & F.col("parent").rlike(TIER_DIR)).select(F.col("parent").alias("name"), F.col("path").alias("laid"))
+def pair_files(resumes: DataFrame, texts: DataFrame, profiles: DataFrame, *, layout: str = "single_column") -> DataFrame:
+    """(jd_slug, tier, resume_path), ordered by folder name, from listings of files (path, folder, parent).
+
+    A résumé is the file in the layout's folder, else the flat one; its job needs a text and a profile.
+    """
+    flat = resumes.where(F.col("folder").rlike(TIER_DIR)).select(F.col("folder").alias("name"), F.col("path").alias("flat"))
+    laid = resumes.where((F.col("folder") == layout) & F.col("parent").rlike(TIER_DIR)).select(F.col("parent").alias("name"), F.col("path").alias("laid"))
     pairs = flat.join(laid, "name", "full").select("name", F.regexp_extract("name", TIER_DIR, 1).alias("jd_slug"), F.regexp_extract("name", TIER_DIR, 2).alias("tier"), F.coalesce("laid", "flat").alias("resume_path"))
-    for needed in ("jd.txt", "jd_profile.yaml"):
-        pairs = pairs.join(files_under(spark, jobs, needed).select(F.col("folder").alias("jd_slug")), "jd_slug", "left_semi")
-    out = pairs.orderBy("name").select("jd_slug", "tier", "resume_path")
+    for needed in (texts, profiles):
+        pairs = pairs.join(needed.select(F.col("folder").alias("jd_slug")), "jd_slug", "left_semi")
+    return pairs.orderBy("name").select("jd_slug", "tier", "resume_path")
+
+
+def discover_dataset(spark: SparkSession, resumes: str, jobs: str, *, layout: str = "single_column", limit: int | None = None) -> DataFrame:
+    """pair_files() of the files under two paths."""
+    out = pair_files(files_under(spark, resumes, "resume.txt"), files_under(spark, jobs, "jd.txt"), files_under(spark, jobs, "jd_profile.yaml"), layout=layout)
     return out.limit(limit) if limit is not None else out
 
 
@@ -82,23 +90,60 @@ def make_resumes(jobs: DataFrame) -> DataFrame:
 
 
 ENTRY = r"(?m)^(.+?), (.+?) \((\d+) years?, (Present|\+\d+y)\)$"
+BLOCK = r"(?m)^[^\n]+, [^\n]+ \(\d+ years?, (?:Present|\+\d+y)\)$(?:\n- [^\n]*)*"
+
+
+def resume_section(c: Column, name: str) -> Column:
+    """What stands under a heading in capitals, up to the next; empty without one."""
+    return F.trim(F.regexp_extract(c, rf"(?s)(?:^|\n){name}\n(.*?)(?=\n(?:SUMMARY|EXPERIENCE|PROJECTS|EDUCATION|SKILLS)\n|$)", 1))
 
 
 def resume_entries(c: Column) -> Column:
-    """Positions in a made-up résumé, in order: title, firm, months and whether it goes on."""
-    lines = F.filter(F.split(c, "\n"), lambda x: x.rlike(ENTRY))
+    """Positions in a made-up résumé, in order: title, firm, months, whether it goes on, and what was done."""
+    blocks = F.regexp_extract_all(c, F.lit(BLOCK), F.lit(0))
     take = lambda x, i: F.regexp_extract(x, ENTRY, i)
-    return F.transform(lines, lambda x: F.struct(take(x, 1).alias("title"), take(x, 2).alias("company"), (take(x, 3).cast("int") * 12).alias("months"), (take(x, 4) == "Present").alias("is_current")))
+    did = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[^\n]*\n?", ""), r"(?m)^- ", "")
+    return F.transform(blocks, lambda x: F.struct(take(x, 1).alias("title"), take(x, 2).alias("company"), (take(x, 3).cast("int") * 12).alias("months"), (take(x, 4) == "Present").alias("is_current"), F.replace(did(x), F.lit("\n"), F.lit(" ")).alias("description")))
+
+
+def candidates_of_resumes(resumes: DataFrame, *, ref: Column, key: Column, column: str = "text") -> DataFrame:
+    """Candidates as made-up résumés state them, without a model; other columns stay before them.
+
+    What a résumé does not state is null. Positions are dated backwards from `ref`.
+    """
+    t = F.coalesce(F.col(column), F.lit(""))
+    head = F.get(F.split(resume_section(t, "SUMMARY"), "\n"), F.lit(0))
+    school = F.regexp_extract(resume_section(t, "EDUCATION"), r"^([^,\n]+), ([^,\n]+), (\d{4})", 0)
+    part = lambda i: F.nullif(F.regexp_extract(school, r"^([^,\n]+), ([^,\n]+), (\d{4})", i), F.lit(""))
+    first_line = F.get(F.split(resume_section(t, "SKILLS"), "\n"), F.lit(0))
+    names = F.filter(F.transform(F.split(first_line, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+    def members(kind, have: dict[str, Column]) -> Column:
+        return F.struct(*(have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
+
+    of = lambda name: CANDIDATE[name].dataType.elementType
+    date = lambda d: F.date_format(d, "yyyy-MM-dd")
+    job = lambda e: members(of("career_history"), {"title": e["title"], "company": e["company"], "start_date": date(e["start_date"]), "end_date": date(e["end_date"]), "duration_months": e["months"], "is_current": e["end_date"].isNull(), "description": e["description"]})
+    rows = resumes.withColumn("_jobs", dated_entries(resume_entries(t), ref))
+    made = {
+        "candidate_id": key,
+        "profile": members(CANDIDATE["profile"].dataType, {"headline": head, "summary": resume_section(t, "SUMMARY"), "years_of_experience": text.years_claimed(t), "current_title": F.get("_jobs", F.lit(0))["title"], "current_company": F.get("_jobs", F.lit(0))["company"]}),
+        "career_history": F.transform("_jobs", job),
+        "education": F.when(school != "", F.array(members(of("education"), {"degree": part(1), "institution": part(2), "end_year": part(3)}))).otherwise(F.array().cast(CANDIDATE["education"].dataType)),
+        "skills": F.transform(names, lambda n: members(of("skills"), {"name": n, "duration_given": F.lit(False)})),
+        "signals": members(CANDIDATE["signals"].dataType, {"notice_period_days": text.notice_days(t)}),
+    }
+    others = [c for c in resumes.columns if c not in CANDIDATE.fieldNames()]
+    return rows.select(*others, *(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in CANDIDATE.fields))
 
 
 def dated_entries(entries: Column, ref: Column) -> Column:
     """Positions with dates: each older one ends where the newer starts, counted back from `ref`."""
-    zero = F.struct(F.lit(0).alias("back"), F.expr("cast(array() as array<struct<title:string,company:string,months:int,start_date:date,end_date:date>>)").alias("out"))
 
-    def step(s: Column, e: Column) -> Column:
-        start = F.add_months(ref, -(s["back"] + e["months"]))
-        end = F.when(~e["is_current"], F.add_months(ref, -s["back"]))
-        row = F.struct(e["title"].alias("title"), e["company"].alias("company"), e["months"].alias("months"), start.alias("start_date"), end.alias("end_date"))
-        return F.struct((s["back"] + e["months"]).alias("back"), F.concat(s["out"], F.array(row)).alias("out"))
+    def step(back: Column, e: Column) -> tuple[Column, Column]:
+        start = F.add_months(ref, -(back + e["months"]))
+        end = F.when(~e["is_current"], F.add_months(ref, -back))
+        row = F.struct(e["title"].alias("title"), e["company"].alias("company"), e["months"].alias("months"), start.alias("start_date"), end.alias("end_date"), e["description"].alias("description"))
+        return back + e["months"], F.array(row)
 
-    return F.aggregate(entries, zero, step, lambda s: s["out"])
+    return arrays.gathered(entries, F.lit(0), "struct<title:string,company:string,months:int,start_date:date,end_date:date,description:string>", step)

@@ -7,12 +7,14 @@ from fixtures import CANDIDATES, ROLE
 from pyspark.sql import functions as F
 
 from fitspark.backends import MockBackend, MockJudge, RateLimitError, Retry, TransientBackendError, ask, entries
-from fitspark.config import role_of, to_yaml
+from fitspark.config import ProfileValidator, Verdict, role_of, to_yaml
 from fitspark.embedding import HashEmbedding
 from fitspark.operators.intrinsic import candidates_of
+from fitspark.operators.validate import CandidateValidator
 from fitspark.plans import compile as compiling
 from fitspark.plans import session
 from fitspark.plans.store import Store, open_store
+from fitspark.schemas import CANDIDATE
 from fitspark.sources import documents, sections, study
 from fitspark.streaming import events
 
@@ -55,6 +57,42 @@ def test_vectors(spark, tmp_path):
         s.save("embeddings", [row("bad", [1, 0]) | {"dim": 3}])
 
 
+def test_search_reads_one_model_and_length(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    row = lambda i, model, v: {"embedding_id": i, "workspace_id": "w", "owner_type": "t", "owner_id": "o", "embedding_model": model, "dim": len(v), "vector": v, "created_at": "1"}
+    s.save("embeddings", [row("a", "m/1", [1.0, 0.0]), row("b", "m/1", [0.0, 1.0]), row("a", "m2", [1.0, 0.0]), row("c", "m/1", [1.0, 0.0, 0.0])])
+    s.save("embeddings", [row("a", "m2", [0.0, 1.0])])
+    got = s.search([1.0, 0.0], model="m/1")
+    assert [r["embedding_id"] for r in got.collect()] == ["a", "b"]  # the later version of the other model's vector changes nothing
+    assert "PartitionFilters: [isnotnull(_model" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clean_keeps_what_is_saved_meanwhile(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path))
+    row = lambda i, name: {"workspace_id": i, "name": name, "created_at": "1", "updated_at": "1"}
+    s.clean("workspaces")
+    for name in ("x", "y"):
+        s.save("workspaces", [row("w1", name), row("w2", "z")])
+    append = Store._append
+
+    def late(self, rows, table, folder):
+        append(self, rows, table, folder)
+        if folder != "v0":  # a save that began before the list was replaced
+            monkeypatch.setattr(Store, "_append", append)
+            s.save("workspaces", [row("w3", "late")])
+
+    monkeypatch.setattr(Store, "_append", late)
+    s.clean("workspaces")
+    want = {("w1", "y"), ("w2", "z"), ("w3", "late")}
+    got = lambda: {(r["workspace_id"], r["name"]) for r in s.read("workspaces").collect()}
+    assert got() == want and s._versions("workspaces").count() == 3
+    s.clean("workspaces")
+    s.clean("workspaces")
+    assert got() == want and len(s._folders("workspaces")) <= 2
+    s.save("workspaces", [row("w1", "new")])
+    assert s.get("workspaces", "w1")["name"] == "new"
+
+
 def test_store_by_configuration(spark, tmp_path, monkeypatch):
     assert open_store(spark, {"path": str(tmp_path)}).path == str(tmp_path)
     monkeypatch.setenv("STORE_BACKEND", "memory")
@@ -185,6 +223,50 @@ def test_candidates_are_always_valid(spark, write, backend):
     assert {r["status"] for r in rows} == ({"rate_limited"} if backend.error else {"ok"})
 
 
+def test_only_the_failing_part_is_asked_again(spark, write, monkeypatch):
+    no_skills = lambda: F.when(F.size("skills") == 0, F.array(F.struct(F.lit("skills").alias("path"), F.lit("none").alias("message")))).otherwise(F.expr("cast(array() as array<struct<path:string,message:string>>)"))
+    monkeypatch.setattr(compiling, "candidate_violations", no_skills)
+    texts = spark.createDataFrame([("r1", "text")], "resume_id string, text string")
+    answers = {"broke these rules: skills none": '{"skills": [{"name": "SQL"}]}', '"profile"': json.dumps({"profile": {"anonymized_name": "kept"}})}
+    r = compiling.compile_candidates(texts, MockBackend(answers), write).first()
+    assert [s["name"] for s in r["skills"]] == ["SQL"] and r["profile"]["anonymized_name"] == "kept" and "skills" not in r["defaulted"]
+    assert sorted(c["leaf"] for c in r["calls"]) == sorted([*(p.name for p in compiling.CANDIDATE_PARTS), "skills"])
+    r = compiling.compile_candidates(texts, MockBackend(), write, max_repairs=2).first()  # no answer helps
+    assert [c["leaf"] for c in r["calls"]].count("skills") == 4 and len(r["calls"]) == 8 and r["violations"]
+
+
+def test_details_of_the_first_signals(spark, write):
+    labels = [{"label": f"need {i}", "dense_weight": 0.3} for i in range(9)]
+    answers = {"Requirement: need 2": '{"query": "find two", "evidence_regex": "two", "dense_weight": 0.9}', "Requirement: need 3": '{"dense_weight": -4}', '"signals"': json.dumps({"signals": labels})}
+    texts = spark.createDataFrame([("j", JOB)], "jd_slug string, text string")
+    for most, asked in ((7, 7), (3, 3), (0, 0)):
+        r = compiling.compile_roles(texts, MockBackend(answers), write, max_signal_detail=most).first()
+        assert sum(c["leaf"].startswith("detail:") for c in r["calls"]) == asked and len(r["signals"]) == 9
+        if most == 7:
+            assert (r["signals"][2]["query"], r["signals"][2]["evidence_regex"], r["signals"][2]["dense_weight"]) == ("find two", "two", 0.9)
+            assert (r["signals"][3]["query"], r["signals"][3]["dense_weight"], r["signals"][8]["query"]) == ("need 3", 0.0, "need 8")
+
+
+def test_the_formula_tells_tiers_of_made_resumes_apart(spark):
+    from fitspark.plans.workflows import study_scores
+
+    rows = study_scores(spark, "/root/testdata/sf0.001").where("method = 'engine'").groupBy("tier").agg(F.avg("score").alias("s"), F.count_if(F.col("error").isNotNull()).alias("n")).collect()
+    means = {r["tier"]: r["s"] for r in rows}
+    assert means["strong"] > means["borderline"] > means["weak"] and not any(r["n"] for r in rows)
+
+
+def test_validators_name_the_field(spark, write):
+    assert ProfileValidator().validate(ROLE) == Verdict(True)
+    got = ProfileValidator().validate(ROLE | {"role": ROLE["role"] | {"title": " "}})
+    assert (got.ok, got.field, got.top) == (False, "role.title", "role") and "empty" in got.error
+    check = CandidateValidator(spark, check_id=False)
+    made = compiling.compile_candidates(spark.createDataFrame([("r", "text")], "resume_id string, text string"), MockBackend(), write)
+    whole = json.loads(made.select(F.to_json(F.struct(*(c for c in CANDIDATE.fieldNames() if c in made.columns)))).first()[0])
+    assert check.validate(whole).ok
+    got = check.validate(whole | {"career_history": []})
+    assert not got.ok and got.top == "career_history" and got.error.startswith("field 'career_history")
+
+
 def test_compiled_roles(spark, write):
     answers = {'"signals"': json.dumps({"signals": [{"label": "SQL & care", "evidence_regex": "sql"}, {"label": "SQL, care", "dense_weight": -1, "evidence_regex": "("}]}), '"red_flags"': json.dumps({"red_flags": {"cv_primary": True, "other": 1}}), '"domain"': json.dumps({"domain": {"in_domain_terms": ["C++ ", "Data"]}})}
     texts = spark.createDataFrame([("j", JOB)], "jd_slug string, text string")
@@ -249,7 +331,7 @@ def test_manifest(spark, tmp_path):
 def test_sql_functions(spark):
     from fitspark.functions.register import register
 
-    assert len(register(spark)) == 6
+    assert len(register(spark)) == 8
     row = spark.sql("SELECT fit_clip(5, 0, 3) a, fit_months(date '2022-12-01', date '2026-06-06') b, fit_tidy(' A  b ') c, fit_overlap(array('x'), array('x', 'y')) d, fit_cosine(array(1D, 0D), array(2D, 0D)) e, fit_half_life(18, 18) f").first()
     assert (row["a"], row["c"], row["d"], row["e"], row["f"]) == (3.0, "a b", 0.5, 1.0, 0.5) and row["b"] == pytest.approx(42 + 5 / 30)
 
