@@ -10,7 +10,12 @@ from fitspark.functions.jsonx import member
 from fitspark.operators.ranking import heaviest
 from fitspark.schemas import COMPANY_SIZES, EDUCATION_TIERS, PROFICIENCIES, WORK_MODES
 
-# What stands in for parts of a role profile that are missing.
+# What stands in for parts of a candidate or a role profile that are missing.
+DEFAULT_COMPANY, DEFAULT_SIZE, DEFAULT_INDUSTRY = "Unknown Company", "201-500", "Technology"
+DEFAULT_JOB = {"title": "Unknown Title"}
+DEFAULT_DEGREE = {"institution": "Unknown Institution", "degree": "Bachelor's", "field_of_study": "General Studies"}
+DEFAULT_PROFILE = {"anonymized_name": "XYZ Candidate", "headline": "Professional", "location": "Unknown", "country": "India", "current_title": "Professional"}
+DAYS_BEFORE = 365
 DEFAULT_ROLE = {"min_years": 2, "max_years": 10, "peak_years": 5.0, "sigma_years": 2.5, "notice_days": 60}
 DEFAULT_EXTRAS = {"yoe_fit_weight": 0.08, "domain_ratio_weight": 0.10}
 DEFAULT_DOMAIN = {"in_domain_terms": ["engineering", "technology"], "out_of_domain_terms": ["unrelated field"], "in_domain_regex": r"engineer|technolog|software|data|product", "out_of_domain_regex": r"unrelated field"}
@@ -26,9 +31,25 @@ def one_of(c: Column, allowed: tuple[str, ...], default: str) -> Column:
     return F.when(c.isin(*allowed), c).otherwise(F.lit(default))
 
 
+def kind_of(v: Column, path: str) -> Column:
+    """The name of a member's JSON type, empty if it is missing."""
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{path}", "variant")), F.lit(""))
+
+
+def number(v: Column, path: str) -> Column:
+    """A member that is a number, not a text that looks like one; else null."""
+    return F.when(kind_of(v, path).rlike("^(?:BIGINT|DOUBLE|DECIMAL)"), member(v, path, "double"))
+
+
+def truth(v: Column, path: str) -> Column:
+    """A member that is true or false; else null."""
+    return F.when(kind_of(v, path) == "BOOLEAN", member(v, path, "boolean"))
+
+
 def items(v: Column, path: str) -> Column:
-    """An array member as array<variant>; empty if it is none."""
-    return F.coalesce(F.try_variant_get(v, f"$.{path}", "array<variant>"), F.expr("cast(array() as array<variant>)"))
+    """The objects of an array member as array<variant>; empty if it is none."""
+    every = F.coalesce(F.try_variant_get(v, f"$.{path}", "array<variant>"), F.expr("cast(array() as array<variant>)"))
+    return F.filter(every, lambda e: F.schema_of_variant(e).startswith("OBJECT"))
 
 
 def date_text(c: Column) -> Column:
@@ -37,24 +58,25 @@ def date_text(c: Column) -> Column:
 
 
 def career(v: Column, ref: Column, path: str = "career_history", most: int = 10) -> Column:
-    """Up to `most` positions, one at least: current ones have no end, durations follow from the dates."""
+    """Up to `most` positions, one at least. One that is current, or whose end is no date, goes on; lengths follow from the dates."""
 
     def entry(e: Column) -> Column:
-        end = date_text(F.when(F.lower(words(e, "end_date")).isin("present", "current", "now"), None).otherwise(words(e, "end_date")))
-        current = F.coalesce(member(e, "is_current", "boolean"), end.isNull())
-        start = F.coalesce(date_text(words(e, "start_date")), F.date_format(F.add_months(ref, -12), "yyyy-MM-dd"))
-        length = dates.months(F.to_date(start), F.coalesce(F.to_date(end), ref))
-        months = dates.clamp_int(F.coalesce(member(e, "duration_months", "double"), length), 0, 600, 0)
+        end = date_text(words(e, "end_date"))
+        current = F.coalesce(truth(e, "is_current"), F.lit(False)) | end.isNull()
+        start = F.coalesce(date_text(words(e, "start_date")), F.date_format(F.date_sub(ref, DAYS_BEFORE), "yyyy-MM-dd"))
+        length = F.greatest(F.lit(0.0), dates.months(F.to_date(start), F.when(current, ref).otherwise(F.to_date(end))))
+        given = number(e, "duration_months")
+        title, company = words(e, "title", DEFAULT_JOB["title"]), words(e, "company", DEFAULT_COMPANY)
         return F.struct(
-            words(e, "company", "Unknown").alias("company"),
-            words(e, "title", "Unknown").alias("title"),
+            company.alias("company"),
+            title.alias("title"),
             start.alias("start_date"),
-            F.when(~current, F.coalesce(end, F.date_format(ref, "yyyy-MM-dd"))).alias("end_date"),
-            months.alias("duration_months"),
+            F.when(~current, end).alias("end_date"),
+            F.bround(F.when(given >= 0, given).otherwise(length)).cast("int").alias("duration_months"),
             current.alias("is_current"),
-            words(e, "industry", "Unknown").alias("industry"),
-            one_of(words(e, "company_size"), COMPANY_SIZES, "51-200").alias("company_size"),
-            F.coalesce(F.nullif(words(e, "description"), F.lit("")), F.concat_ws(" ", words(e, "title"), words(e, "company"))).alias("description"),
+            words(e, "industry", DEFAULT_INDUSTRY).alias("industry"),
+            one_of(member(e, "company_size"), COMPANY_SIZES, DEFAULT_SIZE).alias("company_size"),
+            F.coalesce(F.nullif(words(e, "description"), F.lit("")), F.concat(title, F.lit(" at "), company, F.lit("."))).alias("description"),
         )
 
     got = F.slice(F.transform(items(v, path), entry), 1, most)
@@ -63,9 +85,10 @@ def career(v: Column, ref: Column, path: str = "career_history", most: int = 10)
 
 def education(v: Column, path: str = "education", most: int = 5) -> Column:
     def entry(e: Column) -> Column:
+        at = lambda k: words(e, k, DEFAULT_DEGREE[k]).alias(k)
         start = dates.clamp_int(member(e, "start_year", "double"), 1970, 2030, 2015)
         end = dates.clamp_int(member(e, "end_year", "double"), 1970, 2035, 2019)
-        return F.struct(words(e, "institution", "Unknown").alias("institution"), words(e, "degree", "Unknown").alias("degree"), words(e, "field_of_study", "Unknown").alias("field_of_study"), start.alias("start_year"), F.greatest(start, end).alias("end_year"), F.nullif(words(e, "grade"), F.lit("")).alias("grade"), one_of(words(e, "tier"), EDUCATION_TIERS, "unknown").alias("tier"))
+        return F.struct(at("institution"), at("degree"), at("field_of_study"), start.alias("start_year"), F.greatest(start, end).alias("end_year"), F.nullif(words(e, "grade"), F.lit("")).alias("grade"), one_of(member(e, "tier"), EDUCATION_TIERS, "unknown").alias("tier"))
 
     return F.slice(F.transform(items(v, path), entry), 1, most)
 
@@ -74,75 +97,76 @@ def skills(v: Column, path: str = "skills") -> Column:
     """Skills with a name, each name once without regard to case; the first stays."""
 
     def entry(e: Column) -> Column:
-        name = F.coalesce(F.nullif(words(e, "name"), F.lit("")), F.trim(F.try_variant_get(e, "$", "string")))
-        given = member(e, "duration_months", "double")
+        given = number(e, "duration_months")
         return F.struct(
-            F.when(~name.startswith("{"), name).alias("name"),
-            one_of(F.lower(words(e, "proficiency")), PROFICIENCIES, "intermediate").alias("proficiency"),
-            dates.clamp_int(member(e, "endorsements", "double"), 0, 100000, 0).alias("endorsements"),
-            F.when(given.isNotNull(), dates.clamp_int(given, 0, 600, 0)).alias("duration_months"),
-            given.isNotNull().alias("duration_given"),
+            words(e, "name").alias("name"),
+            one_of(member(e, "proficiency"), PROFICIENCIES, "intermediate").alias("proficiency"),
+            dates.clamp_int(member(e, "endorsements", "double"), 0, 10_000, 0).alias("endorsements"),
+            F.when(given >= 0, F.bround(given).cast("int")).alias("duration_months"),
+            F.coalesce(given >= 0, F.lit(False)).alias("duration_given"),
         )
 
-    named = F.filter(F.transform(items(v, path), entry), lambda s: F.coalesce(s["name"], F.lit("")) != "")
+    named = F.filter(F.transform(items(v, path), entry), lambda s: s["name"] != "")
     return arrays.distinct_by(named, lambda s: F.lower(s["name"]))
 
 
 def profile(v: Column, path: str = "profile") -> Column:
-    at = lambda k, default="": words(v, f"{path}.{k}", default).alias(k)
+    at = lambda k: words(v, f"{path}.{k}", DEFAULT_PROFILE.get(k, "")).alias(k)
     years = dates.clip(dates.number_or(member(v, f"{path}.years_of_experience", "double"), 0.0), 0, 50)
-    return F.struct(at("anonymized_name", "Candidate"), at("headline"), at("summary"), at("location", "Unknown"), at("country", "Unknown"), years.alias("years_of_experience"), at("current_title", "Unknown"), at("current_company", "Unknown"), one_of(words(v, f"{path}.current_company_size"), COMPANY_SIZES, "51-200").alias("current_company_size"), at("current_industry", "Unknown"))
+    company, industry = words(v, f"{path}.current_company", DEFAULT_COMPANY), words(v, f"{path}.current_industry", DEFAULT_INDUSTRY)
+    size = one_of(member(v, f"{path}.current_company_size"), COMPANY_SIZES, DEFAULT_SIZE)
+    return F.struct(at("anonymized_name"), at("headline"), at("summary"), at("location"), at("country"), years.alias("years_of_experience"), at("current_title"), company.alias("current_company"), size.alias("current_company_size"), industry.alias("current_industry"))
 
 
 def with_projects(p: Column, projects: Column) -> Column:
-    """A profile whose summary takes in the projects: they are no positions."""
+    """A profile whose summary takes in the projects after a blank line: they are no positions."""
     told = F.array_join(F.filter(F.transform(projects, lambda x: F.trim(x)), lambda x: x != ""), "; ")
-    return F.when(told != "", p.withField("summary", F.trim(F.concat(p["summary"], F.lit(" Projects: "), told)))).otherwise(p)
+    return F.when(told != "", p.withField("summary", F.concat_ws("\n\n", F.nullif(p["summary"], F.lit("")), F.concat(F.lit("Projects: "), told)))).otherwise(p)
 
 
 def signals(v: Column, source: Column, ref: Column, path: str = "signals") -> Column:
-    """The 23 signals: neutral values, overridden by what is known and by hints in the text."""
-    num = lambda k, default, low, high: dates.clip(dates.number_or(member(v, f"{path}.{k}", "double"), default), low, high).alias(k)
-    whole = lambda k, default, high=1000000: dates.clamp_int(member(v, f"{path}.{k}", "double"), 0, high, default).alias(k)
-    yes = lambda k, default: F.coalesce(member(v, f"{path}.{k}", "boolean"), F.lit(default)).alias(k)
-    today = F.date_format(ref, "yyyy-MM-dd")
-    low, high = (dates.number_or(member(v, f"{path}.expected_salary_range.{k}", "double"), 0.0) for k in ("min", "max"))
+    """The 23 signals of a candidate that nothing but a text is known of: neutral values, but for what the block or the text states."""
+    fixed = lambda k, value: F.lit(value).alias(k)
+    stated = lambda k: F.coalesce(truth(v, f"{path}.{k}"), F.lit(False)).alias(k)
+    day = lambda d: F.date_format(d, "yyyy-MM-dd")
+    low = F.greatest(F.lit(0.0), dates.number_or(member(v, f"{path}.expected_salary_range.min", "double"), 0.0))
+    high = F.greatest(low, dates.number_or(member(v, f"{path}.expected_salary_range.max", "double"), 0.0))
     github = F.when(source.rlike(r"(?i)github\.com/[A-Za-z0-9_-]+"), 40.0).otherwise(-1.0)
-    notice = F.coalesce(text.notice_days(source), dates.clamp_int(member(v, f"{path}.notice_period_days", "double"), 0, 180, 60))
-    scores = F.coalesce(F.try_variant_get(v, f"$.{path}.skill_assessment_scores", "map<string,double>"), F.expr("cast(map() as map<string,double>)"))
+    notice = F.coalesce(dates.clamp_int(F.coalesce(number(v, f"{path}.notice_period_days"), text.notice_days(source).cast("double")), 0, 180, 60))
     return F.struct(
-        num("profile_completeness_score", 50.0, 0, 100),
-        F.coalesce(date_text(words(v, f"{path}.signup_date")), today).alias("signup_date"),
-        F.coalesce(date_text(words(v, f"{path}.last_active_date")), today).alias("last_active_date"),
-        yes("open_to_work_flag", True),
-        whole("profile_views_received_30d", 0),
-        whole("applications_submitted_30d", 0),
-        num("recruiter_response_rate", 0.5, 0, 1),
-        num("avg_response_time_hours", 24.0, 0, 10000),
-        F.map_filter(scores, lambda k, x: x.between(0, 100)).alias("skill_assessment_scores"),
-        whole("connection_count", 0),
-        whole("endorsements_received", 0),
+        fixed("profile_completeness_score", 50.0),
+        day(F.date_sub(ref, DAYS_BEFORE)).alias("signup_date"),
+        day(ref).alias("last_active_date"),
+        fixed("open_to_work_flag", True),
+        fixed("profile_views_received_30d", 0),
+        fixed("applications_submitted_30d", 0),
+        fixed("recruiter_response_rate", 0.5),
+        fixed("avg_response_time_hours", 0.0),
+        F.expr("cast(map() as map<string,double>)").alias("skill_assessment_scores"),
+        fixed("connection_count", 0),
+        fixed("endorsements_received", 0),
         notice.alias("notice_period_days"),
-        F.struct(F.least(low, high).alias("min"), F.greatest(low, high).alias("max")).alias("expected_salary_range"),
-        one_of(F.lower(words(v, f"{path}.preferred_work_mode")), WORK_MODES, "flexible").alias("preferred_work_mode"),
-        yes("willing_to_relocate", False),
-        dates.clip(F.coalesce(member(v, f"{path}.github_activity_score", "double"), github), -1, 100).alias("github_activity_score"),
-        whole("search_appearance_30d", 0),
-        whole("saved_by_recruiters_30d", 0),
-        num("interview_completion_rate", 0.5, 0, 1),
-        num("offer_acceptance_rate", -1.0, -1, 1),
-        yes("verified_email", False),
-        yes("verified_phone", False),
-        yes("linkedin_connected", False),
+        F.struct(low.alias("min"), high.alias("max")).alias("expected_salary_range"),
+        one_of(member(v, f"{path}.preferred_work_mode"), WORK_MODES, "flexible").alias("preferred_work_mode"),
+        F.coalesce(truth(v, f"{path}.willing_to_relocate"), F.lit(True)).alias("willing_to_relocate"),
+        github.alias("github_activity_score"),
+        fixed("search_appearance_30d", 0),
+        fixed("saved_by_recruiters_30d", 0),
+        fixed("interview_completion_rate", 0.5),
+        fixed("offer_acceptance_rate", -1.0),
+        stated("verified_email"),
+        stated("verified_phone"),
+        stated("linkedin_connected"),
     )
 
 
-def role_block(v: Column, path: str = "role") -> Column:
+def role_block(v: Column, source: Column, path: str = "role") -> Column:
+    """The role; without a title the first line of the job text is its title."""
     at = lambda k, default="": words(v, f"{path}.{k}", default).alias(k)
     n = lambda k: dates.number_or(member(v, f"{path}.ideal_experience.{k}", "double"), DEFAULT_ROLE[k])
-    sigma = F.when(n("sigma_years") > 0, n("sigma_years")).otherwise(DEFAULT_ROLE["sigma_years"])
-    ideal = F.struct(n("min_years").alias("min_years"), n("max_years").alias("max_years"), n("peak_years").alias("peak_years"), sigma.alias("sigma_years"))
-    return F.struct(at("title", "Unknown role"), at("company"), at("domain"), at("summary", "No summary."), ideal.alias("ideal_experience"), dates.clamp_int(member(v, f"{path}.notice_preference_days", "double"), 0, 365, DEFAULT_ROLE["notice_days"]).alias("notice_preference_days"))
+    ideal = F.struct(n("min_years").alias("min_years"), n("max_years").alias("max_years"), n("peak_years").alias("peak_years"), F.greatest(F.lit(1.0), n("sigma_years")).alias("sigma_years"))
+    title = F.coalesce(F.nullif(words(v, f"{path}.title"), F.lit("")), F.nullif(text.first_line(source), F.lit("")), F.lit("Role"))
+    return F.struct(title.alias("title"), at("company"), at("domain", "general"), at("summary", "No summary."), ideal.alias("ideal_experience"), dates.clamp_int(F.floor(member(v, f"{path}.notice_preference_days", "double")), 0, 365, DEFAULT_ROLE["notice_days"]).alias("notice_preference_days"))
 
 
 def string_list(v: Column, path: str) -> Column:
@@ -182,7 +206,8 @@ def red_flags(v: Column, path: str = "red_flags") -> Column:
 
 def cross_query(role: Column, signals_: Column) -> Column:
     """One sentence on the role from the first five labels."""
-    return F.concat(F.lit("A candidate for "), role["title"], F.lit(" with: "), F.array_join(F.transform(F.slice(signals_, 1, 5), lambda s: s["label"]), ", "), F.lit("."))
+    base = F.coalesce(F.nullif(role["summary"], F.lit("")), F.nullif(role["title"], F.lit("")), F.lit("the ideal candidate"))
+    return F.concat(base, F.lit(" — a strong fit demonstrates "), F.array_join(F.transform(F.slice(signals_, 1, 5), lambda s: s["label"]), ", "), F.lit(", with relevant hands-on experience around "), role["domain"], F.lit("."))
 
 
 def meta_of(signals_: Column, exclusions: Column, out_terms: Column) -> Column:

@@ -42,7 +42,7 @@ CANDIDATE_PARTS = (
 )
 
 ROLE_PARTS = (
-    Part("role", "From the job text give {\"role\": {title, company, domain, summary, ideal_experience: {min_years, max_years, peak_years, sigma_years}, notice_preference_days}}.", ("about", "responsibilities"), lambda v, t, r: coerce.role_block(v), 400),
+    Part("role", "From the job text give {\"role\": {title, company, domain, summary, ideal_experience: {min_years, max_years, peak_years, sigma_years}, notice_preference_days}}.", ("about", "responsibilities"), lambda v, t, r: coerce.role_block(v, t), 400),
     Part("locations", "From the job text give {\"locations\": {preferred, acceptable, relocation_acceptable, remote_acceptable}}.", ("location",), lambda v, t, r: coerce.locations(v), 400),
     Part("signals", "From the job text give {\"signals\": [{id, label, query, evidence_regex, dense_weight}]}, what a candidate must show.", ("responsibilities", "qualifications"), lambda v, t, r: coerce.signal_list(v), kind="ARRAY"),
     Part("domain", "From the job text give {\"domain\": {in_domain_terms, out_of_domain_terms, in_domain_regex, out_of_domain_regex}}.", ("qualifications",), lambda v, t, r: coerce.domain(v)),
@@ -152,7 +152,7 @@ def compile_roles(texts: DataFrame, backend: TextBackend, write: Callable[[DataF
     got = compile_parts(texts, ROLE_PARTS, backend, write, key=key, column=column)
     if max_signal_detail:
         got = with_details(got, texts, backend, write, key=key, column=column, most=max_signal_detail)
-    fallback = F.array(F.struct(F.lit("general_fit").alias("id"), F.lit("general fit").alias("label"), F.col("role.summary").alias("query"), F.lit(None).cast("string").alias("evidence_regex"), F.lit(1.0).alias("dense_weight")))
+    fallback = F.array(F.struct(F.lit("core_fit").alias("id"), F.lit("core role fit").alias("label"), F.col("role.summary").alias("query"), F.lit(None).cast("string").alias("evidence_regex"), F.lit(0.2).alias("dense_weight")))
     signals = F.when(F.size("signals") > 0, F.col("signals")).otherwise(fallback)
     got = got.withColumn("signals", signals).withColumn("cross_encoder_query", coerce.cross_query(F.col("role"), F.col("signals")))
     extras = F.struct(*(F.lit(v).alias(k) for k, v in coerce.DEFAULT_EXTRAS.items()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -74,17 +76,19 @@ def section_split(spark, d):
     return sections.with_sections(rows).select("s_suppkey", F.explode("sections").alias("section", "body"))
 
 
-@query("SELECT o_orderkey, least(50, greatest(0, o_totalprice / 10000)) AS years, CAST(least(180, greatest(0, o_custkey % 400)) AS INTEGER) AS notice, CASE o_orderstatus WHEN 'F' THEN 'remote' ELSE 'flexible' END AS mode FROM orders")
+@query("""SELECT o_orderkey, least(50, greatest(0, o_totalprice / 10000)) AS years, CAST(least(180, greatest(0, o_custkey % 400)) AS INTEGER) AS notice, CASE o_orderstatus WHEN 'F' THEN 'remote' ELSE 'flexible' END AS mode, o_orderstatus <> 'P' AS moves,
+           CAST(greatest(0, o_custkey % 50 - 10) AS DOUBLE) AS pay_from, CAST(greatest(0, o_custkey % 50 - 10, o_custkey % 30) AS DOUBLE) AS pay_to, CASE WHEN o_custkey % 2 = 0 THEN 40 ELSE -1 END::DOUBLE AS github, '2025-06-06' AS signup, o_custkey % 3 = 0 AS mailed, 'India' AS country FROM orders""")
 def coerced_blocks(spark, d):
     o = table(spark, d, "orders")
     raw = F.struct(
         F.struct((F.col("o_totalprice") / 10000).alias("years_of_experience")).alias("profile"),
-        F.struct((F.col("o_custkey") % 400).alias("notice_period_days"), F.when(F.col("o_orderstatus") == "F", "Remote").otherwise("moon").alias("preferred_work_mode")).alias("signals"),
+        F.struct((F.col("o_custkey") % 400).alias("notice_period_days"), F.when(F.col("o_orderstatus") == "F", "remote").otherwise("Remote").alias("preferred_work_mode"), (F.col("o_orderstatus") != "P").alias("willing_to_relocate"), F.struct((F.col("o_custkey") % 50 - 10).alias("min"), (F.col("o_custkey") % 30).alias("max")).alias("expected_salary_range"), (F.col("o_custkey") % 3 == 0).alias("verified_email"), F.lit(9).alias("connection_count")).alias("signals"),
     )
-    v = o.select("o_orderkey", F.parse_json(F.to_json(raw)).alias("v"))
+    source = F.when(F.col("o_custkey") % 2 == 0, "see GitHub.com/me").otherwise("5 days notice")
+    v = o.select("o_orderkey", F.parse_json(F.to_json(raw)).alias("v"), source.alias("source"))
     ref = F.to_date(F.lit("2026-06-06"))
-    made = v.select("o_orderkey", coerce.profile(F.col("v")).alias("p"), coerce.signals(F.col("v"), F.lit(""), ref).alias("s"))
-    return made.select("o_orderkey", F.col("p.years_of_experience").alias("years"), F.col("s.notice_period_days").alias("notice"), F.col("s.preferred_work_mode").alias("mode"))
+    made = v.select("o_orderkey", coerce.profile(F.col("v")).alias("p"), coerce.signals(F.col("v"), F.col("source"), ref).alias("s"))
+    return made.select("o_orderkey", F.col("p.years_of_experience").alias("years"), F.col("s.notice_period_days").alias("notice"), F.col("s.preferred_work_mode").alias("mode"), F.col("s.willing_to_relocate").alias("moves"), F.col("s.expected_salary_range.min").alias("pay_from"), F.col("s.expected_salary_range.max").alias("pay_to"), F.col("s.github_activity_score").alias("github"), F.col("s.signup_date").alias("signup"), F.col("s.verified_email").alias("mailed"), F.col("p.country").alias("country"))
 
 
 @query("SELECT n_nationkey, n_name AS must, CAST(n_nationkey % 5 AS INTEGER) AS nice FROM nation")
@@ -143,13 +147,44 @@ def named_fields(spark, d):
     return f.select("c_custkey", F.coalesce("f.path", F.lit("")).alias("path"), F.coalesce("f.top", F.lit("")).alias("top"))
 
 
-@query()
+class StatedBackend(MockBackend):
+    """Answers about texts that name a field and a number, with what coercion has to mend."""
+
+    def generate(self, prompt: str, system: str | None = None, temperature: float = 0.2, max_tokens: int = 2048) -> str:
+        found = re.search(r"works in (\w+), number (\d+)", prompt)
+        if not found:
+            return "nothing known"
+        name, k = found[1], int(found[2])
+        part = next((p for p in ("career_history", "education", "skills") if f'{{"{p}":' in prompt), "")
+        old = {"title": name, "company": "F", "start_date": f"{2000 + k % 10}-{1 + k % 12}-5", "end_date": f"{2001 + k % 10}-{1 + k % 12:02d}-05"}
+        answers = {
+            "career_history": [old, {"title": "Lead", "start_date": "2021-02-01", "end_date": "Present", "company_size": "huge"}] * (1 + k % 7),
+            "education": [{"institution": "U", "start_year": 1900 + k % 200, "end_year": f"{1899 + k % 200}"}] * (k % 8),
+            "skills": [{"name": name, "proficiency": "expert" if k % 2 == 0 else "EXPERT", "endorsements": k % 4 + 0.5}, {"name": name.lower()}, {"name": ""}, {"name": "Go", "duration_months": k}],
+        }
+        return f"Here:\n```json\n{json.dumps({part: answers[part]} if part else {})}\n```"
+
+
+@query("""
+    SELECT CAST(c_custkey AS VARCHAR) AS resume_id, CAST(least(10, 2 * (1 + c_custkey % 7)) AS INTEGER) AS n_jobs, c_mktsegment AS title, strftime(make_date((2000 + c_custkey % 10)::INTEGER, (1 + c_custkey % 12)::INTEGER, 5), '%Y-%m-%d') AS start_date, 12 AS months,
+           true AS goes_on, 64 AS months_so_far, 'Lead at Unknown Company.' AS description, CAST(least(5, c_custkey % 8) AS INTEGER) AS n_degrees,
+           CASE WHEN c_custkey % 8 > 0 THEN CAST(least(2030, greatest(1970, 1900 + c_custkey % 200)) AS INTEGER) END AS start_year,
+           CASE WHEN c_custkey % 8 > 0 THEN CAST(greatest(least(2030, greatest(1970, 1900 + c_custkey % 200)), least(2035, greatest(1970, 1899 + c_custkey % 200))) AS INTEGER) END AS end_year,
+           c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN ':expert:' ELSE ':intermediate:' END || CAST(round_even(c_custkey % 4 + 0.5, 0) AS INTEGER) || ', Go:intermediate:0' AS skills, CAST(c_custkey AS INTEGER) AS skill_months, CAST(c_custkey % 5 * 15 AS INTEGER) AS notice, 0 AS n_violations, 'profile, signals' AS defaulted, CAST(5 AS INTEGER) AS n_calls
+    FROM customer""")
 def compiled_candidates(spark, d):
-    """Texts compiled by the offline model: every row satisfies every rule."""
-    texts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("resume_id"), "text")
-    answer = '{"skills": [{"name": "SQL"}, {"name": "sql"}], "career_history": [{"title": "Engineer", "start_date": "2020-01-01", "end_date": "present"}]}'
-    got = compile_candidates(texts, MockBackend({"skills": answer}), write_table)
-    return got.select("resume_id", "candidate_id", F.size("career_history").alias("n_jobs"), F.size("skills").alias("n_skills"), F.size("violations").alias("n_violations"), F.array_join("defaulted", ", ").alias("defaulted"))
+    """Texts compiled by a model whose answers need coercion: every row satisfies every rule."""
+    k = F.col("c_custkey").cast("string")
+    texts = table(spark, d, "customer").select(k.alias("resume_id"), F.concat(F.lit("Someone works in "), F.col("c_mktsegment"), F.lit(", number "), k, F.lit(". "), (F.col("c_custkey") % 5 * 15).cast("string"), F.lit(" days notice.")).alias("text"))
+    got = compile_candidates(texts, StatedBackend(), write_table)
+    job, lead, degree = F.get("career_history", F.lit(0)), F.get("career_history", F.lit(1)), F.get("education", F.lit(0))
+    said = F.array_join(F.transform("skills", lambda x: F.concat_ws(":", x["name"], x["proficiency"], x["endorsements"].cast("string"))), ", ")
+    return got.select(
+        "resume_id", F.size("career_history").alias("n_jobs"), job["title"].alias("title"), job["start_date"].alias("start_date"), job["duration_months"].alias("months"),
+        (lead["is_current"] & lead["end_date"].isNull() & (lead["company_size"] == "201-500")).alias("goes_on"), lead["duration_months"].alias("months_so_far"), lead["description"].alias("description"),
+        F.size("education").alias("n_degrees"), degree["start_year"].alias("start_year"), degree["end_year"].alias("end_year"), said.alias("skills"), F.get("skills", F.lit(1))["duration_months"].alias("skill_months"),
+        F.col("signals.notice_period_days").alias("notice"), F.size("violations").alias("n_violations"), F.array_join("defaulted", ", ").alias("defaulted"), F.size("calls").alias("n_calls"),
+    )
 
 
 #: A general role for made-up résumés: who led and designed is preferred to who helped, and that to who filed.
@@ -271,8 +306,9 @@ def sql_functions(spark, d):
         FROM u JOIN fit_gammas g ON g.user_id = u.user_id JOIN lines ON lines.user_id = u.user_id""")
 
 
-@query()
+@query("""SELECT item_id, '{"fit": ' || length(text) % 5 || '}' AS answer, true AS ok, CAST(NULL AS VARCHAR) AS error, CAST(length('fit ' || length(text) % 5 || ' ' || text) // 4 + 40 AS BIGINT) AS tokens, 1 AS tries FROM benchmark""")
 def model_answers(spark, d):
     """Calls of the offline model with its telemetry."""
-    prompts = table(spark, d, "benchmark").select("item_id", F.col("text").alias("prompt"))
-    return ask(prompts, MockBackend({"": '{"fit": 1}'})).select("item_id", "answer", "ok", "error", "tokens", "tries")
+    rest = (F.length("text") % 5).cast("string")
+    prompts = table(spark, d, "benchmark").select("item_id", F.concat_ws(" ", F.lit("fit"), rest, F.col("text")).alias("prompt"))
+    return ask(prompts, MockBackend({f"fit {k} ": f'{{"fit": {k}}}' for k in range(5)})).select("item_id", "answer", "ok", "error", "tokens", "tries")

@@ -207,12 +207,12 @@ def test_compiled_candidates(spark, write):
     texts = spark.createDataFrame([("r1", "Robot builder. 30 days notice. github.com/robot")], "resume_id string, text string")
     r = compiling.compile_candidates(texts, MockBackend(GOOD), write).first()
     assert r["candidate_id"].startswith("CAND_") and not r["violations"] and "signals" in r["defaulted"] and "profile" not in r["defaulted"]
-    assert r["profile"]["years_of_experience"] == 5 and r["profile"]["current_company_size"] == "51-200" and "Projects: robot" in r["profile"]["summary"]
+    assert r["profile"]["years_of_experience"] == 5 and r["profile"]["current_company_size"] == "201-500" and r["profile"]["summary"] == "Projects: robot" and r["profile"]["anonymized_name"] == "A" and r["profile"]["country"] == "India"
     assert [(j["title"], j["start_date"], j["end_date"], j["duration_months"], j["is_current"]) for j in r["career_history"]] == [("Engineer", "2020-01-05", "2021-01-05", 12, False), ("Lead", "2021-02-01", None, 64, True)]
-    assert [(s["name"], s["proficiency"], s["endorsements"], s["duration_months"]) for s in r["skills"]] == [("SQL", "expert", 2, None), ("Go", "intermediate", 0, 7)]
+    assert [(s["name"], s["proficiency"], s["endorsements"], s["duration_months"]) for s in r["skills"]] == [("SQL", "intermediate", 2, None), ("Go", "intermediate", 0, 7)]
     assert (r["education"][0]["start_year"], r["education"][0]["end_year"]) == (1970, 1970)
     s = r["signals"]
-    assert (s["notice_period_days"], s["github_activity_score"], s["recruiter_response_rate"], s["last_active_date"]) == (30, 40.0, 0.5, "2026-06-06") and len(s) == 23
+    assert (s["notice_period_days"], s["github_activity_score"], s["recruiter_response_rate"], s["last_active_date"], s["signup_date"]) == (30, 40.0, 0.5, "2026-06-06", "2025-06-06") and len(s) == 23
 
 
 @pytest.mark.parametrize("backend", [MockBackend(), MockBackend({"": "useless"}), MockBackend(error="429"), MockBackend({"": '{"career_history": 5, "skills": "x"}'})], ids=["empty", "useless", "limited", "wrong"])
@@ -273,7 +273,7 @@ def test_compiled_roles(spark, write):
     for backend in (MockBackend(answers), MockBackend({"": "nothing"})):
         r = compiling.compile_roles(texts, backend, write).first()
         role, mended = compiling.checked_role(json.loads(r["profile_json"]))
-        assert role.signals and role.title == "Unknown role"
+        assert role.signals and role.title == "Example"
         if backend.answers is answers:
             assert [(s.id, s.evidence_regex, s.dense_weight) for s in role.signals] == [("sql_care", "sql", 0.1), ("sql_care_2", None, 0.0)] and mended == ["signals.sql_care_2"]
             assert role.flags == {"cv_primary", "job_hopper", "stale_ic_role"} and role.in_terms == ("c++", "data") and role.in_regex == r"c\+\+|data"
