@@ -1,12 +1,14 @@
-"""python -m fitspark: check a role profile, score candidates, rank a study, or make résumés."""
+"""python -m fitspark: check or compare role profiles, compile texts, score candidates, rank a study, or make résumés."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -23,6 +25,15 @@ def main(argv: list[str] | None = None) -> int:
     resumes = sub.add_parser("resumes", help="make résumés for jobs in JSON lines (jd_slug, title, skills)")
     resumes.add_argument("jobs")
     resumes.add_argument("out")
+    parity = sub.add_parser("parity", help="compare two role profiles in YAML")
+    parity.add_argument("one")
+    parity.add_argument("other")
+    for kind, what in (("roles", "job"), ("candidates", "résumé")):
+        compiling = sub.add_parser(f"compile-{kind}", help=f"compile {what} texts, one a file, by a model")
+        compiling.add_argument("texts", help="a folder")
+        compiling.add_argument("out")
+        compiling.add_argument("--model", default="fitspark.backends:MockBackend", help="module:callable that makes a text backend")
+        compiling.add_argument("--ref-date")
     a = p.parse_args(argv)
 
     from fitspark.config import ProfileError, load_role, structural
@@ -35,6 +46,15 @@ def main(argv: list[str] | None = None) -> int:
             print(e, file=sys.stderr)
             return 1
         return 0
+    if a.command == "parity":
+        from fitspark.config import parity as compared
+
+        profiles = []
+        for path in (a.one, a.other):
+            with open(path, encoding="utf-8") as f:
+                profiles.append(structural(load_role(f.read())))
+        print(json.dumps(compared(*profiles)))
+        return 0
     spark = SparkSession.builder.appName("fitspark").getOrCreate()
     if a.command == "fit":
         from fitspark.embedding import HashEmbedding
@@ -50,6 +70,16 @@ def main(argv: list[str] | None = None) -> int:
         from fitspark.sources.study import read_scores
 
         print(report(read_scores(spark, a.scores)))
+    elif a.command.startswith("compile-"):
+        from fitspark.plans.compile import compile_candidates, compile_roles
+        from fitspark.plans.workflows import write_table
+
+        module, _, name = a.model.partition(":")
+        model = getattr(importlib.import_module(module), name)()
+        key = "jd_slug" if a.command == "compile-roles" else "resume_id"
+        files = spark.read.text(a.texts, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias(key), F.col("value").alias("text"))
+        made = compile_roles(files, model, write_table) if key == "jd_slug" else compile_candidates(files, model, write_table, ref_date=a.ref_date)
+        made.write.mode("overwrite").json(a.out)
     else:
         from fitspark.sources.study import make_resumes
 

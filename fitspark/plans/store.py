@@ -151,6 +151,15 @@ class Store:
         return found
 
 
+def ensure_schema(spark: SparkSession, database: str = "default") -> list[str]:
+    """Create the stored tables in a catalog, in dependency order, unless they are there; returns their names."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    for name, schema in TABLES.items():
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({columns}) USING parquet")
+    return list(TABLES)
+
+
 def open_store(spark: SparkSession, config: dict | None = None) -> Store:
     """A store by configuration, else the environment's STORE_PATH, else the session's warehouse; kinds are parquet and memory."""
     config = config or {}

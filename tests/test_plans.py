@@ -6,6 +6,7 @@ import pytest
 from fixtures import CANDIDATES, ROLE
 from pyspark.sql import functions as F
 
+from fitspark.__main__ import main
 from fitspark.backends import MockBackend, MockJudge, RateLimitError, Retry, TransientBackendError, ask, entries
 from fitspark.config import ProfileValidator, Verdict, role_of, to_yaml
 from fitspark.embedding import HashEmbedding
@@ -13,7 +14,7 @@ from fitspark.operators.intrinsic import candidates_of
 from fitspark.operators.validate import CandidateValidator
 from fitspark.plans import compile as compiling
 from fitspark.plans import session
-from fitspark.plans.store import Store, open_store
+from fitspark.plans.store import Store, ensure_schema, open_store
 from fitspark.schemas import CANDIDATE
 from fitspark.sources import documents, sections, study
 from fitspark.streaming import events
@@ -57,6 +58,27 @@ def test_vectors(spark, tmp_path):
         s.save("embeddings", [row("bad", [1, 0]) | {"dim": 3}])
 
 
+def test_tables_are_created_once(spark):
+    names = ensure_schema(spark, "fit_test")
+    assert ensure_schema(spark, "fit_test") == names == ["workspaces", "profiles", "resumes", "candidate_records", "fit_runs", "corrections", "embeddings"]
+    assert {r["tableName"] for r in spark.sql("SHOW TABLES IN fit_test").collect()} >= set(names)
+    assert spark.table("fit_test.embeddings").schema["vector"].dataType.simpleString() == "array<double>"
+    spark.sql("DROP DATABASE fit_test CASCADE")
+
+
+def test_commands_compile_and_compare(spark, tmp_path, capsys):
+    (tmp_path / "jobs").mkdir()
+    (tmp_path / "jobs" / "one.txt").write_text(JOB)
+    for i, extra in enumerate(({}, {"red_flags": {}})):
+        (tmp_path / f"{i}.yaml").write_text(to_yaml(ROLE | extra))
+    assert main(["parity", str(tmp_path / "0.yaml"), str(tmp_path / "1.yaml")]) == 0
+    assert json.loads(capsys.readouterr().out)["signal_count_delta"] == 0
+    assert main(["compile-roles", str(tmp_path / "jobs"), str(tmp_path / "roles")]) == 0
+    assert spark.read.json(str(tmp_path / "roles")).first()["jd_slug"] == "one"
+    assert main(["compile-candidates", str(tmp_path / "jobs"), str(tmp_path / "people")]) == 0
+    assert spark.read.json(str(tmp_path / "people")).first()["resume_id"] == "one"
+
+
 def test_search_reads_one_model_and_length(spark, tmp_path):
     s = Store(spark, str(tmp_path))
     row = lambda i, model, v: {"embedding_id": i, "workspace_id": "w", "owner_type": "t", "owner_id": "o", "embedding_model": model, "dim": len(v), "vector": v, "created_at": "1"}
