@@ -34,10 +34,10 @@ ENCODINGS = (
     ("base64url", r"^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
     ("base64", r".", UPPER + LOWER + DIGITS + "+/-_"),
 )
-#: The chance that two characters of ordinary text are equal; at least twice that of a uniform alphabet.
-CONCENTRATION = 0.065
-#: A uniformity test rejects beyond this normal deviate (p < 0.001).
-REJECT_Z = 3.09
+#: The chance that two characters of an ordinary name are equal; at least twice that of a uniform alphabet.
+CONCENTRATION = 0.06
+#: An ordinary name changes between upper case, lower case, digits and signs at most this share as often as a uniform string.
+CLASS_CHANGES = 0.4
 #: The share of false discoveries that is aimed at, in each stratum of encoding and length.
 FALSE_SHARE = 0.05
 #: p-values are counted in bins of a quarter of a power of ten, PBINS of them.
@@ -50,11 +50,27 @@ def base_spans(text: Column) -> Column:
     return F.concat(labelled(assign, "assign", 0), labelled(access, "access", 1), labelled(matches(text, HEX), "hex", 2))
 
 
-def _battery(value: Column, alphabet: str) -> Column:
-    """The p-value that ordinary text of this length looks as random; 1 if a test rejects uniformity.
+def _classes(alphabet: str) -> str:
+    """The class of each character of an alphabet; the halves of one that has one class only."""
+    of = "".join("D" if c in DIGITS else "L" if c in LOWER else "U" if c in UPPER else "S" for c in alphabet)
+    return of if len(set(of)) > 1 else "A" * (len(of) // 2) + "B" * (len(of) - len(of) // 2)
+
+
+def _fisher(*ps: Column) -> Column:
+    """Fisher's combination of two or three p-values."""
+    log = sum((F.log(F.greatest(p, F.lit(1e-30))) for p in ps[1:]), F.log(F.greatest(ps[0], F.lit(1e-30))))
+    return F.exp(log) * (1 - log + (log * log / 2 if len(ps) == 3 else F.lit(0.0)))
 
-    Chi-squared test of the characters' counts, runs test above and below the
-    alphabet's middle, and lag-1 serial correlation, all against a uniform alphabet.
+
+def _battery(value: Column, alphabet: str) -> Column:
+    """One p-value of three tests: the chance that an ordinary name of this length looks as random.
+
+    Chi-squared test of the characters' counts, runs test of their classes, and
+    lag-1 serial correlation. Against a uniform string, each gives the chance of
+    what is seen, and Fisher's rule joins them. Against an ordinary name the first
+    two do so: names use few characters and change class rarely. The quotient of
+    both is small only for strings that no name resembles and that all three
+    tests find uniform. It is never below the second, so it bounds false discoveries.
     """
     k = len(alphabet)
     n = F.char_length(value).cast("double")
@@ -62,22 +78,36 @@ def _battery(value: Column, alphabet: str) -> Column:
     squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + F.pow((F.char_length(value) - F.char_length(F.replace(value, c, F.lit("")))).cast("double"), F.lit(2.0)))
     chi = squares * k / n - n
     df = k - 1
-    chi_z = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
     middle, variance = (k - 1) / 2, (k * k - 1) / 12
-    values = F.transform(chars, lambda c: F.instr(F.lit(alphabet), c) - 1 - middle)
+    classes = _classes(alphabet)
+    rate = 1 - sum((classes.count(c) / k) ** 2 for c in set(classes))
+    places = F.transform(chars, lambda c: F.struct((F.instr(F.lit(alphabet), c) - 1 - middle).alias("v"), F.translate(c, alphabet, classes).alias("c")))
 
     def over(v: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(v) - 2), lambda i: F.struct(F.get(v, i).alias("a"), F.get(v, i + 1).alias("b")))
         zero = F.struct(F.lit(0.0).alias("changes"), F.lit(0.0).alias("products"))
-        return F.aggregate(pairs, zero, lambda acc, p: F.struct((acc["changes"] + F.when((p["a"] > 0) != (p["b"] > 0), 1.0).otherwise(0.0)).alias("changes"), (acc["products"] + p["a"] * p["b"]).alias("products")))
-
-    both = F.element_at(F.transform(F.array(values), over), 1)
-    runs_z = (both["changes"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    serial_z = both["products"] / (F.sqrt(n - 1) * variance)
-    excess = k * max(CONCENTRATION, 2 / k) - 1
-    text_z = (chi - (df + n * excess)) / F.sqrt(2 * df + 4 * n * excess)
-    fails = (chi_z > REJECT_Z) | (F.abs(runs_z) > REJECT_Z) | (F.abs(serial_z) > REJECT_Z)
-    return F.when(fails, F.lit(1.0)).otherwise(normal_below(text_z))
+        pair = lambda acc, i: F.struct(
+            (acc["changes"] + F.when(F.get(v, i)["c"] != F.get(v, i + 1)["c"], 1.0).otherwise(0.0)).alias("changes"), (acc["products"] + F.get(v, i)["v"] * F.get(v, i + 1)["v"]).alias("products")
+        )
+        return F.aggregate(F.sequence(F.lit(0), F.size(v) - 2), zero, pair)
+
+    def judged(x: Column) -> Column:
+        chi, chi_z, changes, products = (x[c] for c in ("chi", "chi_z", "changes", "products"))
+        runs_z = (changes - (n - 1) * rate) / F.sqrt((n - 1) * rate * (1 - rate))
+        serial_z = products / (F.sqrt(n - 1) * variance)
+        two_sided = lambda z: 2 * normal_below(-F.abs(z))
+        uniform = _fisher(normal_below(-chi_z), two_sided(runs_z), two_sided(serial_z))
+        excess = k * max(CONCENTRATION, 2 / k) - 1
+        name_z = (chi - (df + n * excess)) / F.sqrt(2 * df + 4 * n * excess)
+        low = rate * CLASS_CHANGES
+        name_runs_z = (changes - (n - 1) * low) / F.sqrt((n - 1) * low * (1 - low))
+        name = _fisher(normal_below(name_z), normal_below(-name_runs_z))
+        return F.least(F.lit(1.0), name / F.greatest(uniform, F.lit(1e-30)))
+
+    both = F.element_at(F.transform(F.array(places), over), 1)
+    # Each statistic is computed once and then named.
+    facts = F.array(F.struct(chi.alias("chi"), both.alias("both")))
+    named = F.transform(facts, lambda x: F.struct(x["chi"].alias("chi"), ((F.pow(F.greatest(x["chi"], F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))).alias("chi_z"), x["both"]["changes"].alias("changes"), x["both"]["products"].alias("products")))
+    return F.element_at(F.transform(named, judged), 1)
 
 
 def candidates(text: Column) -> Column:
