@@ -90,31 +90,68 @@ def test_exact_documents_keep_columns(edge, empty):
 # ------------------------------------------------------------------ lines
 
 
-def test_lines_equal_brute_force(docs, edge):
-    for df in (docs.select("doc_id", "text"), edge.where("doc_id is not null").dropDuplicates(["doc_id"])):
-        seen, want = {}, set()
-        for i, t in sorted((r["doc_id"], r["text"] or "") for r in df.collect()):
-            for pos, m in enumerate(re.finditer(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", t)):
-                words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in m[0]))
-                if len(words) >= 5:
-                    first = seen.setdefault(" ".join(words), (i, pos))
-                    if first != (i, pos):
-                        want.add((i, pos, m.start(), m.start() + len(m[0].rstrip("\n")), len(words), *first))
-        got = {tuple(r) for r in line_dedup.line_dedup(df).drop("uid").collect()}
-        assert got == want
+def brute_lines(rows):
+    """Units to remove of (doc_id, text), as (doc_id, line, start, stop, n_words, keep_doc_id, keep_start)."""
+    units = []
+    for i, t in sorted(rows):
+        at = 0
+        for line, body in enumerate(t.split("\n")):
+            parts = re.findall(r"[^.!?]*[.!?]+|[^.!?]+", body)
+            here = [(at, p, len(parts) == 1, False) for at, p in zip(itertools.accumulate([at, *map(len, parts)]), parts)]
+            here += [(at, body, True, True)] * (len(parts) > 1)
+            for start, u, whole, extra in here:
+                words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in u))
+                n = max(len(words), len(u) // 8)
+                if words and n >= (15 if extra else 3):
+                    units.append(dict(id=i, line=line, start=start, stop=start + len(u), n=n, key=" ".join(words), whole=whole, extra=extra))
+            at += len(body) + 1
+    first = {}
+    for u in sorted(units, key=lambda u: (u["id"], u["start"])):
+        u["first"] = first.setdefault(u["key"], (u["id"], u["start"]))
+        u["again"] = u["first"] != (u["id"], u["start"])
+    lines = {(u["id"], u["line"]) for u in units if u["again"] and u["whole"] and u["n"] >= 15}
+    out = {(u["id"], u["line"], u["start"], u["stop"], u["n"], *u["first"]) for u in units if u["again"] and u["whole"] and u["n"] >= 15}
+    for _, of in itertools.groupby((u for u in units if not u["extra"]), key=lambda u: u["id"]):
+        for again, run in itertools.groupby(of, key=lambda u: u["again"]):
+            run = list(run)
+            if again and sum(u["n"] for u in run) >= 25:
+                out |= {(u["id"], u["line"], u["start"], u["stop"], u["n"], *u["first"]) for u in run if (u["id"], u["line"]) not in lines}
+    return out
+
+
+def test_lines_equal_brute_force(spark, docs, edge):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    sentence = lambda: " ".join(rng.choices(words, k=rng.choice([1, 2, 9]))) + rng.choice([".", "!", "...", ""])
+    some = [sentence() for _ in range(12)]  # few, so that most of them and some lines repeat
+    made = [(i, rng.choice([" ", "  "]).join(rng.choice(some) for _ in range(rng.randint(0, 5))).replace(". ", rng.choice([". ", ".\n", ".\n\n"]))) for i in range(80)]
+    made += [(100 + i, "漢字かな交じり文。" * k + "\nend") for i, k in enumerate((14, 14, 30, 30))]
+    for df in (docs.select("doc_id", "text"), edge.where("doc_id is not null").dropDuplicates(["doc_id"]), spark.createDataFrame(made, "doc_id long, text string")):
+        got = [tuple(r) for r in line_dedup.line_dedup(df).drop("uid").collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_lines([(r["doc_id"], r["text"] or "") for r in df.collect()])
 
 
 def test_repeated_rows_and_null_ids_lose_their_lines(edge, empty):
-    got = line_dedup.line_dedup(edge).collect()
+    got = line_dedup.line_dedup(edge, line_words=5).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["keep_doc_id"]) for r in got if r["n_words"] == 6) == [(False, 1, 1), (False, 2, 1), (False, 10, 1), (True, 0, 1)]
     assert line_dedup.line_dedup(empty).count() == 0
 
 
-def test_removed_units_leave_the_rest(spark):
-    rows = spark.createDataFrame([(1, "a b c d e\nkept one"), (2, "first\na b c  D e\nlast"), (3, None)], "doc_id long, text string")
-    cut = line_dedup.without_units(rows, line_dedup.line_dedup(rows)).orderBy("doc_id").collect()
-    assert [r["text"] for r in cut] == ["a b c d e\nkept one", "first\n\nlast", None]
-    assert cut[1]["removed_spans"][0].asDict() == {"start": 6, "stop": 16} and cut[0]["removed_spans"] is None
+def test_short_lines_stay(spark):
+    rows = spark.createDataFrame([(i, f"All rights reserved. Call us.\n" + "A!! B!! " * 40 + f"\nOnly here {i} " + "x " * 40) for i in range(3)], "doc_id long, text string")
+    assert {r["line"] for r in line_dedup.line_dedup(rows).collect()} == {1}  # the long line goes whole; its short sentences make no run
+    assert line_dedup.line_dedup(rows, line_words=1000).count() == 0
+
+
+def test_removed_units_leave_the_rest(spark, edge, empty):
+    rows = spark.createDataFrame([(1, "a b c d e\nkept one", 1), (2, "first\na b c  D e\nlast", 2), (3, None, 3), (1, "a b c d e\nkept one", 4)], "doc_id long, text string, line_uid long")
+    cut = line_dedup.without_repeats(rows, line_words=5)
+    assert cut.columns == ["doc_id", "text", "line_uid", "removed_spans"]
+    got = {r["line_uid"]: r for r in cut.collect()}
+    assert [got[i]["text"] for i in (1, 2, 3)] == ["a b c d e\nkept one", "first\n\nlast", None]
+    assert got[2]["removed_spans"][0].asDict() == {"start": 6, "stop": 16} and got[1]["removed_spans"] is None
+    assert got[4]["text"] == "\nkept one" and got[4]["doc_id"] == 1  # a repeated row loses its unit, the first does not
+    assert line_dedup.without_repeats(empty).count() == 0 and line_dedup.without_repeats(edge).count() == edge.count()
 
 
 def test_passages_inside_lines_are_found(spark):
