@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitspark.llm.common import WORD, ship, text_of, written
@@ -16,6 +16,8 @@ from fitspark.llm.common import WORD, ship, text_of, written
 BLOCKS = 2048
 #: Blocks of all sources at most; with many sources, each has fewer. It bounds the sources, too.
 ALL_BLOCKS = 400_000
+#: Documents of a part of a block, where blocks are larger than that. Of a block taken in part, all parts but one are taken whole or not.
+PART_DOCS = 4096
 #: Documents of a block that a source needs before it gets another block.
 BLOCK_DOCS = 8
 #: Single documents that are added to a block taken in part.
@@ -76,7 +78,7 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
 
 @dataclass
 class Plan:
-    """sources: (source, source_size, target); blocks: (source, block, copies, shards); partial: (source, block, words), later (source, block, cut, more)."""
+    """sources: (source, source_size, target); blocks: (source, block, copies, shards); partial: (source, block, words), later (source, block, part, cut, more)."""
 
     sources: pd.DataFrame
     blocks: pd.DataFrame
@@ -130,9 +132,9 @@ def plan_mix(blocks: pd.DataFrame, counts: pd.DataFrame, *, share: float, weight
 
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What a block that is taken in part gives: its documents up to a number in permuted order, and a few more that fit.
+    """What the last part of a block gives: its documents up to a number in permuted order, and a few more that fit.
 
-    A number and at most MORE keys stand for the choice, whatever the block's size.
+    A number and at most MORE keys stand for the choice, whatever the part's size.
     """
     pdf = pdf.sort_values(["deal", "row_key"])
     size, key, left = pdf["size"].to_numpy(), pdf["row_key"].to_numpy(), float(pdf["words"].iat[0])
@@ -146,7 +148,7 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
     others = [i for i in range(n, len(size)) if size[i] > 0 and int(key[i]) not in more]
     if others and size[near := min(others, key=lambda i: size[i])] < 2 * left:  # over by less than it is short of now
         more.append(int(key[near]))
-    return pd.DataFrame({"source": [pdf["source"].iat[0]], "block": [int(pdf["block"].iat[0])], "cut": [int(pdf["deal"].iat[n - 1]) if n else -(2**63)], "more": [more]})
+    return pd.DataFrame({"source": [pdf["source"].iat[0]], "block": [int(pdf["block"].iat[0])], "part": [int(pdf["part"].iat[0])], "cut": [int(pdf["deal"].iat[n - 1]) if n else -(2**63)], "more": [more]})
 
 
 def _keyed(docs: DataFrame, text, names: list[str] | None = None) -> DataFrame:
@@ -155,9 +157,13 @@ def _keyed(docs: DataFrame, text, names: list[str] | None = None) -> DataFrame:
     return docs.select(*(names or []), F.col("source").cast("string").alias("mix_source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("mix_size"), key.alias("mix_key"), F.xxhash64(key, F.lit(7)).alias("mix_deal"))
 
 
+def _blocks_of(spark: SparkSession, counts: pd.DataFrame) -> DataFrame:
+    return spark.createDataFrame(list(zip(counts["source"], counts["n_blocks"], counts["n_parts"])), "source string, n_blocks long, n_parts long")
+
+
 def _block(blocks_of: DataFrame, rows: DataFrame) -> DataFrame:
-    """Add mix_block: the deal scaled to the number of the source's blocks."""
-    b = blocks_of.select(F.col("source").alias("bs"), "n_blocks")
+    """Add mix_block, the deal scaled to the number of the source's blocks, and n_parts of each."""
+    b = blocks_of.select(F.col("source").alias("bs"), "n_blocks", "n_parts")
     return rows.join(F.broadcast(b), F.col("mix_source").eqNullSafe(F.col("bs")), "left").drop("bs").withColumn("mix_block", F.pmod("mix_deal", "n_blocks"))
 
 
@@ -173,34 +179,56 @@ def mix(docs: DataFrame, *, share: float = SHARE, weights: tuple[float, ...] = W
     as any. No rows: no rows. Reruns agree, as everything is dealt by hashes.
 
     The driver holds one row for each source and at most `max_blocks` for its
-    blocks, ALL_BLOCKS in all; more sources than that are an error. A hot source is dealt to
-    blocks like any other; no task holds more than one block of it.
+    blocks, ALL_BLOCKS in all, and one for each PART_DOCS documents of a block taken in part; more sources than that are
+    an error. A hot source is dealt to blocks like any other; no task holds more than one part of a block.
     """
     spark = docs.sparkSession
     ship(spark)
-    light = written(_keyed(docs, text_of(), ["doc_id"]), "sizes")
+    light = written(_keyed(docs, text_of(), ["doc_id"]), "sizes", light=True)
     counts = light.groupBy(F.col("mix_source").alias("source")).agg(F.count(F.lit(1)).alias("n")).limit(ALL_BLOCKS + 1).toPandas()
     if len(counts) > ALL_BLOCKS:
         raise ValueError(f"more than {ALL_BLOCKS} sources: group them before mixing")
     max_blocks = max(1, min(max_blocks, ALL_BLOCKS // max(1, len(counts))))
     counts["source"] = counts["source"].astype(object).where(counts["source"].notna(), None)
     counts["n_blocks"] = [int(min(max_blocks, max(1, n // BLOCK_DOCS))) for n in counts["n"]]
-    blocks_of = spark.createDataFrame(list(zip(counts["source"], counts["n_blocks"])), "source string, n_blocks long")
+    counts["n_parts"] = [int(max(1, n // b // PART_DOCS)) for n, b in zip(counts["n"], counts["n_blocks"])]
+    blocks_of = _blocks_of(spark, counts)
     placed = _block(blocks_of, light)
     sums = placed.groupBy(F.col("mix_source").alias("source"), F.col("mix_block").alias("block")).agg(F.sum("mix_size").alias("size")).toPandas()
     sums["source"] = sums["source"].astype(object).where(sums["source"].notna(), None)
     plan = plan_mix(sums, counts, share=share, weights=weights, shards=shards, seed=seed)
     partial = spark.createDataFrame(_rows_of(plan.partial), "ps string, pb long, words double")
+    asked = placed.join(F.broadcast(partial), F.col("mix_source").eqNullSafe(F.col("ps")) & (F.col("mix_block") == F.col("pb"))).withColumn("part", _part())
     # Equal rows are one item of the partial block.
+    names = [F.col("mix_source").alias("source"), F.col("mix_block").alias("block"), "part"]
+    parts = asked.groupBy(*names, "words").agg(F.sum("mix_size").alias("size"))
+    # The parts before the one that the target falls into are taken whole: as many rows as a source has parts go to the driver.
+    last = _last_parts(parts.toPandas())
+    wanted = spark.createDataFrame(_rows_of(last), "ls string, lb long, lp long, rest double")
     fill = (
-        placed.join(F.broadcast(partial), F.col("mix_source").eqNullSafe(F.col("ps")) & (F.col("mix_block") == F.col("pb")))
-        .groupBy(F.col("mix_source").alias("source"), F.col("mix_block").alias("block"), F.col("mix_key").alias("row_key"), F.col("mix_deal").alias("deal"), "words")
+        asked.drop("words").join(F.broadcast(wanted), F.col("mix_source").eqNullSafe(F.col("ls")) & (F.col("mix_block") == F.col("lb")) & (F.col("part") == F.col("lp")))
+        .groupBy(*names, F.col("mix_key").alias("row_key"), F.col("mix_deal").alias("deal"), F.col("rest").alias("words"))
         .agg(F.sum("mix_size").alias("size"))
     )
-    plan.partial = fill.groupBy("source", "block").applyInPandas(_fill, "source string, block long, cut long, more array<long>").toPandas()
+    plan.partial = fill.groupBy("source", "block", "part").applyInPandas(_fill, "source string, block long, part long, cut long, more array<long>").toPandas()
     return _decided(spark, placed, plan, shards), plan
 
 
+def _part() -> Column:
+    """The part of its block that a row is in."""
+    return F.pmod(F.xxhash64("mix_key", F.lit(11)), F.col("n_parts"))
+
+
+def _last_parts(parts: pd.DataFrame) -> pd.DataFrame:
+    """Of each block's parts (source, block, part, words, size), the one that the words still missing fall into, and how many are missing then."""
+    out = []
+    for _, g in parts.sort_values("part").groupby(["source", "block"], dropna=False, sort=False):
+        before = g["size"].cumsum() - g["size"]
+        i = int((before <= g["words"]).to_numpy().nonzero()[0][-1])
+        out.append((g["source"].iat[i], int(g["block"].iat[i]), int(g["part"].iat[i]), float(g["words"].iat[i] - before.iat[i])))
+    return pd.DataFrame(out, columns=["source", "block", "part", "rest"])
+
+
 def _rows_of(pdf: pd.DataFrame) -> list[tuple]:
     """Rows for createDataFrame(): a missing source as None, arrays as lists."""
     return [tuple(None if isinstance(v, float) and v != v else list(map(int, v)) if isinstance(v, (list, np.ndarray)) else v for v in r) for r in pdf.astype(object).itertuples(index=False, name=None)]
@@ -209,13 +237,14 @@ def _rows_of(pdf: pd.DataFrame) -> list[tuple]:
 def _decided(spark: SparkSession, placed: DataFrame, plan: Plan, shards: int) -> DataFrame:
     """Add mix_shards, the shard of each copy, and mix_copies. What is broadcast is bounded by the number of sources and blocks."""
     whole = spark.createDataFrame(_rows_of(plan.blocks[["source", "block", "shards"]]), "ws string, wb long, mix_shards array<int>")
-    part = spark.createDataFrame(_rows_of(plan.partial), "ps string, pb long, cut long, more array<long>")
+    part = spark.createDataFrame(_rows_of(plan.partial), "ps string, pb long, pp long, cut long, more array<long>")
     rows = placed.join(F.broadcast(whole), F.col("mix_source").eqNullSafe(F.col("ws")) & (F.col("mix_block") == F.col("wb")), "left")
     rows = rows.join(F.broadcast(part), F.col("mix_source").eqNullSafe(F.col("ps")) & (F.col("mix_block") == F.col("pb")), "left")
-    extra = (F.col("mix_deal") <= F.col("cut")) | F.array_contains("more", F.col("mix_key"))
+    here = _part() == F.col("pp")
+    extra = (_part() < F.col("pp")) | (here & ((F.col("mix_deal") <= F.col("cut")) | F.array_contains("more", F.col("mix_key"))))
     one_more = F.concat("mix_shards", F.array(F.pmod("mix_key", F.lit(shards)).cast("int")))
     rows = rows.withColumn("mix_shards", F.when(extra, one_more).otherwise(F.col("mix_shards")))
-    return rows.drop("ws", "wb", "ps", "pb", "cut", "more", "n_blocks").withColumn("mix_copies", F.size("mix_shards"))
+    return rows.drop("ws", "wb", "ps", "pb", "pp", "cut", "more", "n_blocks", "n_parts").withColumn("mix_copies", F.size("mix_shards"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -229,8 +258,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(c) for c in names]).alias("mix_row"), "doc_id", "text", "source")
     keyed = _keyed(packed, text_of(), ["mix_row"])
-    blocks_of = spark.createDataFrame(list(zip(plan.counts["source"], plan.counts["n_blocks"])), "source string, n_blocks long")
-    rows = _decided(spark, _block(blocks_of, keyed), plan, shards)
+    rows = _decided(spark, _block(_blocks_of(spark, plan.counts), keyed), plan, shards)
     drawn = rows.select("mix_row", "mix_deal", F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = drawn.repartition(max(n, shards), "mix_shard", F.pmod("mix_deal", F.lit(max(1, n // shards))))

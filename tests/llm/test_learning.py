@@ -114,6 +114,18 @@ def test_mix_of_documents(docs):
     assert sorted(map(repr, mixing.mix(docs.repartition(7))[0].select("doc_id", "mix_copies", "mix_shards").collect())) == sorted(map(repr, light.select("doc_id", "mix_copies", "mix_shards").collect()))
 
 
+def test_large_blocks_are_taken_in_parts(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_DOCS", 2)
+    light, plan = mixing.mix(docs, max_blocks=1)
+    assert plan.counts["n_parts"].max() > 2 and len(plan.partial)
+    taken = {}
+    for r in light.collect():
+        assert r["mix_copies"] <= 2
+        taken[r["mix_source"]] = taken.get(r["mix_source"], 0) + r["mix_size"] * r["mix_copies"]
+    largest = max(r["mix_size"] for r in light.collect())
+    assert all(abs(taken[s] - t) <= largest for s, t in zip(plan.sources["source"], plan.sources["target"]))
+
+
 def test_number_of_blocks_is_bounded(docs, monkeypatch):
     monkeypatch.setattr(mixing, "ALL_BLOCKS", 40)
     _, plan = mixing.mix(docs)
