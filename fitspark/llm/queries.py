@@ -53,7 +53,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = spark.createDataFrame([(s, int(n), float(t)) for s, n, t in plan.sources.itertuples(index=False, name=None)], "s string, source_size long, target double")
     # One row for each source.
     rows = light.join(F.broadcast(sources), F.col("mix_source").eqNullSafe(F.col("s")), "left")
-    return rows.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_copies")).cast("long").alias("taken"))
+    shards = F.array_join(F.transform("mix_shards", lambda x: x.cast("string")), ",").alias("shards")
+    return rows.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_copies")).cast("long").alias("taken"), shards)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,18 +89,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
-        WITH u AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS u FROM documents),
-        units AS (SELECT doc_id, unnest(u) AS unit, generate_subscripts(u, 1) - 1 AS pos FROM u),
+        WITH lines AS (
+          SELECT doc_id, unnest(l) AS body, generate_subscripts(l, 1) - 1 AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
         placed AS (
-          SELECT doc_id, pos, unit, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY pos) - length(unit) AS start,
-                 list_filter(string_split_regex(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
-          FROM units),
+          SELECT *, sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY line) - length(body) - 1 AS origin, regexp_extract_all(body, '[^.!?]*[.!?]+|[^.!?]+') AS p FROM lines),
+        parts AS (SELECT doc_id, line, origin, len(p) = 1 AS whole, unnest(p) AS unit, generate_subscripts(p, 1) AS k FROM placed),
+        each AS (
+          SELECT doc_id, line, whole, unit, k, origin + sum(length(unit)) OVER (PARTITION BY doc_id, line ORDER BY k) - length(unit) AS start FROM parts
+          UNION ALL SELECT doc_id, line, true, body, NULL, origin FROM placed WHERE len(p) > 1),
+        units AS (
+          SELECT *, greatest(len(words), length(unit) // 8) AS n_words FROM (SELECT *, list_filter(string_split_regex(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM each)
+          WHERE len(words) > 0 AND greatest(len(words), length(unit) // 8) >= CASE WHEN k IS NULL THEN 15 ELSE 3 END),
         ranked AS (
-          SELECT *, row_number() OVER w AS r, first_value(doc_id) OVER w AS keep_doc_id, first_value(pos) OVER w AS keep_unit
-          FROM placed WHERE len(words) >= 5 WINDOW w AS (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, pos))
-        SELECT doc_id, CAST(pos AS BIGINT) AS unit, CAST(start AS BIGINT) AS start, CAST(start + length(rtrim(unit, chr(10))) AS BIGINT) AS stop,
-               CAST(len(words) AS BIGINT) AS n_words, keep_doc_id, CAST(keep_unit AS BIGINT) AS keep_unit
-        FROM ranked WHERE r > 1""",
+          SELECT *, row_number() OVER (PARTITION BY doc_id, k IS NULL ORDER BY start) AS seq,
+                 row_number() OVER w AS r, first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start
+          FROM units WINDOW w AS (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, start)),
+        runs AS (SELECT *, seq - row_number() OVER (PARTITION BY doc_id, k IS NULL ORDER BY seq) AS run FROM ranked WHERE r > 1),
+        judged AS (
+          SELECT *, whole AND n_words >= 15 AS line_goes, sum(n_words) OVER (PARTITION BY doc_id, k IS NULL, run) AS in_run,
+                 max(whole AND n_words >= 15) OVER (PARTITION BY doc_id, line) AS line_gone FROM runs)
+        SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(start AS BIGINT) AS start, CAST(start + length(unit) AS BIGINT) AS stop, CAST(n_words AS BIGINT) AS n_words,
+               keep_doc_id, CAST(keep_start AS BIGINT) AS keep_start
+        FROM judged WHERE line_goes OR (NOT line_gone AND k IS NOT NULL AND in_run >= 25)""",
     "op8_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
