@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitspark.cluster import ship
+from fitspark.cluster import shared_dir, ship
 
 #: ASCII white space: space and U+0009 to U+000D.
 WS_CLASS = r"[\x20\x09-\x0D]"
@@ -33,14 +31,6 @@ def strip_ws(c: Column) -> Column:
     return F.translate(c, WS_CHARS, "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where one machine is all."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not spark.sparkContext.master.split("[")[0] == "local":
-        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-    return (path or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
-
-
 def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/fitspark/{label}-{uuid.uuid4().hex}"
 
@@ -49,14 +39,18 @@ def shared_path(spark: SparkSession, label: str) -> str:
 FILE_ROWS = 50_000
 
 
-def written(df: DataFrame, label: str, *, rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, *, rows: int | None = None, light: bool = False) -> DataFrame:
     """The rows as a Parquet table in the shared folder.
 
-    It cuts lineage and survives the loss of any executor. The caller's clean-up
-    of the shared folder removes it. `rows` is a bound of their number after a
+    It cuts lineage and survives the loss of any executor. discard() removes it. `rows` is a bound of their number after a
     shuffle: small tables then become few files, however many partitions there are.
+    `light` says that a scan of texts leaves some bytes of each: they are dealt anew
+    to partitions of the advisory size, so that a table of them is no file for each
+    partition of the scan.
     """
     spark = df.sparkSession
+    if light:
+        df = df.hint("rebalance")
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = shared_path(spark, label)
@@ -64,6 +58,12 @@ def written(df: DataFrame, label: str, *, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Remove all tables that written() has made in the shared folder; results that still read them must be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/fitspark")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of an Arrow batch of texts, for an operator that runs Python.
 

@@ -117,7 +117,7 @@ def suspect_fingerprints(light: DataFrame, *, fingerprint_bits: int = FINGERPRIN
     ship(light.sparkSession)
     owners = max(1, -(-light.count() // per_owner))
     width = -(-(1 << fingerprint_bits) // owners)
-    blocks = written(light.select("fp", "uid").mapInArrow(_send(owners, width), "owner long, block long, n long, k int, code binary, again binary"), "blocks")
+    blocks = written(light.select("fp", "uid").mapInArrow(_send(owners, width), "owner long, block long, n long, k int, code binary, again binary"), "blocks", light=True)
     replies = blocks.select("owner", "block", "n", "k", "code").groupBy("owner").applyInPandas(_owner(width), "owner long, block long, bitmap binary")
     return blocks.join(replies, ["owner", "block"]).mapInArrow(_suspects(width), "fp long")
 
@@ -152,6 +152,7 @@ def exact_dedup(docs: DataFrame, *, fingerprint_bits: int = FINGERPRINT_BITS) ->
     light = written(
         docs.select("doc_id", F.char_length(text).alias("n"), norm.alias("norm")).select("doc_id", "n", F.unhex(F.sha2("norm", 256)).alias("sha"), fp.alias("fp"), F.monotonically_increasing_id().alias("uid")),
         "light",
+        light=True,
     )
     suspects = suspect_map(light, fingerprint_bits)
     texts = maybe_in(docs.select(norm.alias("norm")).select("norm", fp.alias("fp")), "fp", suspects, "suspect").where("suspect")
@@ -178,7 +179,7 @@ def exact_documents(docs: DataFrame, *, fingerprint_bits: int = FINGERPRINT_BITS
     fp = F.expr(f"xxhash64(dedup_norm) & {(1 << fingerprint_bits) - 1}L")
     order = F.struct((-F.char_length(text)).alias("n"), F.col("doc_id").isNull().alias("null"), "doc_id")
     rows = docs.select(F.struct(*docs.columns).alias("dedup_row"), strip_ws(text).alias("dedup_norm"), order.alias("dedup_order")).withColumn("dedup_fp", fp)
-    light = written(rows.select(F.col("dedup_fp").alias("fp"), F.monotonically_increasing_id().alias("uid")), "light")
+    light = written(rows.select(F.col("dedup_fp").alias("fp"), F.monotonically_increasing_id().alias("uid")), "light", light=True)
     suspects = suspect_map(light, fingerprint_bits)
     marked = maybe_in(rows, "dedup_fp", suspects, "dedup_suspect")
     kept = marked.where("dedup_suspect").groupBy("dedup_norm").agg(F.min_by("dedup_row", "dedup_order").alias("dedup_row"))

@@ -192,7 +192,7 @@ def pii_spans(docs: DataFrame, *, gazetteer: dict[str, tuple[str, ...]] = GAZETT
     classes, bounded by 3**6 * 80 for each kind whatever the input, go to the driver.
     Gazetteers go into the expressions, so they should hold thousands of terms at most.
     """
-    found = written(docs.select("doc_id", base_spans(text_of()).alias("base"), candidates(text_of(), gazetteer).alias("asked")), "personal")
+    found = written(docs.select("doc_id", base_spans(text_of()).alias("base"), candidates(text_of(), gazetteer).alias("asked")), "personal", light=True)
     patterns = found.select(F.explode("asked").alias("c")).groupBy("c.kind", "c.votes", "c.own").agg(F.count(F.lit(1)).alias("n")).orderBy("kind", "votes", "own").collect()
     votes = np.array([r["votes"] for r in patterns], np.int64).reshape(-1, len(LABELERS))
     own = np.array([r["own"] for r in patterns], np.int64).reshape(-1, len(OWN))

@@ -104,7 +104,7 @@ def quality_scores(docs: DataFrame, *, threshold: float = THRESHOLD) -> tuple[Da
     """
     rules = votes()
     counted = docs.select("doc_id", text_of().alias("text")).select("doc_id", *(c.alias(k) for k, c in statistics(F.col("text")).items()))
-    voted = written(counted.select("*", *(c.alias(f"vote_{k}") for k, c in rules.items())), "votes")
+    voted = written(counted.select("*", *(c.alias(f"vote_{k}") for k, c in rules.items())), "votes", light=True)
     names = [f"vote_{k}" for k in rules]
     patterns = voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names).collect()
     found = np.array([[r[k] for k in names] for r in patterns], np.int64).reshape(-1, len(names))

@@ -153,7 +153,7 @@ def secret_spans(docs: DataFrame, *, false_share: float = FALSE_SHARE) -> DataFr
     Texts are read once; the spans are written without the texts. The counts of
     p-values by stratum, bounded whatever the input, go to the driver.
     """
-    found = written(docs.select("doc_id", base_spans(text_of()).alias("base"), candidates(text_of()).alias("tested")), "secrets")
+    found = written(docs.select("doc_id", base_spans(text_of()).alias("base"), candidates(text_of()).alias("tested")), "secrets", light=True)
     tested = found.select(F.explode("tested").alias("t")).groupBy("t.encoding", "t.length_bin", _bin(F.col("t.p")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     bins: dict[tuple[int, int], dict[int, int]] = defaultdict(dict)
     for r in tested.collect():

@@ -415,7 +415,7 @@ def simhash_groups(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RAD
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     if similarity is None:
-        light = written(rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
+        light = written(rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints", light=True)
     else:
         made = rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_prefixes(shingle, similarity, *common_shingles(docs, shingle)), PREFIXES)
         light = written(made, "fingerprints")

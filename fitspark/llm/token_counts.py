@@ -82,7 +82,7 @@ def token_counts(docs: DataFrame, path: str, cache: str, *, limit: int = 4096) -
     version = tokenizer_version(path)
     text = text_of()
     keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    light = written(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    light = written(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests", light=True)
     n = light.count()
     asked = written(light.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).join(read_cache(spark, cache, version), "digest", "left"), "asked", rows=n)
     hits, misses = asked.where("n_tokens is not null").select("digest", "n_tokens"), asked.where("n_tokens is null").select("digest", "times")
