@@ -95,7 +95,7 @@ def token_counts(docs: DataFrame, path: str, cache: str, *, limit: int = 4096) -
         once, rest = scan.where("not maybe and not many"), scan.where("maybe or many")
     else:  # a few hits pass, and go with their counts
         once, rest = scan.where("maybe and not many"), scan.where("maybe and many")
-    texts = once.select("digest", "text").union(rest.join(misses, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")))
+    texts = once.select("digest", "text").union(rest.groupBy("digest").agg(F.first("text").alias("text")).join(misses, "digest", "left_semi").select("digest", "text"))
     counted = texts.mapInArrow(_counted(path), "digest binary, n_tokens long")
     fresh = written(counted.join(misses, "digest", "left_semi"), "fresh")
     if n_misses:
