@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fitspark.llm import exact_dedup, line_dedup, simhash
+from fitspark.llm import components, exact_dedup, line_dedup, simhash
 from fitspark.llm.components import connected_components
 
 WS = r"[\x20\x09-\x0D]"
@@ -204,7 +204,9 @@ def test_links_connect_as_all_pairs_do(spark, most):
     assert roots(len(values), [(at[r["a"]], at[r["b"]]) for r in edges]) == want
 
 
-def test_components_of_a_chain_and_of_nothing(spark):
+@pytest.mark.parametrize("last", [50_000, 30, 0])
+def test_components_of_a_chain_and_of_nothing(spark, monkeypatch, last):
+    monkeypatch.setattr(components, "LAST_EDGES", last)
     chain = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(7, 7), (200, 201), (None, 3)], "a long, b long")
     got = {r["node"]: r["label"] for r in connected_components(chain).collect()}
     assert len(got) == 103 and len({got[i] for i in range(101)}) == 1 and got[200] == got[201] != got[0]
