@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from paths import SMALL
 
-from fitspark.plans import candidates, catalog, workflows  # noqa: F401
+from fitspark.plans import candidates, catalog, parts, workflows  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
