@@ -15,9 +15,9 @@ from fitspark.schemas import CANDIDATE
 def with_similarity(rows: DataFrame, role: Role, backend: EmbeddingBackend) -> DataFrame:
     """Add `dense`, the pooled similarity of a candidate's jobs to each signal, weighted by recency and length.
 
-    The signals' vectors are literals. Candidates' texts are embedded in one pass
-    that carries their ids, texts and weights only; the rest is joined by no shuffle,
-    as it stays in the same rows.
+    The signals' vectors are literals. The arrays of candidates' texts go to Python
+    and their vectors come back; all other columns stay in the JVM, in the same rows,
+    so nothing is shuffled.
     """
     asked = backend.embed([s.query for s in role.signals])
     carried = rows.withColumn("_texts", F.transform("chunks", lambda c: c["text"]))
