@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitspark.llm.common import small_batches, text_of
+from fitspark.llm.common import lean, small_batches, text_of
 
 #: A block of texts is encoded when it has this many new distinct pieces or this many pieces in all.
 BLOCK_NEW = 100_000
@@ -247,4 +247,4 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, *, with_ids: bool =
     """
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_encoded(path, pattern, with_ids), schema)
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(lean(_encoded(path, pattern, with_ids)), schema)

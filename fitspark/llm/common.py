@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\x0c\r"
 
 #: Rows and bytes of an Arrow batch at most: texts may be very long.
-BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 #: A map of rows has 16 bits for each key, but 2**MAX_BITS bits (32 MB) at most.
 MAX_BITS, LEAST_BITS = 28, 15
 
@@ -76,6 +80,32 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
+#: mallopt() settings of glibc: blocks from this size on are mapped, so that freeing them gives them back at once.
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD, MAPPED_BYTES = -1, -3, 1 << 17
+
+
+def lean(mapped: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow() in a worker that gives memory back to the system.
+
+    A Python worker serves many stages, and its allocators keep what the largest
+    of them took; beside a JVM with its heap that adds up. Elsewhere than on glibc
+    only Arrow's pool is changed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        libc = ctypes.CDLL(None)
+        for option in (M_TRIM_THRESHOLD, M_MMAP_THRESHOLD):
+            if hasattr(libc, "mallopt"):
+                libc.mallopt(option, MAPPED_BYTES)
+        yield from mapped(batches)
+        gc.collect()
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 @dataclass
 class KeyMap:
     """A one-hash membership map of 64-bit keys, which lets a scan tell most rows that have none of them."""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitspark.llm.common import ship, written
+from fitspark.llm.common import lean, ship, written
 
 #: What is left of a graph is finished by one task from so many edges on (less than a megabyte); larger graphs are contracted first.
 LAST_EDGES = 50_000
@@ -57,7 +57,7 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         if n <= LAST_EDGES:
             ship(e.sparkSession)
-            step = written(e.coalesce(1).mapInArrow(_finished, "node long, to long"), "choice")
+            step = written(e.coalesce(1).mapInArrow(lean(_finished), "node long, to long"), "choice")
             return _moved(out, step, most) if out is not None else step.select("node", F.col("to").alias("label"))
         both = e.union(e.select("b", "a"))
         rank = lambda c: F.xxhash64(F.col(c), F.lit(rounds))

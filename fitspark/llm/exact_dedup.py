@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitspark.llm.common import KeyMap, key_map, maybe_in, ship, strip_ws, text_of, written
+from fitspark.llm.common import KeyMap, key_map, lean, maybe_in, ship, strip_ws, text_of, written
 
 #: Bits of an exchanged fingerprint; more make fewer false suspects.
 FINGERPRINT_BITS = 48
@@ -117,9 +117,9 @@ def suspect_fingerprints(light: DataFrame, *, fingerprint_bits: int = FINGERPRIN
     ship(light.sparkSession)
     owners = max(1, -(-light.count() // per_owner))
     width = -(-(1 << fingerprint_bits) // owners)
-    blocks = written(light.select("fp", "uid").mapInArrow(_send(owners, width), "owner long, block long, n long, k int, code binary, again binary"), "blocks", light=True)
+    blocks = written(light.select("fp", "uid").mapInArrow(lean(_send(owners, width)), "owner long, block long, n long, k int, code binary, again binary"), "blocks", light=True)
     replies = blocks.select("owner", "block", "n", "k", "code").groupBy("owner").applyInPandas(_owner(width), "owner long, block long, bitmap binary")
-    return blocks.join(replies, ["owner", "block"]).mapInArrow(_suspects(width), "fp long")
+    return blocks.join(replies, ["owner", "block"]).mapInArrow(lean(_suspects(width)), "fp long")
 
 
 def suspect_map(light: DataFrame, fingerprint_bits: int) -> KeyMap:

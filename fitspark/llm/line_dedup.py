@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fitspark.llm.common import small_batches, text_of, written
+from fitspark.llm.common import lean, small_batches, text_of, written
 
 #: A repeated line of so many words goes; shorter ones recur by chance, and in clean documents.
 LINE_WORDS = 15
@@ -70,7 +70,7 @@ def line_units(docs: DataFrame, *, line_words: int = LINE_WORDS, part_words: int
     between words. uid tells rows with the same doc_id apart. Null text: none.
     """
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), (F.monotonically_increasing_id() if uid is None else uid).alias("uid"), text_of().alias("text")).mapInArrow(_units(line_words, part_words), UNITS)
+    return docs.select(F.col("doc_id").cast("long"), (F.monotonically_increasing_id() if uid is None else uid).alias("uid"), text_of().alias("text")).mapInArrow(lean(_units(line_words, part_words)), UNITS)
 
 
 def line_dedup(docs: DataFrame, *, line_words: int = LINE_WORDS, run_words: int = RUN_WORDS, part_words: int = PART_WORDS, uid: Column | None = None) -> DataFrame:

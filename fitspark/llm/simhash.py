@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitspark.llm.common import key_map, maybe_in, small_batches, text_of, written
+from fitspark.llm.common import key_map, lean, maybe_in, small_batches, text_of, written
 from fitspark.llm.components import connected_components
 from fitspark.llm.exact_dedup import suspect_fingerprints
 
@@ -184,7 +184,7 @@ def close_links(distinct: DataFrame, *, radius: int = RADIUS, max_shard: int = M
         every = every.union(s)
     spark = distinct.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return every.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_linked(radius), "a long, b long")
+    return every.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(lean(_linked(radius)), "a long, b long")
 
 
 #: Shingles are ranked by how often they occur in about so many documents; of them, so many at most are told apart.
@@ -210,7 +210,7 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     """
     share = min(1.0, RANKED_DOCS / max(1, docs.count()))
     some = (docs.sample(share, seed=5) if share < 1 else docs).select(text_of().alias("text"))
-    counted = some.mapInArrow(_distinct_shingles(shingle), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = some.mapInArrow(lean(_distinct_shingles(shingle)), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     got = counted.orderBy(F.desc("n"), "gram").limit(RANKED).toArrow()
     grams, n = got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
     order = np.argsort(grams)
@@ -299,7 +299,7 @@ def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame, *, shingle: int
     texts = written(one.join(wanted, F.col("sim_key") == F.col("text_key")).select("sid", "text"), "texts")
     side = lambda k: texts.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    good = written(both.mapInArrow(_alike(shingle, similarity), "a long, b long"), "similar")
+    good = written(both.mapInArrow(lean(_alike(shingle, similarity)), "a long, b long"), "similar")
     fp = lambda k: wanted.select(F.col("sid").alias(k), F.col("fp").alias(f"fp_{k}"))
     return good.join(fp("a"), "a").join(fp("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
 
@@ -415,9 +415,9 @@ def simhash_groups(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RAD
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     if similarity is None:
-        light = written(rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints", light=True)
+        light = written(rows.mapInArrow(lean(_fingerprints(shingle)), "doc_id long, fp long"), "fingerprints", light=True)
     else:
-        made = rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_prefixes(shingle, similarity, *common_shingles(docs, shingle)), PREFIXES)
+        made = rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(_prefixes(shingle, similarity, *common_shingles(docs, shingle))), PREFIXES)
         light = written(made, "fingerprints")
     distinct = written(light.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", rows=light.count())
     n = distinct.count()

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitspark.llm.common import key_map, maybe_in, small_batches, text_of, written
+from fitspark.llm.common import key_map, lean, maybe_in, small_batches, text_of, written
 
 CACHE = "digest binary, n_tokens long, version string"
 
@@ -96,7 +96,7 @@ def token_counts(docs: DataFrame, path: str, cache: str, *, limit: int = 4096) -
     else:  # a few hits pass, and go with their counts
         once, rest = scan.where("maybe and not many"), scan.where("maybe and many")
     texts = once.select("digest", "text").union(rest.groupBy("digest").agg(F.first("text").alias("text")).join(misses, "digest", "left_semi").select("digest", "text"))
-    counted = texts.mapInArrow(_counted(path), "digest binary, n_tokens long")
+    counted = texts.mapInArrow(lean(_counted(path)), "digest binary, n_tokens long")
     fresh = written(counted.join(misses, "digest", "left_semi"), "fresh")
     if n_misses:
         fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").partitionBy("version").parquet(cache)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitspark.llm.common import small_batches, text_of, written
+from fitspark.llm.common import lean, small_batches, text_of, written
 
 #: Fits 16 bits, in which the sample's words travel.
 BUCKETS = 1 << 15
@@ -325,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, seed: int =
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     wanted = F.broadcast(ranked[0].union(ranked[1]).select("doc_id", "toxic"))  # 2 * rows rows at most
     texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), text_of().alias("text")).join(wanted, "doc_id").select("doc_id", "lang", "toxic", "text")
-    got = written(texts.mapInArrow(_bucketed, "doc_id long, lang string, toxic int, words binary"), "fit", light=True).orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").limit(2 * rows).toArrow().to_pydict()
+    got = written(texts.mapInArrow(lean(_bucketed), "doc_id long, lang string, toxic int, words binary"), "fit", light=True).orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").limit(2 * rows).toArrow().to_pydict()
     words = [np.frombuffer(w, np.uint16).astype(np.int32).reshape(-1, PARTS) for w in got["words"]]
     toxic = np.array(got["toxic"], np.float64)
     if not 0 < toxic.sum() < len(toxic):
@@ -359,7 +359,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     sent_cols = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), text_of().alias("t"))
     schema = sent_cols.select(*sent_cols.columns[:-1], F.lit(0.0).cast("double").alias("score")).schema
-    got = sent_cols.mapInArrow(scored, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("score").alias("toxic_score"))
+    got = sent_cols.mapInArrow(lean(scored), schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("score").alias("toxic_score"))
     cut = F.lit(CUT)
     if "lang" in names:
         for lang, t in (model.thresholds or {}).items():
