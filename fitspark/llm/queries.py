@@ -19,6 +19,7 @@ from fitspark.llm.quality import quality_scores
 from fitspark.llm.rank_bpe import word_bpe_round_trip
 from fitspark.llm.simhash import simhash_groups
 from fitspark.llm.token_counts import token_counts
+from fitspark.llm.variants import spelling_variants
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +85,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secrets": op2_secrets,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_word_bpe": op11_word_bpe,
     "op12_divergence": op12_divergence,
+    "op13_variants": op13_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
