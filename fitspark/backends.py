@@ -80,7 +80,7 @@ class MockBackend:
 
 
 class MockJudge(MockBackend):
-    """Scores a prompt by words that speak for or against, with a small jitter that depends on the prompt alone."""
+    """Scores a prompt by each occurrence of words that speak for or against, with a small jitter that depends on the prompt alone."""
 
     FOR = ("led", "designed", "architected", "from scratch", "years of experience")
     AGAINST = ("clerk", "filing", "scheduling", "helped with")
@@ -88,7 +88,7 @@ class MockJudge(MockBackend):
     def generate(self, prompt: str, system: str | None = None, temperature: float = 0.2, max_tokens: int = 2048) -> str:
         self.last_usage = {"total_tokens": len(prompt) // 4 + 40}
         low = prompt.lower()
-        score = 50 + 8 * sum(w in low for w in self.FOR) - 10 * sum(w in low for w in self.AGAINST)
+        score = 50 + 8 * sum(map(low.count, self.FOR)) - 10 * sum(map(low.count, self.AGAINST))
         jitter = int(hashlib.sha256(prompt.encode()).hexdigest(), 16) % 7 - 3
         return json.dumps({"fit_0_100": max(0, min(100, max(5, min(95, score)) + jitter))})
 

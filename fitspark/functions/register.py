@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from fitspark.cluster import ship
+from fitspark.functions.tables import register_tables
+from fitspark.operators.concordance import gamma
 
 #: Bodies are SQL over the arguments, so that the optimizer sees through them.
 FUNCTIONS = {
@@ -25,17 +26,6 @@ TABLE_FUNCTIONS = {
 }
 
 
-def gamma(a: pd.Series, b: pd.Series) -> float:
-    """Goodman and Kruskal's gamma of two columns of a group, whose pairs it compares in memory."""
-    x, y = a.to_numpy(), b.to_numpy()
-    concordant = discordant = 0
-    for i in range(len(x)):
-        sign = (x[i + 1 :] - x[i]) * (y[i + 1 :] - y[i])
-        concordant += int((sign > 0).sum())
-        discordant += int((sign < 0).sum())
-    return (concordant - discordant) / (concordant + discordant) if concordant + discordant else 0.0
-
-
 def register(spark: SparkSession) -> list[str]:
     """Create scalar, table and aggregate functions in the session; returns their names."""
     for name, (arguments, kind, body) in FUNCTIONS.items():
@@ -44,4 +34,4 @@ def register(spark: SparkSession) -> list[str]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS TABLE ({columns}) RETURN {body}")
     ship(spark)
     spark.udf.register("fit_gamma", F.pandas_udf(gamma, "double"))
-    return [*FUNCTIONS, *TABLE_FUNCTIONS, "fit_gamma"]
+    return [*FUNCTIONS, *TABLE_FUNCTIONS, "fit_gamma", *register_tables(spark)]

@@ -8,9 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fitspark.dialect import java_pattern
+from fitspark.functions.entities import unescape
 
 # Fixed values.
-STOPWORDS = ("a", "an", "the", "and", "or", "of", "to", "in", "for", "on", "with", "at", "by", "from", "is", "are", "as", "be", "that", "this", "it")
+STOPWORDS = ("a", "an", "the", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are", "that", "this", "at", "by", "as", "be", "it", "from")
 # What tags of a page become.
 TAGS = (
     (r"(?i)<\s*br\s*/?>", "\n"),
@@ -141,16 +142,6 @@ def lower_list(a: Column) -> Column:
     return F.filter(F.transform(a, lambda x: F.lower(F.trim(x))), lambda x: x != "")
 
 
-# The entities of ordinary pages; others are left to unescape_all().
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
-
-
-def unescape(c: Column) -> Column:
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
-
-
 def html_text(c: Column) -> Column:
     """The text of HTML: breaks and block ends become new lines, items get '- ', headings a blank line before; tags go.
 

@@ -377,14 +377,20 @@ def nearly_empty(spark, d):
     return table(spark, d, "documents").select("doc_id", text.nearly_empty(F.col("text"), F.lit(1)).alias("nearly_empty"), F.trim(text.first_line(F.col("text"))).alias("first_line"))
 
 
-_unescaped = "html"
-for _name, _char in text.ENTITIES:
-    _unescaped = f"replace({_unescaped}, '{_name}', " + ("chr(39)" if _char == "'" else f"'{_char}'") + ")"
-HTML_SQL = f"CASE WHEN html LIKE '%&lt;%' THEN {_unescaped} ELSE html END"
+# The references that the pages of the tables have; an ampersand comes last, so that nothing is decoded twice.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"))
+
+
+def _decoded(sql: str) -> str:
+    for name, char in ENTITIES:
+        sql = f"replace({sql}, '{name}', " + ("chr(39)" if char == "'" else f"'{char}'") + ")"
+    return f"regexp_replace({sql}, '&amp;?', '&', 'g')"
+
+
+HTML_SQL = f"CASE WHEN html LIKE '%&lt;%' THEN {_decoded('html')} ELSE html END"
 for _pattern, _instead in ((r"(?i)<\s*br\s*/?>", "chr(10)"), (r"(?i)<\s*li[^>]*>", "chr(10) || '- '"), (r"(?i)</\s*(?:p|div|section|ul|ol|h[1-6])\s*>", "chr(10)"), (r"(?i)<\s*h[1-6][^>]*>", "chr(10) || chr(10)"), ("<[^>]+>", "''")):
     HTML_SQL = f"regexp_replace({HTML_SQL}, '{_pattern}', {_instead}, 'g')"
-for _name, _char in text.ENTITIES:
-    HTML_SQL = f"replace({HTML_SQL}, '{_name}', " + ("chr(39)" if _char == "'" else f"'{_char}'") + ")"
+HTML_SQL = _decoded(HTML_SQL)
 HTML_SQL = rf"regexp_replace(regexp_replace(regexp_replace({HTML_SQL}, '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 

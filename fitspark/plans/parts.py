@@ -199,17 +199,17 @@ def digest_vectors(spark, d):
     return embed_texts(rows, DigestEmbedding()).select("p_partkey", F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.size("vector").alias("dim"))
 
 
-JUDGED_SQL = f"'{RUBRIC}' || chr(10) || chr(10) || 'JOB' || chr(10) || p_type || chr(10) || chr(10) || 'CANDIDATE' || chr(10) || CASE p_partkey % 3 WHEN 0 THEN 'Designed and led ' WHEN 1 THEN 'Helped with ' ELSE 'Filing clerk for ' END || p_name"
+JUDGED_SQL = f"'{RUBRIC}' || chr(10) || chr(10) || 'JOB' || chr(10) || p_type || chr(10) || chr(10) || 'CANDIDATE' || chr(10) || CASE p_partkey % 3 WHEN 0 THEN 'Designed, redesigned and led ' WHEN 1 THEN 'Helped with ' ELSE 'Filing clerk for ' END || p_name"
 
 
 @query(f"""
     WITH p AS (SELECT p_partkey, {JUDGED_SQL} AS prompt FROM part),
-    s AS (SELECT p_partkey, prompt, sha256(prompt) AS h, 50 + 8 * len(list_filter(['led', 'designed', 'architected', 'from scratch', 'years of experience'], lambda w: contains(lower(prompt), w)))
-                 - 10 * len(list_filter(['clerk', 'filing', 'scheduling', 'helped with'], lambda w: contains(lower(prompt), w))) AS base FROM p),
+    s AS (SELECT p_partkey, prompt, sha256(prompt) AS h, 50 + 8 * list_sum(list_transform(['led', 'designed', 'architected', 'from scratch', 'years of experience'], lambda w: (length(prompt) - length(replace(lower(prompt), w, ''))) // length(w)))
+                 - 10 * list_sum(list_transform(['clerk', 'filing', 'scheduling', 'helped with'], lambda w: (length(prompt) - length(replace(lower(prompt), w, ''))) // length(w))) AS base FROM p),
     j AS (SELECT *, list_sum(list_transform(range(64), lambda i: (instr('0123456789abcdef', substr(h, i + 1, 1)) - 1) * [1, 2, 4][(63 - i) % 3 + 1])) % 7 - 3 AS jitter FROM s)
     SELECT 'job' || p_partkey AS jd_slug, CAST(greatest(0, least(100, greatest(5, least(95, base)) + jitter)) AS DOUBLE) AS score, CAST(length(prompt) // 4 + 40 AS INTEGER) AS tokens, CAST(NULL AS VARCHAR) AS error FROM j""")
 def judged_pairs(spark, d):
     """The offline judge's scores: words for and against, and a jitter that depends on the prompt alone."""
-    did = F.when(F.col("p_partkey") % 3 == 0, "Designed and led ").when(F.col("p_partkey") % 3 == 1, "Helped with ").otherwise("Filing clerk for ")
+    did = F.when(F.col("p_partkey") % 3 == 0, "Designed, redesigned and led ").when(F.col("p_partkey") % 3 == 1, "Helped with ").otherwise("Filing clerk for ")
     pairs: DataFrame = table(spark, d, "part").select(F.concat(F.lit("job"), F.col("p_partkey").cast("string")).alias("jd_slug"), F.lit("t").alias("tier"), F.lit(0).alias("repeat"), F.col("p_type").alias("jd_text"), F.concat(did, "p_name").alias("resume_text"))
     return judge(pairs, MockJudge(), RUBRIC, "rubric").select("jd_slug", "score", "tokens", "error")
