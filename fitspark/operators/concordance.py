@@ -97,8 +97,8 @@ def concordance(rows: DataFrame, *, by: list[str], a: str, b: str, block_rows: i
     are approximate, but any edges give the same counts.
     """
     ship(rows.sparkSession)
-    keys = [F.col(c).alias(f"g{i}") for i, c in enumerate(by)]
-    g = [f"g{i}" for i in range(len(by))]
+    keys = [F.col(c).alias(f"g{i}") for i, c in enumerate(by)] or [F.lit(True).alias("g0")]  # all rows are one group
+    g = [f"g{i}" for i in range(len(keys))]
     w = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys, F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).alias("w"))
     sizes = w.groupBy(*g).agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("points"))
     most = sizes.agg(F.max("points")).first()[0] or 0
@@ -106,7 +106,7 @@ def concordance(rows: DataFrame, *, by: list[str], a: str, b: str, block_rows: i
     if n_blocks > 1:
         shares = [i / n_blocks for i in range(1, n_blocks)]
         edges = w.groupBy(*g).agg(F.array_distinct(F.percentile_approx("x", shares, 10_000)).alias("ex"), F.array_distinct(F.percentile_approx("y", shares, 10_000)).alias("ey"))
-        cut = w.join(edges, g) if g else w.join(F.broadcast(edges))  # one row
+        cut = w.join(edges, g)
     else:
         cut = w.withColumns({"ex": F.array(F.lit(None).cast(w.schema["x"].dataType)), "ey": F.array(F.lit(None).cast(w.schema["y"].dataType))})
 
@@ -115,17 +115,15 @@ def concordance(rows: DataFrame, *, by: list[str], a: str, b: str, block_rows: i
         return 2 * below + F.coalesce(F.array_contains(edges, F.col(v)), F.lit(False)).cast("int")
 
     cut = cut.select(*g, "x", "y", "w", block("ex", "x").alias("xb"), block("ey", "y").alias("yb"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in w.select(*g).schema) + ", " * bool(g) + "c decimal(38,0), d decimal(38,0)"
-    grouped = lambda df, *more: df.groupBy(*g, *more) if g or more else df.groupBy(F.lit(0))
-    strip = lambda count, n: lambda key, pdf: _counts(count, g)(key[:n], pdf)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in w.select(*g).schema) + ", c decimal(38,0), d decimal(38,0)"
     cells = cut.groupBy(*g, F.col("xb").alias("x"), F.col("yb").alias("y")).agg(F.sum("w").alias("w"))
-    parts = grouped(cells).applyInPandas(strip(_grid, len(g)), schema)
+    parts = cells.groupBy(*g).applyInPandas(_counts(_grid, g), schema)
     # An edge's block has one value: all its pairs are tied.
     within = cut.where("xb % 2 = 0").select(*g, "xb", "x", "y", "w")
-    parts = parts.union(grouped(within, "xb").applyInPandas(strip(_local, len(g)), schema))
+    parts = parts.union(within.groupBy(*g, "xb").applyInPandas(_counts(_local, g), schema))
     across = cut.where("yb % 2 = 0").groupBy(*g, "yb", F.col("xb").alias("x"), "y").agg(F.sum("w").alias("w"))
-    parts = parts.union(grouped(across, "yb").applyInPandas(strip(_local, len(g)), schema))
+    parts = parts.union(across.groupBy(*g, "yb").applyInPandas(_counts(_local, g), schema))
     pairs = parts.groupBy(*g).agg(F.sum("c").cast("decimal(38,0)").alias("c"), F.sum("d").cast("decimal(38,0)").alias("d"))
-    out = sizes.join(pairs, g) if g else sizes.join(F.broadcast(pairs))
+    out = sizes.join(pairs, g)
     named = [F.col(f"g{i}").alias(c) for i, c in enumerate(by)]
     return out.select(*named, "n", F.col("c").alias("concordant"), F.col("d").alias("discordant"), F.try_divide((F.col("c") - F.col("d")).cast("double"), (F.col("c") + F.col("d")).cast("double")).alias("gamma"))
