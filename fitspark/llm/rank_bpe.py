@@ -18,8 +18,8 @@ from fitspark.llm.common import lean, small_batches, text_of
 
 #: A word of more symbols has its ranks in a numpy array, which is scanned as one.
 SHORT = 64
-#: Chunks between white space whose ids a task keeps, of so many characters at most; all are forgotten beyond the number.
-KEPT, KEPT_CHARS = 200_000, 64
+#: Chunks between white space whose ids a worker keeps, of so many characters at most: beyond the number, those that the last so many did without go.
+KEPT, KEPT_CHARS = 150_000, 64
 
 NONE = 2**31 - 1
 #: What str.split() takes for white space and the pattern does not.
@@ -84,6 +84,14 @@ class Words:
     def forget(self) -> None:
         self.ids_of: dict[str, str] = {}
         self.shown: dict[str, str] = {}
+        self.old_ids: dict[str, str] = {}
+        self.old_shown: dict[str, str] = {}
+
+    def age(self) -> None:
+        """Chunks that are used again move back from the old ones; the rest go with the next ageing."""
+        if len(self.ids_of) > KEPT:
+            self.old_ids, self.old_shown = self.ids_of, self.shown
+            self.ids_of, self.shown = {}, {}
 
     def symbols(self, piece: bytes) -> list[int]:
         return [self.of_byte[b] for b in piece[:-1]] + [self.of_last[piece[-1]]]
@@ -143,8 +151,9 @@ class Words:
         """Ids of the pieces of a chunk without white space, and their decoding, each joined by spaces."""
         if (got := self.ids_of.get(chunk)) is not None:
             return got, self.shown[chunk]
-        pieces = self.pattern.findall(chunk)
-        if len(pieces) > 1:
+        if (got := self.old_ids.get(chunk)) is not None:
+            out = got, self.old_shown[chunk]
+        elif len(pieces := self.pattern.findall(chunk)) > 1:
             both = [self.encode_chunk(p) for p in pieces]  # a piece is a chunk of one piece
             out = " ".join([a for a, _ in both]), " ".join([b for _, b in both])
         else:
@@ -180,8 +189,7 @@ class Words:
         part = part.lower()
         # Pieces never hold white space, so chunks can be looked up whole, and what replaces white space does not matter.
         chunks = regex.findall(r"\S+", part) if NO_SPACE.search(part) else part.split()
-        if len(self.ids_of) > KEPT:
-            self.forget()
+        self.age()
         new = {c: self.encode_chunk(c) for c in set(chunks) if c not in self.ids_of}
         if any(c not in self.ids_of for c in new):  # long ones are not kept
             both = [new.get(c) or (self.ids_of[c], self.shown[c]) for c in chunks]
@@ -221,7 +229,6 @@ def _encoded(path: str, with_ids: bool):
                 rows.append(row + (list(map(int, ids.split())), decoded) if with_ids else row)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
-        w.forget()  # the worker may wait for other work with what it holds
 
     return mapped
 
@@ -236,8 +243,8 @@ def word_bpe_round_trip(docs: DataFrame, path: str, *, with_ids: bool = False) -
     Rows with null doc_id and repeated rows stay. Other columns are ignored; no
     rows: no rows.
 
-    It moves no rows. Each distinct chunk between white space is encoded once for a
-    task, up to a bound of what it keeps.
+    It moves no rows. A distinct chunk between white space is encoded once for a Python
+    worker, up to a bound of what it keeps.
     """
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
