@@ -35,8 +35,13 @@ def strip_ws(c: Column) -> Column:
     return F.translate(c, WS_CHARS, "")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark)}/fitspark/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/fitspark/{label}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 #: Rows for each file of a written table whose number of rows is known.
@@ -63,8 +68,8 @@ def written(df: DataFrame, label: str, *, rows: int | None = None, light: bool =
 
 
 def discard(spark: SparkSession) -> None:
-    """Remove all tables that written() has made in the shared folder; results that still read them must be stored before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/fitspark")
+    """Remove all tables that written() has made for this application in the shared folder; results that still read them must be stored before. Other applications' tables stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

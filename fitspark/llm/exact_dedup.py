@@ -19,6 +19,8 @@ FINGERPRINT_BITS = 48
 PER_OWNER = 2_000_000
 #: Rows of a sender's block.
 PER_BLOCK = 1_000_000
+#: Fingerprints that a full block sends to each of its owners, on average, at least.
+PER_MESSAGE = 1_000
 
 
 def golomb_encode(values: np.ndarray, low: int, high: int) -> tuple[bytes, int]:
@@ -52,8 +54,8 @@ def golomb_decode(code: bytes, n: int, k: int, low: int) -> np.ndarray:
     return np.cumsum(gaps) + low
 
 
-def _send(owners: int, width: int):
-    """Blocks of a partition's sorted distinct fingerprints, one coded message to each owner."""
+def _send(owners: int, width: int, per_block: int):
+    """Blocks of a partition's sorted distinct fingerprints, one coded message to each owner that they have any for."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -63,11 +65,10 @@ def _send(owners: int, width: int):
             fp, count = np.unique(np.concatenate([h[0] for h in held]), return_counts=True)
             cuts = np.searchsorted(fp, np.arange(owners + 1, dtype=np.int64) * width)
             out = []
-            for o in range(owners):
+            for o in np.flatnonzero(np.diff(cuts)).tolist():
                 part = slice(cuts[o], cuts[o + 1])
-                if cuts[o] < cuts[o + 1]:
-                    code, k = golomb_encode(fp[part], o * width, (o + 1) * width)
-                    out.append((o, name, int(cuts[o + 1] - cuts[o]), k, code, np.packbits(count[part] > 1).tobytes()))
+                code, k = golomb_encode(fp[part], o * width, (o + 1) * width)
+                out.append((o, name, int(cuts[o + 1] - cuts[o]), k, code, np.packbits(count[part] > 1).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["owner", "block", "n", "k", "code", "again"])
 
         for b in batches:
@@ -76,7 +77,7 @@ def _send(owners: int, width: int):
                 if not held:
                     name = int(uid[0])  # unique, and the same when a lost task runs again over the written table
                 held.append((fp, uid))
-                if sum(len(h[0]) for h in held) >= PER_BLOCK:
+                if sum(len(h[0]) for h in held) >= per_block:
                     yield flush()
                     held.clear()
         if held:
@@ -112,12 +113,35 @@ def _suspects(width: int):
     return marked
 
 
-def suspect_fingerprints(light: DataFrame, *, fingerprint_bits: int = FINGERPRINT_BITS, per_owner: int = PER_OWNER) -> DataFrame:
+def by_group(light: DataFrame, n: int, owners: int, width: int, *, per_block: int = PER_BLOCK, per_message: int = PER_MESSAGE) -> DataFrame:
+    """The rows of `light` (fp, uid), dealt so that a block has rows for per_block / per_message owners at most.
+
+    So many owners are a group, a range of the fingerprints. One group needs no
+    dealing. Of more, each gets partitions of its own, of some eight blocks each: then
+    messages stay as large, and grow in number with the rows, not with their square.
+    """
+    in_group = max(1, per_block // per_message)
+    groups = -(-owners // in_group)
+    if groups == 1:
+        return light.select("fp", "uid")
+    each = max(1, -(-n // (groups * 8 * per_block)))
+    group = F.expr(f"fp div {width * in_group}L")
+    return light.select("fp", "uid").repartitionById(groups * each, (group * each + F.pmod("uid", F.lit(each))).cast("int"))
+
+
+def exchanged(light: DataFrame, *, fingerprint_bits: int, per_owner: int, per_block: int, per_message: int) -> tuple[DataFrame, int]:
+    """(messages, width): what partitions send to owners of ranges of this width, written."""
+    n = light.count()
+    owners = max(1, -(-n // per_owner))
+    width = -(-(1 << fingerprint_bits) // owners)
+    dealt = by_group(light, n, owners, width, per_block=per_block, per_message=per_message)
+    return written(dealt.mapInArrow(lean(_send(owners, width, per_block)), "owner long, block long, n long, k int, code binary, again binary"), "blocks", light=True), width
+
+
+def suspect_fingerprints(light: DataFrame, *, fingerprint_bits: int = FINGERPRINT_BITS, per_owner: int = PER_OWNER, per_block: int = PER_BLOCK, per_message: int = PER_MESSAGE) -> DataFrame:
     """Fingerprints that more than one row of `light` (fp, uid) has; a fingerprint may come several times."""
     ship(light.sparkSession)
-    owners = max(1, -(-light.count() // per_owner))
-    width = -(-(1 << fingerprint_bits) // owners)
-    blocks = written(light.select("fp", "uid").mapInArrow(lean(_send(owners, width)), "owner long, block long, n long, k int, code binary, again binary"), "blocks", light=True)
+    blocks, width = exchanged(light, fingerprint_bits=fingerprint_bits, per_owner=per_owner, per_block=per_block, per_message=per_message)
     replies = blocks.select("owner", "block", "n", "k", "code").groupBy("owner").applyInPandas(_owner(width), "owner long, block long, bitmap binary")
     return blocks.join(replies, ["owner", "block"]).mapInArrow(lean(_suspects(width)), "fp long")
 
@@ -140,7 +164,8 @@ def exact_dedup(docs: DataFrame, *, fingerprint_bits: int = FINGERPRINT_BITS) ->
     1. A light table (ids, lengths, digests) is written once.
     2. Its partitions send their sorted distinct fingerprints, Golomb-coded, to
        owners of ranges of the fingerprints and get bitmaps of duplicates back.
-       A hot group is one entry in each block, so no owner gets its rows.
+       A hot group is one entry in each block, so no owner gets its rows. From some
+       2 * 10**9 rows on, fingerprints are first dealt to groups of owners (by_group()).
     3. Suspects alone are shuffled for verification: texts are compared byte by
        byte by grouping on them, pre-aggregated on the map side. A map of
        bounded size picks the suspects from the scan; what it lets through besides

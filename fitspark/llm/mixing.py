@@ -247,10 +247,11 @@ def _decided(spark: SparkSession, placed: DataFrame, plan: Plan, shards: int) ->
     return rows.drop("ws", "wb", "ps", "pb", "pp", "cut", "more", "n_blocks", "n_parts").withColumn("mix_copies", F.size("mix_shards"))
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, *, shard_column: str | None = None, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, shuffled within its output shard.
 
-    Returns the columns of `docs`; a shard is a contiguous range of the partitions.
+    Returns the columns of `docs`, and the shard as `shard_column` if that is named. Each
+    shard has partitions of its own, the same number for all, and stands in a contiguous range of them.
     """
     shards = options.get("shards", SHARDS)
     _, plan = mix(docs, **options)
@@ -260,6 +261,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     keyed = _keyed(packed, text_of(), ["mix_row"])
     rows = _decided(spark, _block(_blocks_of(spark, plan.counts), keyed), plan, shards)
     drawn = rows.select("mix_row", "mix_deal", F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = drawn.repartition(max(n, shards), "mix_shard", F.pmod("mix_deal", F.lit(max(1, n // shards))))
-    return dealt.sortWithinPartitions("mix_shard", F.xxhash64("mix_deal", "mix_copy")).select("mix_row.*")
+    each = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
+    dealt = drawn.repartitionById(shards * each, (F.col("mix_shard") * each + F.pmod("mix_deal", F.lit(each))).cast("int"))
+    ordered = dealt.sortWithinPartitions(F.xxhash64("mix_deal", "mix_copy"))
+    return ordered.select("mix_row.*", *([F.col("mix_shard").alias(shard_column)] if shard_column else []))

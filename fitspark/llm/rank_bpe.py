@@ -18,10 +18,16 @@ from fitspark.llm.common import lean, small_batches, text_of
 
 #: A word of more symbols has its ranks in a numpy array, which is scanned as one.
 SHORT = 64
+#: Widths of the matrices that words of like length share, and their rows at most.
+WIDTHS, ROWS = (4, 8, 12, 16, 24, 32, SHORT), 4096
+#: Characters of texts that are encoded together, about.
+BLOCK_CHARS = 1 << 20
 #: Chunks between white space whose ids a worker keeps, of so many characters at most: beyond the number, those that the last so many did without go.
-KEPT, KEPT_CHARS = 150_000, 64
+KEPT, KEPT_CHARS = 250_000, 64
 
 NONE = 2**31 - 1
+#: Marks a chunk that is one piece, however Python's pattern would split it. No other chunk has white space.
+WHOLE = "\n"
 #: What str.split() takes for white space and the pattern does not.
 NO_SPACE = regex.compile("[\x1c-\x1f]")
 
@@ -48,13 +54,15 @@ class Words:
     """A vocabulary with ranked merges, and the encoding of pieces by them.
 
     Made for files that normalise by NFC, white space and lower case, split by a
-    pattern, show bytes as characters, and mark a word's end by a suffix.
+    pattern, show bytes as characters, and mark a word's end by a suffix. They name no
+    decoder, so decoded tokens are joined by spaces and keep their marks.
     """
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        kinds = [n["type"] for n in spec["normalizer"]["normalizers"]], [p["type"] for p in spec["pre_tokenizer"]["pretokenizers"]]
+        steps = lambda name, each: [x["type"] for x in (spec.get(name) or {}).get(each, [])]
+        kinds = steps("normalizer", "normalizers"), steps("pre_tokenizer", "pretokenizers")
         if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or spec["model"]["type"] != "BPE" or spec["decoder"] is not None:
             raise ValueError(f"{path} is of another kind: {kinds}")
         self.path = path
@@ -86,6 +94,7 @@ class Words:
         self.shown: dict[str, str] = {}
         self.old_ids: dict[str, str] = {}
         self.old_shown: dict[str, str] = {}
+        self.long: list[str] = []
 
     def age(self) -> None:
         """Chunks that are used again move back from the old ones; the rest go with the next ageing."""
@@ -96,27 +105,54 @@ class Words:
     def symbols(self, piece: bytes) -> list[int]:
         return [self.of_byte[b] for b in piece[:-1]] + [self.of_last[piece[-1]]]
 
-    def merged(self, symbols: list[int]) -> list[int]:
-        """The ids of a word of these symbols.
+    def merged(self, words: list[list[int]]) -> list[list[int]]:
+        """The ids of words of these symbols.
 
-        `ids` holds the part that begins at each boundary, and `ranks`, beside it,
-        the rank of the pair that it forms with the next part. The leftmost least
-        rank is found by a scan; the boundary behind its first part goes, and the
-        ranks of the pairs on both sides are looked up again.
+        Each word has a row: `ids` holds the part that begins at each boundary, and
+        `ranks`, beside it, the rank of the pair that it forms with the next part. In
+        every step the leftmost least rank of each row is found by a scan; the boundary
+        behind its first part goes, and the ranks of the pairs on both sides are looked
+        up again. Rows that have no pair left are done.
         """
-        if len(symbols) > SHORT:
-            return self.merged_long(symbols)
-        rank, ids = self.rank, symbols[:]
-        ranks = [rank.get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:])]
-        while ranks and (least := min(ranks)) != NONE:
-            at = ranks.index(least)
-            ids[at : at + 2] = [self.gives[least]]
-            del ranks[at]
-            if at < len(ranks):
-                ranks[at] = rank.get(ids[at] << 32 | ids[at + 1], NONE)
-            if at:
-                ranks[at - 1] = rank.get(ids[at - 1] << 32 | ids[at], NONE)
-        return ids
+        out: list[list[int]] = [[]] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        for i in np.flatnonzero(size > SHORT):
+            out[i] = self.merged_long(words[i])
+        low = 0
+        for most in WIDTHS:
+            mine = np.flatnonzero((size > low) & (size <= most))
+            low = most
+            for first in range(0, len(mine), ROWS):
+                rows, n = mine[first : first + ROWS], size[mine[first : first + ROWS]]
+                width = int(n.max())
+                place = np.arange(width)
+                ids = np.zeros((len(rows), width + 1), np.int64)
+                ids[:, :width][place < n[:, None]] = np.fromiter((x for i in rows for x in words[i]), np.int64, int(n.sum()))
+                ranks = np.where(place < n[:, None] - 1, self.pair_ranks(ids[:, :-1], ids[:, 1:]), NONE)
+                while len(rows):
+                    at = ranks.argmin(1)
+                    every = np.arange(len(rows))
+                    least = ranks[every, at]
+                    done = least == NONE
+                    if done.any():
+                        for i, k, row in zip(rows[done], n[done], ids[done]):
+                            out[i] = row[:k].tolist()
+                        live = ~done
+                        rows, n, ids, ranks, at, least = rows[live], n[live], ids[live], ranks[live], at[live], least[live]
+                        every = np.arange(len(rows))
+                    if not len(rows):
+                        break
+                    ids[every, at] = self.gives_array[least]
+                    # What stands behind moves up by one.
+                    ids[:, :-1] = np.where(place > at[:, None], ids[:, 1:], ids[:, :-1])
+                    ranks[:, :-1] = np.where(place[:-1] >= at[:, None], ranks[:, 1:], ranks[:, :-1])
+                    ranks[:, -1] = NONE
+                    n = n - 1
+                    behind = self.pair_ranks(ids[every, at], ids[every, at + 1])
+                    ranks[every, at] = np.where(at + 1 < n, behind, NONE)
+                    left = np.flatnonzero(at > 0)
+                    ranks[left, at[left] - 1] = self.pair_ranks(ids[left, at[left] - 1], ids[left, at[left]])
+        return out
 
     def merged_long(self, symbols: list[int]) -> list[int]:
         """The same for any length: each scan merges all places of the least rank, of overlapping ones the leftmost first.
@@ -147,25 +183,30 @@ class Words:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.key_ranks[at], NONE)
 
-    def encode_chunk(self, chunk: str) -> tuple[str, str]:
-        """Ids of the pieces of a chunk without white space, and their decoding, each joined by spaces."""
-        if (got := self.ids_of.get(chunk)) is not None:
-            return got, self.shown[chunk]
-        if (got := self.old_ids.get(chunk)) is not None:
-            out = got, self.old_shown[chunk]
-        elif len(pieces := self.pattern.findall(chunk)) > 1:
-            both = [self.encode_chunk(p) for p in pieces]  # a piece is a chunk of one piece
-            out = " ".join([a for a, _ in both]), " ".join([b for _, b in both])
-        else:
-            ids = self.merged(self.symbols(chunk.encode()))
-            out = " ".join(map(str, ids)), self.decode(ids)
-        if len(chunk) <= KEPT_CHARS:
-            self.ids_of[chunk], self.shown[chunk] = out
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        """The file names no decoder, so tokens are joined by spaces and keep their marks."""
-        return " ".join([self.token[i] for i in ids])
+    def learn(self, chunks: set[str]) -> None:
+        """Get the ids and the decoding, joined by spaces, of chunks that are not known yet: by their pieces, which are kept as well."""
+        known, shown, old, find = self.ids_of, self.shown, self.old_ids, self.pattern.findall
+        new, fresh = [], []
+        for c in chunks:
+            if c in old:
+                known[c], shown[c] = old[c], self.old_shown[c]
+                continue
+            pieces = [c] if c[0] == WHOLE else find(c)
+            if len(pieces) > 1:
+                new.append((c, pieces))
+                fresh += pieces
+            else:
+                fresh.append(c)
+        fresh = list({p for p in fresh if p not in known})
+        token = self.token
+        for p, ids in zip(fresh, self.merged([self.symbols(p.removeprefix(WHOLE).encode()) for p in fresh])):
+            if len(ids) == 1:
+                known[p], shown[p] = str(ids[0]), token[ids[0]]
+            else:
+                known[p], shown[p] = " ".join([str(i) for i in ids]), " ".join([token[i] for i in ids])
+        for c, pieces in new:
+            known[c], shown[c] = " ".join([known[p] for p in pieces]), " ".join([shown[p] for p in pieces])
+        self.long += [c for some in (chunks, fresh) for c in some if len(c) > KEPT_CHARS]
 
     def library(self):
         """The public library, for its tables of Unicode only."""
@@ -175,33 +216,38 @@ class Words:
             self._library = tokenizers.Tokenizer.from_file(self.path)
         return self._library
 
-    def encode_part(self, part: str) -> tuple[str, str]:
-        """Text without special tokens."""
+    def chunks_of(self, part: str) -> list[str]:
+        """What stands between white space in text without special tokens, normalised; or marked pieces, where the library split it.
+
+        Pieces never hold white space, so what replaces it does not matter.
+        """
         if not part.isascii():
             if ASTRAL.search(part) or self.unassigned.search(part):
                 lib = self.library()
                 back = {c: b for b, c in enumerate(byte_alphabet())}
-                pieces = [bytes(back[c] for c in p) for p, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(part))]
-                ids = [i for p in pieces for i in self.merged(self.symbols(p))]
-                return " ".join(map(str, ids)), self.decode(ids)
+                return [WHOLE + bytes(back[c] for c in p).decode() for p, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(part))]
             # Code point by code point, a capital sigma has one lower case only.
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
         part = part.lower()
-        # Pieces never hold white space, so chunks can be looked up whole, and what replaces white space does not matter.
-        chunks = regex.findall(r"\S+", part) if NO_SPACE.search(part) else part.split()
+        return regex.findall(r"\S+", part) if NO_SPACE.search(part) else part.split()
+
+    def encode_all(self, texts: list[str]) -> list[tuple[str, str]]:
+        """All ids of each text and its decoding, each joined by spaces; special tokens inside a text are ids of their own."""
+        cut = [[(p if p in self.special else None, [] if p in self.special else self.chunks_of(p)) for p in (self.special_split.split(t) if "<" in t else [t])] for t in texts]
         self.age()
-        new = {c: self.encode_chunk(c) for c in set(chunks) if c not in self.ids_of}
-        if any(c not in self.ids_of for c in new):  # long ones are not kept
-            both = [new.get(c) or (self.ids_of[c], self.shown[c]) for c in chunks]
-            return " ".join([a for a, _ in both]), " ".join([b for _, b in both])
-        return " ".join(map(self.ids_of.__getitem__, chunks)), " ".join(map(self.shown.__getitem__, chunks))
+        self.learn({c for parts in cut for _, chunks in parts for c in chunks if c not in self.ids_of})
+        out = []
+        for parts in cut:
+            both = [(str(self.special[s]), s) if s is not None else (" ".join(map(self.ids_of.__getitem__, chunks)), " ".join(map(self.shown.__getitem__, chunks))) for s, chunks in parts]
+            out.append((" ".join([a for a, _ in both if a]), " ".join([b for a, b in both if a])))
+        for c in self.long:
+            self.ids_of.pop(c, None)
+            self.shown.pop(c, None)
+        self.long = []
+        return out
 
     def encode(self, text: str) -> tuple[str, str]:
-        """All ids of a text and its decoding, each joined by spaces; special tokens inside it are ids of their own."""
-        if "<" not in text:
-            return self.encode_part(text)
-        parts = [(str(self.special[p]), p) if p in self.special else self.encode_part(p) for p in self.special_split.split(text)]
-        return " ".join([a for a, _ in parts if a]), " ".join([b for a, b in parts if a])
+        return self.encode_all([text])[0]
 
 
 _words: dict[str, Words] = {}
@@ -221,14 +267,24 @@ def _encoded(path: str, with_ids: bool):
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words(path)
-        for b in batches:
+
+        def block(docs: list[tuple[int | None, str]]) -> pa.RecordBatch:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids, decoded = w.encode(text)
+            for (doc_id, _), (ids, decoded) in zip(docs, w.encode_all([t for _, t in docs])):
                 row = (doc_id, ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
                 rows.append(row + (list(map(int, ids.split())), decoded) if with_ids else row)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
+
+        for b in batches:
+            docs, held = [], 0
+            for doc in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                docs.append(doc)
+                held += len(doc[1])
+                if held >= BLOCK_CHARS:
+                    yield block(docs)
+                    docs, held = [], 0
+            if docs:
+                yield block(docs)
 
     return mapped
 

@@ -79,6 +79,20 @@ def test_exact_owners_and_blocks_may_be_many(docs, monkeypatch):
     assert want
 
 
+def test_messages_stay_large_however_many_owners_there_are(spark):
+    light = spark.range(40_000).select(F.expr("xxhash64(id div 3) & 281474976710655L").alias("fp"), F.col("id").alias("uid")).repartition(6)
+    twice = {r["fp"] for r in light.groupBy("fp").count().where("count > 1").collect()}
+    sizes = {}
+    for per_message in (1, 100):  # one group of owners, and groups of them
+        bounds = {"fingerprint_bits": 48, "per_owner": 100, "per_block": 1000, "per_message": per_message}
+        blocks, _ = exact_dedup.exchanged(light, **bounds)
+        sizes[per_message] = blocks.agg(F.avg("n")).first()[0]
+        # A block of a group stays within its ten owners.
+        assert per_message == 1 or blocks.groupBy("block").agg((F.max("owner") - F.min("owner")).alias("d")).agg(F.max("d")).first()[0] < 10
+        assert {r["fp"] for r in exact_dedup.suspect_fingerprints(light, **bounds).collect()} == twice
+    assert sizes[1] < 20 < sizes[100]
+
+
 def test_exact_documents_keep_columns(edge, empty):
     got = exact_dedup.exact_documents(edge)
     assert got.columns == edge.columns

@@ -146,6 +146,12 @@ def test_mixed_documents_and_edge_cases(docs, edge, empty):
     want = sorted(r["doc_id"] for r in light.collect() for _ in range(r["mix_copies"]))
     got = mixing.mix_documents(docs)
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == want
+    shards = {}
+    for r in mixing.mix_documents(docs, shards=6, shard_column="shard").withColumn("at", F.spark_partition_id()).collect():
+        shards.setdefault(r["at"], set()).add(r["shard"])
+    assert {len(s) for s in shards.values()} == {1} and set().union(*shards.values()) == set(range(6))
+    ordered = [min(shards[at]) for at in sorted(shards)]
+    assert ordered == sorted(ordered)  # a shard's partitions stand together
     light, plan = mixing.mix(edge)
     assert light.count() == edge.count() and list(plan.sources["source"]) == ["", "s1", "s2", "s3", None]
     for r in light.collect():
