@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -20,8 +21,9 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _map(d: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for kv in sorted(d.items()) for x in kv))
+def constant(value, kind: str) -> Column:
+    """A constant of a nested type, which the optimizer folds into one literal: a map of thousands of literals is slow to plan."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def _names() -> Column:
@@ -29,7 +31,7 @@ def _names() -> Column:
     groups: dict[str, dict[str, str]] = {}
     for n, c in html5.items():
         groups.setdefault(n[:2], {})[n] = c
-    return F.create_map(*(x for k, d in sorted(groups.items()) for x in (F.lit(k), _map(d))))
+    return constant(groups, "map<string,map<string,string>>")
 
 
 def character(number: Column) -> Column:
@@ -43,7 +45,7 @@ def _numbered(ref: Column) -> Column:
     digits = F.regexp_replace(F.when(hexadecimal, F.regexp_extract(ref, "^#[xX]([0-9a-fA-F]+)", 1)).otherwise(F.regexp_extract(ref, "^#([0-9]+)", 1)), "^0+(?=.)", "")
     # More digits than any code point has stay above all of them.
     number = F.when(F.length(digits) > 9, F.lit(2**31)).when(hexadecimal, F.conv(digits, 16, 10).cast("long")).otherwise(digits.cast("long"))
-    odd = F.array(*(F.lit(html.unescape(f"&#{n};")) for n in range(ODD)))
+    odd = constant([html.unescape(f"&#{n};") for n in range(ODD)], "array<string>")
 
     def of(n: Column) -> Column:
         none = n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
@@ -56,8 +58,8 @@ def _named(ref: Column) -> Column:
     """What a reference by name stands for; else the longest name that it begins with, and the rest; else itself."""
     exact = F.element_at(F.element_at(_names(), F.left(ref, F.lit(2))), ref)
     longest = max(map(len, BARE))
-    of_length = {n: {k: c for k, c in BARE.items() if len(k) == n} for n in range(longest, 1, -1)}
-    begins = [F.when(F.length(ref) > n, F.concat(F.element_at(_map(d), F.left(ref, F.lit(n))), F.substr(ref, F.lit(n + 1)))) for n, d in of_length.items() if d]
+    bare = constant(BARE, "map<string,string>")
+    begins = [F.when(F.length(ref) > n, F.concat(F.element_at(bare, F.left(ref, F.lit(n))), F.substr(ref, F.lit(n + 1)))) for n in range(longest, 1, -1)]
     return F.coalesce(exact, *begins, F.concat(F.lit("&"), ref))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fitspark.functions import arrays, dates, text
-from fitspark.operators import matching, metrics, ranking
+from fitspark.operators import lexical, matching, metrics, ranking
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,12 +129,10 @@ def broadcast_if_small(rows: DataFrame) -> DataFrame:
     FROM (SELECT q.item_id, t.doc_id, count(*) AS hits FROM q JOIN t USING (w) GROUP BY ALL) q JOIN n USING (item_id)
     WHERE hits * 2 >= n GROUP BY q.item_id""")
 def lexical_overlap(spark, d):
-    """The inverted form: an equi-join on tokens, counted for each pair that shares some."""
-    q = table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("t"))
-    t = table(spark, d, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("w"))
-    words = q.select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    hits = words.join(t, "w").groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("hits")).where("hits * 2 >= n")
-    return hits.groupBy("item_id").agg(F.max("hits").alias("most_hits"), F.count(F.lit(1)).alias("documents_hit"))
+    """The inverted form: an equi-join on each item's rarest tokens, verified on whole sets."""
+    tokenized = lambda name, key: table(spark, d, name).select(key, text.tokens(F.col("text")).alias("tokens"))
+    pairs = lexical.overlapping(tokenized("benchmark", "item_id"), tokenized("documents", "doc_id"), item="item_id", doc="doc_id")
+    return pairs.groupBy("item_id").agg(F.max("hits").cast("long").alias("most_hits"), F.count(F.lit(1)).alias("documents_hit"))
 
 
 @query(r"""

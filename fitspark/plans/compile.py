@@ -77,8 +77,8 @@ def compile_parts(texts: DataFrame, parts: tuple[Part, ...], backend: TextBacken
     return parsed.select(key, *built, missing.alias("defaulted"), "calls")
 
 
-def compile_candidates(texts: DataFrame, backend: TextBackend, write: Callable[[DataFrame, str], DataFrame], *, key: str = "resume_id", column: str = "text", ref_date: str | None = None, max_repairs: int = 2) -> DataFrame:
-    """Résumé texts into candidates that satisfy every rule.
+def compile_candidates(texts: DataFrame, backend: TextBackend, write: Callable[[DataFrame, str], DataFrame], *, key: str = "resume_id", column: str = "text", ref_date: str | None = None, max_repairs: int = 2, rules: Column | None = None) -> DataFrame:
+    """Résumé texts into candidates that satisfy every rule, or `rules`, a column of violations.
 
     Of a row that breaks a rule, the parts that the broken rules name are asked for
     again, with what was wrong, `max_repairs` times at most; the others stay. A part that
@@ -90,7 +90,7 @@ def compile_candidates(texts: DataFrame, backend: TextBackend, write: Callable[[
     names = [p.name for p in CANDIDATE_PARTS]
 
     def judged(rows: DataFrame) -> DataFrame:
-        return write(rows.withColumn("candidate_id", ident).withColumn("violations", candidate_violations()), "attempt")
+        return write(rows.withColumn("candidate_id", ident).withColumn("violations", candidate_violations() if rules is None else rules), "attempt")
 
     # A broken rule names a part, or a member of one; any other is a matter of all parts.
     tops = F.transform("violations", lambda v: F.regexp_extract(v["path"], "^[a-z_]+", 0))

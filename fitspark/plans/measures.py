@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from fitspark.cluster import shared_dir
 from fitspark.functions.tables import register_tables
-from fitspark.operators import sketches
+from fitspark.operators import cells, sketches
 from fitspark.operators.concordance import concordance
 from fitspark.operators.intervals import overlap_join
 from fitspark.plans.catalog import query, table
+from fitspark.sources import documents, files
+from fitspark.streaming import runs
 
 
 @query("""
@@ -71,3 +73,41 @@ def stored_sketches(spark, d):
         "event_type", "n", close(sketches.distinct("users"), F.col("x_users")).alias("users_close"), close(sketches.distinct(sketches.both("users", "bought")), F.col("x_bought")).alias("bought_close"),
         (sketches.distinct("users") == sketches.distinct("d_users")).alias("same_as_direct"), sketches.quantile("amounts", 0.5).between(F.col("x_low"), F.col("x_high")).alias("median_close"),
     )
+
+
+@query("""
+    WITH e AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, epoch_us(ts) // 1000 AS ms, CAST(floor(value) AS BIGINT) AS tokens, event_type = 'error' AS failed, event_type = 'purchase' AS ends FROM events),
+    b AS (SELECT *, CASE WHEN coalesce(ms - lag(ms) OVER w >= 43200000 OR lag(ends) OVER w, true) THEN 1 ELSE 0 END AS begins FROM e WINDOW w AS (PARTITION BY run_id ORDER BY ms, event_id)),
+    p AS (SELECT *, sum(begins) OVER (PARTITION BY run_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS part FROM b)
+    SELECT run_id, min(ms) AS started, max(ms) AS "last", CASE WHEN bool_or(ends) THEN 'done' ELSE 'stalled' END AS status, count(*) AS n_calls, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(CASE WHEN failed THEN 1 ELSE 0 END) AS BIGINT) AS n_errors
+    FROM p GROUP BY run_id, part""")
+def closed_runs(spark, d):
+    """Runs that ended or stalled: the batch twin of a stream with state and timers."""
+    e = table(spark, d, "events")
+    entries = e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "ts", F.floor("value").alias("tokens"), F.when(F.col("event_type") == "error", "failed").alias("error"), (F.col("event_type") == "purchase").alias("ends"))
+    return runs.closed_runs(entries.unionByName(entries.where("seq % 7 = 0")), gap_seconds=43_200)
+
+
+@query("""
+    WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 3)
+    SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], q.q), 6) AS similarity FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q.q) DESC, vec_id LIMIT 25""")
+def pruned_topk(spark, d):
+    """Exact top-k from vectors stored by cells, of which those that cannot hold a result are not read."""
+    vectors = table(spark, d, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    path = f"{shared_dir(spark)}/fitspark/cells-{uuid.uuid4().hex}"
+    cells.build(vectors, path, vector="embedding", key="vec_id")
+    asked = vectors.where("vec_id = 3").select("embedding").first()[0]
+    found, _, _ = cells.search(spark, path, asked, k=25, vector="embedding", key="vec_id")
+    return found.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""SELECT 'supplier ' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.docx' ELSE '.txt' END AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'docx' ELSE 'text' END AS kind, s_name || ' <&> é' || chr(10) || round(s_acctbal, 2) AS text FROM supplier""")
+def written_files(spark, d):
+    """A text or DOCX file for each supplier, read back."""
+    even = F.col("s_suppkey") % 2 == 0
+    body = F.concat("s_name", F.lit(" <&> é\n"), F.round("s_acctbal", 2).cast("string"))
+    rows = table(spark, d, "supplier").select(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("name"), F.when(even, "docx").otherwise("txt").alias("kind"), body.alias("text"))
+    path = f"{shared_dir(spark)}/fitspark/files-{uuid.uuid4().hex}"
+    files.write_files(rows, path)
+    back = documents.read_documents(spark, path)
+    return back.select(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("%20"), F.lit(" ")).alias("name"), "kind", "text")

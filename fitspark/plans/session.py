@@ -16,7 +16,7 @@ from fitspark.operators.score import score_candidates
 from fitspark.operators.validate import candidate_violations
 from fitspark.plans.compile import compile_candidates
 from fitspark.plans.store import Store, as_json, now_iso, with_ids
-from fitspark.schemas import CANDIDATE
+from fitspark.schemas import CANDIDATE, as_type
 
 Write = Callable[[DataFrame, str], DataFrame]
 
@@ -36,6 +36,8 @@ def fit_candidates(candidates: DataFrame, role: Role, backend: EmbeddingBackend,
     Returns the candidates' other columns, candidate_id, status, violations, overall and fit.
     """
     others = [c for c in candidates.columns if c not in CANDIDATE.fieldNames()]
+    # Compiled blocks have the same members in another order.
+    candidates = candidates.select(*others, *((as_type(F.col(f.name), candidates.schema[f.name].dataType, f.dataType) if f.name in candidates.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in CANDIDATE.fields))
     judged = candidates.withColumn("violations", candidate_violations(check_id=check_id))
     good = score_candidates(judged.where(F.size("violations") == 0), role, backend, ref_date=ref_date)
     good = good.select(*others, "candidate_id", F.lit("ok").alias("status"), "violations", "overall", "fit")

@@ -9,10 +9,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitspark.backends import MockBackend, MockJudge, ask
+from fitspark.backends import MockBackend, MockJudge, RateLimitError, TransientBackendError, ask
 from fitspark.cluster import shared_dir
-from fitspark.config import role_of, structural
-from fitspark.embedding import HashEmbedding
+from fitspark.config import role_of
+from fitspark.embedding import HashEmbedding, TermEmbedding
 from fitspark.functions import arrays, jsonx, text
 from fitspark.functions.register import register
 from fitspark.operators import coerce, matching, metrics
@@ -21,7 +21,7 @@ from fitspark.operators.score import score_candidates
 from fitspark.plans import candidates as pool
 from fitspark.plans.catalog import query, table
 from fitspark.plans.compile import compile_candidates
-from fitspark.plans.session import run_study
+from fitspark.plans.session import fit_candidates, parse_resumes, run_study
 from fitspark.sources import documents, sections, study
 from fitspark.streaming import events
 
@@ -131,13 +131,16 @@ def dataset_discovery(spark, d):
 
 @query("SELECT n_nationkey, n_nationkey % 2 = 0 AS same_flags, CAST(n_nationkey % 3 AS BIGINT) AS signal_count_delta FROM nation")
 def profile_parity(spark, d):
-    """Structural summaries of role profiles are made on the driver and compared by an equi-join on the slug."""
+    """Two versions of a role profile for each nation, summarised and compared as columns."""
     base = pool.ROLE.raw
-    extra = lambda k: [{"id": f"x{i}", "label": "x", "query": "x", "evidence_regex": None, "dense_weight": 0.1} for i in range(k)]
-    made = [(k, structural(role_of(base)), structural(role_of(base | {"signals": base["signals"] + extra(k % 3), "red_flags": base["red_flags"] if k % 2 == 0 else {}}))) for k in range(25)]
-    side = lambda i: spark.createDataFrame([(m[0], m[i]["n_signals"], m[i]["flags"]) for m in made], f"slug int, n{i} long, f{i} array<string>")
-    both = side(1).join(side(2), "slug")
-    return table(spark, d, "nation").join(both, F.col("n_nationkey") == F.col("slug")).select("n_nationkey", (F.col("f1") == F.col("f2")).alias("same_flags"), (F.col("n2") - F.col("n1")).alias("signal_count_delta"))
+    k = F.col("n_nationkey")
+    signals = F.lit(json.dumps(base["signals"])[1:-1])
+    extra = F.array_join(F.transform(F.sequence(F.lit(1), (k % 3).cast("int")), lambda i: F.concat(F.lit(', {"id": "x'), i.cast("string"), F.lit('", "dense_weight": 0.1}'))), "")
+    profile = lambda more, flags: F.parse_json(F.concat(F.lit('{"signals": ['), signals, more, F.lit('], "red_flags": '), flags, F.lit("}")))
+    flags = F.lit(json.dumps(base["red_flags"]))
+    second = profile(F.when(k % 3 > 0, extra).otherwise(""), F.when(k % 2 == 0, flags).otherwise("{}"))
+    both = table(spark, d, "nation").select("n_nationkey", matching.parity_of(matching.structural_of(profile(F.lit(""), flags)), matching.structural_of(second)).alias("p"))
+    return both.select("n_nationkey", "p.same_flags", "p.signal_count_delta")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'role.title' ELSE '' END AS path, CASE WHEN c_custkey % 2 = 0 THEN 'role' ELSE '' END AS top FROM customer")
@@ -187,6 +190,63 @@ def compiled_candidates(spark, d):
     )
 
 
+class MendingBackend(StatedBackend):
+    """Leaves out the skills of every third text until it is told what was wrong, and of every ninth even then."""
+
+    def generate(self, prompt: str, system: str | None = None, temperature: float = 0.2, max_tokens: int = 2048) -> str:
+        number = re.search(r"number (\d+)", prompt)
+        k = int(number[1]) if number else 1
+        if '{"skills":' in prompt and (k % 9 == 0 or k % 3 == 0 and "broke these rules: skills none" not in prompt):
+            return '{"skills": "none"}'
+        return super().generate(prompt, system, temperature, max_tokens)
+
+
+def _numbered(spark, d: str) -> DataFrame:
+    k = F.col("c_custkey").cast("string")
+    return table(spark, d, "customer").select(k.alias("resume_id"), F.concat(F.lit("Someone works in "), F.col("c_mktsegment"), F.lit(", number "), k, F.lit(".")).alias("text"))
+
+
+@query("""
+    SELECT CAST(c_custkey AS VARCHAR) AS resume_id, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE c_mktsegment || ', Go' END AS skills, CAST(5 + CASE WHEN c_custkey % 9 = 0 THEN 3 WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_calls,
+           CASE WHEN c_custkey % 9 = 0 THEN 1 ELSE 0 END AS n_violations, CASE WHEN c_custkey % 9 = 0 THEN 'profile, signals, skills' ELSE 'profile, signals' END AS defaulted FROM customer""")
+def mended_candidates(spark, d):
+    """The control loop: parts that break a rule are asked for again with what was wrong, twice, and then given up."""
+    none = F.array(F.struct(F.lit("skills").alias("path"), F.lit("none").alias("message")))
+    rules = F.when(F.size("skills") == 0, none).otherwise(F.slice(none, 1, 0))
+    got = compile_candidates(_numbered(spark, d), MendingBackend(), write_table, rules=rules)
+    return got.select("resume_id", F.array_join(F.transform("skills", lambda x: x["name"]), ", ").alias("skills"), F.size("calls").alias("n_calls"), F.size("violations").alias("n_violations"), F.array_join(F.array_sort("defaulted"), ", ").alias("defaulted"))
+
+
+class FailingBackend(StatedBackend):
+    """Answers three of five texts; asks to wait for one, and fails for another. Of a third it gives all but the positions."""
+
+    def generate(self, prompt: str, system: str | None = None, temperature: float = 0.2, max_tokens: int = 2048) -> str:
+        number = re.search(r"number (\d+)", prompt)
+        k = int(number[1]) % 5 if number else 0
+        if k == 1:
+            raise RateLimitError("429: wait")
+        if k == 2:
+            raise TransientBackendError("gave up")
+        if k == 3 and '{"career_history":' in prompt:
+            raise ValueError("cannot say")
+        return super().generate(prompt, system, temperature, max_tokens)
+
+
+@query("""
+    SELECT CAST(c_custkey AS VARCHAR) AS resume_id, CASE c_custkey % 5 WHEN 1 THEN 'rate_limited' WHEN 2 THEN 'transient' WHEN 4 THEN 'invalid' ELSE 'ok' END AS status,
+           CASE c_custkey % 5 WHEN 1 THEN 5 WHEN 2 THEN 5 WHEN 3 THEN 1 ELSE 0 END AS n_failed, CASE WHEN c_custkey % 5 = 4 THEN 'career_history' END AS broken, c_custkey % 5 IN (0, 3) AS scored FROM customer""")
+def typed_outcomes(spark, d):
+    """Sessions with each outcome: ok, invalid, and two ways in which the model failed. Only what is ok has a score."""
+    parsed = parse_resumes(_numbered(spark, d), FailingBackend(), write_table)
+    # A record that was edited into one without positions is invalid.
+    edited = parsed.withColumn("career_history", F.when(F.col("resume_id").cast("long") % 5 == 4, F.slice("career_history", 1, 0)).otherwise(F.col("career_history")))
+    answered, failed = edited.where("status = 'ok'"), edited.where("status <> 'ok'")
+    calls = F.size(F.filter("calls", lambda c: ~c["ok"])).alias("n_failed")
+    fitted = fit_candidates(answered.drop("status", "violations").withColumn("n_failed", calls), pool.ROLE, TermEmbedding(("service", "sales", "led")), ref_date=pool.REF)
+    done = fitted.select("resume_id", "status", "n_failed", F.get("violations", F.lit(0))["path"].alias("broken"), F.col("overall").isNotNull().alias("scored"))
+    return done.unionByName(failed.select("resume_id", "status", calls, F.lit(None).cast("string").alias("broken"), F.lit(False).alias("scored")))
+
+
 #: A general role for made-up résumés: who led and designed is preferred to who helped, and that to who filed.
 STUDY_ROLE = role_of(
     {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed values.
@@ -63,3 +65,16 @@ TABLES = {
         "embeddings": "embedding_id workspace_id owner_type owner_id embedding_model dim vector text metadata_json created_at",
     }.items()
 }
+
+
+def as_type(c: Column, have: T.DataType, want: T.DataType) -> Column:
+    """A nested value with the members of another type by name, in its order; members that it lacks are null."""
+    if have == want:
+        return c
+    if isinstance(have, T.StructType) and isinstance(want, T.StructType):
+        members = {f.name: f.dataType for f in have.fields}
+        made = F.struct(*((as_type(c[f.name], members[f.name], f.dataType) if f.name in members else F.lit(None).cast(f.dataType)).alias(f.name) for f in want.fields))
+        return F.when(c.isNotNull(), made)
+    if isinstance(have, T.ArrayType) and isinstance(want, T.ArrayType):
+        return F.transform(c, lambda x: as_type(x, have.elementType, want.elementType))
+    return c.cast(want)

@@ -46,10 +46,11 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCORES).option("header", True).csv(path)
 
 
-def write_scores(study: DataFrame, path: str) -> None:
-    """Study scores as one CSV: four decimals, null as an empty cell."""
+def write_scores(study: DataFrame, path: str, *, files: int | None = None) -> None:
+    """Study scores as CSV, a file for each task, or `files` of them: four decimals, null as an empty cell."""
+    study = study if files is None else study.coalesce(files)
     four = lambda c: F.format_string("%.4f", F.col(c).cast("double")).alias(c)
-    study.select("jd_slug", "tier", "method", "repeat", four("score"), F.col("tokens").cast("string").alias("tokens"), four("elapsed_s"), "error").coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    study.select("jd_slug", "tier", "method", "repeat", four("score"), F.col("tokens").cast("string").alias("tokens"), four("elapsed_s"), "error").write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def eval_runs(spark: SparkSession, path: str) -> DataFrame:

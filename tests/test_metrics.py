@@ -61,12 +61,6 @@ def test_as_of_with_keys(spark):
     assert got(strict=True) == [("a", 0, None), ("a", 5, None), ("a", 10, "y"), ("b", 10, None)]
 
 
-def test_ladder_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(matching, "LADDER_ROWS", 2)
-    with pytest.raises(ValueError, match="needs `by`"):
-        matching.as_of(spark.range(1), spark.range(3).select(F.col("id").alias("at")), on="id", at="at", take=[])
-
-
 def test_diff_and_upsert(spark):
     a = spark.createDataFrame([(1, "x", "1"), (1, "y", None)], "id int, path string, value string")
     b = spark.createDataFrame([(1, "x", "2"), (1, "z", None), (1, "w", "n")], "id int, path string, value string")
