@@ -6,7 +6,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from fitspark.cluster import ship
-from fitspark.functions.tables import register_tables
 from fitspark.operators.concordance import gamma
 
 #: Bodies are SQL over the arguments, so that the optimizer sees through them.
@@ -27,11 +26,11 @@ TABLE_FUNCTIONS = {
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Create scalar, table and aggregate functions in the session; returns their names."""
+    """Create scalar, table and aggregate functions in the session; returns their names. Table functions in Python are in `tables`."""
     for name, (arguments, kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
     for name, (arguments, columns, body) in TABLE_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS TABLE ({columns}) RETURN {body}")
     ship(spark)
     spark.udf.register("fit_gamma", F.pandas_udf(gamma, "double"))
-    return [*FUNCTIONS, *TABLE_FUNCTIONS, "fit_gamma", *register_tables(spark)]
+    return [*FUNCTIONS, *TABLE_FUNCTIONS, "fit_gamma"]
