@@ -196,7 +196,7 @@ def _verified(t: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def near_words(words: DataFrame, *, block: int = BLOCK) -> DataFrame:
-    """(a, b) of `words` (word: distinct): every two that differ by exactly one inserted, deleted or replaced code point, once."""
+    """(a, b) of `words` (word: distinct, of code points up to U+00FF): every two that differ by exactly one inserted, deleted or replaced code point, once."""
     small_batches(words.sparkSession)
     placed = blocks_of(words, block=block).select("block", "word", "extra", "below")
     # Sorted as a dictionary of beginnings and of endings; a block's words stand side by side.
