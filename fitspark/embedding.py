@@ -92,20 +92,35 @@ def embed_texts(rows: DataFrame, backend: EmbeddingBackend, *, text: str = "text
     return rows.mapInArrow(embedded, rows.withColumn(vector, F.expr("cast(array() as array<double>)")).schema)
 
 
-def embedded_lists(backend: EmbeddingBackend):
-    """A column function that turns an array of texts into their vectors; nothing but the texts goes to Python, and each text of a batch is embedded once."""
+def cosines(vectors: list[list[float]], asked: list[list[float]]) -> np.ndarray:
+    """The cosine similarity of each vector to each asked one; 0 for empty vectors, unequal lengths and zero vectors. A row does not depend on the others."""
+    out = np.zeros((len(vectors), len(asked)))
+    of_length: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        of_length.setdefault(len(v), []).append(i)
+    for k, a in enumerate(asked):
+        at = of_length.get(len(a), []) if len(a) else []
+        if at:
+            m, q = np.array([vectors[i] for i in at], np.float64), np.array(a, np.float64)
+            n = np.sqrt((m * m).sum(axis=1)) * np.sqrt((q * q).sum())
+            out[at, k] = np.divide((m * q).sum(axis=1), n, out=np.zeros(len(at)), where=~(n <= 0))
+    return out
+
+
+def similar_lists(backend: EmbeddingBackend, asked: list[list[float]]):
+    """A column function that turns an array of texts into the similarities of each to the asked vectors; no vector comes back, and each text of a batch is embedded once."""
 
     @F.arrow_udf("array<array<double>>")
-    def vectors(lists: pa.Array) -> pa.Array:
+    def similar(lists: pa.Array) -> pa.Array:
         texts = [x or [] for x in lists.to_pylist()]
         distinct = sorted({t or "" for x in texts for t in x})
-        of = dict(zip(distinct, backend.embed(distinct)))
+        of = dict(zip(distinct, cosines(backend.embed(distinct), asked).tolist()))
         return pa.array([[of[t or ""] for t in x] for x in texts], pa.list_(pa.list_(pa.float64())))
 
-    return vectors
+    return similar
 
 
-def embed_lists(rows: DataFrame, backend: EmbeddingBackend, *, texts: str, vectors: str) -> DataFrame:
-    """Add the vectors of an array of texts, as array<array<double>>."""
+def similarities(rows: DataFrame, backend: EmbeddingBackend, asked: list[list[float]], *, texts: str, into: str) -> DataFrame:
+    """Add the similarities of an array of texts to the asked vectors, as array<array<double>>."""
     ship(rows.sparkSession)
-    return rows.withColumn(vectors, embedded_lists(backend)(F.col(texts)))
+    return rows.withColumn(into, similar_lists(backend, asked)(F.col(texts)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitspark.config import Role
-from fitspark.embedding import EmbeddingBackend, embed_lists
+from fitspark.embedding import EmbeddingBackend, similarities
 from fitspark.functions import arrays, dates, text
 from fitspark.operators.components import response, with_components
 from fitspark.schemas import CANDIDATE
@@ -15,21 +15,20 @@ from fitspark.schemas import CANDIDATE
 def with_similarity(rows: DataFrame, role: Role, backend: EmbeddingBackend) -> DataFrame:
     """Add `dense`, the pooled similarity of a candidate's jobs to each signal, weighted by recency and length.
 
-    The signals' vectors are literals. The arrays of candidates' texts go to Python
-    and their vectors come back; all other columns stay in the JVM, in the same rows,
-    so nothing is shuffled.
+    The arrays of candidates' texts go to Python, where each text of a batch is embedded
+    and compared once, and a number for each signal comes back; all other columns stay in
+    the JVM, in the same rows, so nothing is shuffled.
     """
     asked = backend.embed([s.query for s in role.signals])
     carried = rows.withColumn("_texts", F.transform("chunks", lambda c: c["text"]))
-    got = embed_lists(carried, backend, texts="_texts", vectors="_vectors")
+    got = similarities(carried, backend, asked, texts="_texts", into="_similar")
     weights = F.transform("chunks", lambda c: c["weight"])
     total = arrays.total(weights)
 
-    def pooled(v: list[float]) -> Column:
-        sims = F.transform("_vectors", lambda x: arrays.cosine(x, F.array(*(F.lit(float(y)) for y in v))))
-        return F.coalesce(F.try_divide(arrays.dot(sims, weights), total), F.lit(0.0))
+    def pooled(k: int) -> Column:
+        return F.coalesce(F.try_divide(arrays.dot(F.transform("_similar", lambda x: F.get(x, F.lit(k))), weights), total), F.lit(0.0))
 
-    return got.withColumn("dense", F.array(*(pooled(v) for v in asked))).drop("_texts", "_vectors")
+    return got.withColumn("dense", F.array(*(pooled(k) for k in range(len(asked))))).drop("_texts", "_similar")
 
 
 def score_candidates(candidates: DataFrame, role: Role, backend: EmbeddingBackend, *, ref_date: str | None = None) -> DataFrame:

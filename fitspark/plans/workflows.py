@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitspark.backends import MockBackend, MockJudge, RateLimitError, TransientBackendError, ask
-from fitspark.cluster import shared_dir
+from fitspark.cluster import shared_dir, spread
 from fitspark.config import role_of
 from fitspark.embedding import HashEmbedding, TermEmbedding
 from fitspark.functions import arrays, jsonx, text
@@ -262,8 +262,9 @@ STUDY_ROLE = role_of(
 
 
 def made_resumes(spark, d: str) -> DataFrame:
-    jobs = table(spark, d, "part").select(F.concat(F.lit("job"), F.col("p_partkey").cast("string")).alias("jd_slug"), F.col("p_type").alias("title"), F.array("p_brand", "p_name").alias("skills"))
-    return study.make_resumes(jobs).join(jobs.select("jd_slug", F.col("title").alias("jd_text")), "jd_slug")
+    parts = spread(table(spark, d, "part").select("p_partkey", "p_type", "p_brand", "p_name"))
+    jobs = parts.select(F.concat(F.lit("job"), F.col("p_partkey").cast("string")).alias("jd_slug"), F.col("p_type").alias("title"), F.array("p_brand", "p_name").alias("skills"), F.col("p_type").alias("jd_text"))
+    return study.make_resumes(jobs)
 
 
 @query("""

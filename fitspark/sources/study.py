@@ -65,7 +65,7 @@ SCHOOLS = ("State University", "City College", "Institute of Technology")
 
 
 def make_resumes(jobs: DataFrame) -> DataFrame:
-    """Three résumés, one of each tier, for each job (jd_slug, title, skills array), the same on every run.
+    """Three résumés, one of each tier, for each job (jd_slug, title, skills array), the same on every run; the job's other columns come last.
 
     Choices are hashes of slug and tier, so they depend on neither process nor order.
     """
@@ -87,7 +87,7 @@ def make_resumes(jobs: DataFrame) -> DataFrame:
         F.lit("SKILLS"), F.array_join(skills, ", "),
         F.concat(by_tier(F.lit(15), F.lit(60), F.lit(120)).cast("string"), F.lit(" days notice")),
     )
-    return rows.select("jd_slug", "tier", body.alias("text"))
+    return rows.select("jd_slug", "tier", body.alias("text"), *(c for c in jobs.columns if c not in ("jd_slug", "title", "skills", "tier", "text")))
 
 
 ENTRY = r"(?m)^(.+?), (.+?) \((\d+) years?, (Present|\+\d+y)\)$"

@@ -428,3 +428,14 @@ def test_study_scores_cover_all_jobs(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_type string, p_brand string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
     got = workflows.study_scores(spark, str(tmp_path)).groupBy("jd_slug").count().collect()
     assert {r["jd_slug"] for r in got} == {f"job{k}" for k in range(1, 81)} and {r["count"] for r in got} == {3 * 3 * 2}
+
+
+def test_made_resumes_are_spread(spark, tmp_path):
+    from fitspark.plans import workflows
+
+    rows = spark.range(12_001).selectExpr("id AS p_partkey", "'type' AS p_type", "'brand' AS p_brand", "'name' AS p_name")
+    rows.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    made = workflows.made_resumes(spark, str(tmp_path))
+    sizes = made.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 3 and sum(r["count"] for r in sizes) == 3 * 12_001 and max(r["count"] for r in sizes) < 3 * 5_000
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()

@@ -93,3 +93,20 @@ def test_summaries_of_profiles_equal_those_of_the_driver(spark):
     row = df.select("a", "b", matching.parity_of(F.col("a"), F.col("b")).alias("p")).first().asDict(recursive=True)
     assert row["a"] == structural(role_of(base)) and row["b"] == structural(role_of(more))
     assert row["p"] == parity(row["a"], row["b"])
+
+
+def test_only_similarities_come_back_from_python(spark):
+    from fitspark.embedding import cosines, similarities
+
+    class Given:
+        model, dim = "given", 2
+
+        def embed(self, texts):
+            return [{"east": [3.0, 0.0], "north": [0.0, 2.0], "both": [1.0, 1.0], "": [], "odd": [1.0], "none": [0.0, 0.0]}[t] for t in texts]
+
+    rows = spark.createDataFrame([(1, ["east", "both", None]), (2, []), (3, None), (4, ["odd", "none", "north", "north"])], "id int, texts array<string>")
+    got = {r["id"]: r["s"] for r in similarities(rows, Given(), [[1.0, 0.0], [0.0, 1.0], []], texts="texts", into="s").collect()}
+    half = 0.5**0.5
+    assert got[2] == got[3] == [] and got[4] == [[0.0] * 3, [0.0] * 3, [0.0, 1.0, 0.0], [0.0, 1.0, 0.0]]
+    assert [[round(x, 12) for x in s] for s in got[1]] == [[1.0, 0.0, 0.0], [round(half, 12)] * 2 + [0.0], [0.0] * 3]
+    assert cosines([], [[1.0]]).shape == (0, 1)
