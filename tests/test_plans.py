@@ -439,3 +439,11 @@ def test_made_resumes_are_spread(spark, tmp_path):
     sizes = made.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 3 and sum(r["count"] for r in sizes) == 3 * 12_001 and max(r["count"] for r in sizes) < 3 * 5_000
     assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_resume_fields_are_read_by_several_tasks(spark, tmp_path):
+    from fitspark.plans import workflows
+
+    rows = spark.range(10_001).selectExpr("id AS p_partkey", "'type' AS p_type", "'brand' AS p_brand", "'name' AS p_name")
+    rows.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert workflows.resume_fields(spark, str(tmp_path)).rdd.getNumPartitions() == 3
