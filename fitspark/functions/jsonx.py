@@ -36,7 +36,8 @@ def balanced(c: Column, opening: str, closing: str) -> Column:
 
 def tolerant_json(c: Column) -> Column:
     """The JSON value in an answer, as VARIANT: the whole text, else a fenced block, else the first balanced object, else array; null if none parses."""
-    parse = F.try_parse_json
+    # A text that begins otherwise is no JSON: an attempt to parse it would cost an exception.
+    parse = lambda x: F.when(x.rlike(r'^\s*[\[{"0-9tfn-]'), F.try_parse_json(x))
     fenced = F.nullif(F.regexp_extract(c, r"(?s)```(?:json|JSON)?\s*(.*?)```", 1), F.lit(""))
     return F.coalesce(parse(F.trim(c)), parse(F.trim(fenced)), parse(balanced(c, "{", "}")), parse(balanced(c, "[", "]")))
 

@@ -52,35 +52,37 @@ def items(v: Column, path: str) -> Column:
     return F.filter(every, lambda e: F.schema_of_variant(e).startswith("OBJECT"))
 
 
-def date_text(c: Column) -> Column:
-    """The date in ISO form, or null."""
-    return F.date_format(dates.parse_date(c), "yyyy-MM-dd")
-
-
 def career(v: Column, ref: Column, path: str = "career_history", most: int = 10) -> Column:
     """Up to `most` positions, one at least. One that is current, or whose end is no date, goes on; lengths follow from the dates."""
 
-    def entry(e: Column) -> Column:
-        end = date_text(words(e, "end_date"))
-        current = F.coalesce(truth(e, "is_current"), F.lit(False)) | end.isNull()
-        start = F.coalesce(date_text(words(e, "start_date")), F.date_format(F.date_sub(ref, DAYS_BEFORE), "yyyy-MM-dd"))
-        length = F.greatest(F.lit(0.0), dates.months(F.to_date(start), F.when(current, ref).otherwise(F.to_date(end))))
-        given = number(e, "duration_months")
-        title, company = words(e, "title", DEFAULT_JOB["title"]), words(e, "company", DEFAULT_COMPANY)
+    def stated(e: Column) -> Column:
+        """What an entry states, each member read once; lambdas compute an expression again wherever it stands."""
+        return F.struct(
+            dates.parse_date(words(e, "start_date")).alias("start"), dates.parse_date(words(e, "end_date")).alias("end"), truth(e, "is_current").alias("current"), number(e, "duration_months").alias("given"),
+            words(e, "title", DEFAULT_JOB["title"]).alias("title"), words(e, "company", DEFAULT_COMPANY).alias("company"), words(e, "industry", DEFAULT_INDUSTRY).alias("industry"), member(e, "company_size").alias("size"), F.nullif(words(e, "description"), F.lit("")).alias("description"),
+        )
+
+    def entry(s: Column) -> Column:
+        current = F.coalesce(s["current"], F.lit(False)) | s["end"].isNull()
+        start = F.coalesce(s["start"], F.date_sub(ref, DAYS_BEFORE))
+        length = F.greatest(F.lit(0.0), dates.months(start, F.when(current, ref).otherwise(s["end"])))
         return F.struct(
-            company.alias("company"),
-            title.alias("title"),
-            start.alias("start_date"),
-            F.when(~current, end).alias("end_date"),
-            F.bround(F.when(given >= 0, given).otherwise(length)).cast("int").alias("duration_months"),
+            s["company"].alias("company"),
+            s["title"].alias("title"),
+            F.date_format(start, "yyyy-MM-dd").alias("start_date"),
+            F.when(~current, F.date_format(s["end"], "yyyy-MM-dd")).alias("end_date"),
+            F.bround(F.when(s["given"] >= 0, s["given"]).otherwise(length)).cast("int").alias("duration_months"),
             current.alias("is_current"),
-            words(e, "industry", DEFAULT_INDUSTRY).alias("industry"),
-            one_of(member(e, "company_size"), COMPANY_SIZES, DEFAULT_SIZE).alias("company_size"),
-            F.coalesce(F.nullif(words(e, "description"), F.lit("")), F.concat(title, F.lit(" at "), company, F.lit("."))).alias("description"),
+            s["industry"].alias("industry"),
+            one_of(s["size"], COMPANY_SIZES, DEFAULT_SIZE).alias("company_size"),
+            F.coalesce(s["description"], F.concat(s["title"], F.lit(" at "), s["company"], F.lit("."))).alias("description"),
         )
 
-    got = F.slice(F.transform(items(v, path), entry), 1, most)
-    return F.when(F.size(got) > 0, got).otherwise(F.array(entry(F.parse_json(F.lit("{}")))))
+    def listed(every: Column) -> Column:
+        some = F.when(F.size(every) > 0, every).otherwise(F.array(F.parse_json(F.lit("{}"))))
+        return F.transform(F.transform(some, stated), entry)
+
+    return arrays.bound(F.slice(items(v, path), 1, most), listed)
 
 
 def education(v: Column, path: str = "education", most: int = 5) -> Column:
@@ -90,7 +92,7 @@ def education(v: Column, path: str = "education", most: int = 5) -> Column:
         end = dates.clamp_int(member(e, "end_year", "double"), 1970, 2035, 2019)
         return F.struct(at("institution"), at("degree"), at("field_of_study"), start.alias("start_year"), F.greatest(start, end).alias("end_year"), F.nullif(words(e, "grade"), F.lit("")).alias("grade"), one_of(member(e, "tier"), EDUCATION_TIERS, "unknown").alias("tier"))
 
-    return F.slice(F.transform(items(v, path), entry), 1, most)
+    return F.transform(F.slice(items(v, path), 1, most), entry)
 
 
 def skills(v: Column, path: str = "skills") -> Column:

@@ -178,7 +178,8 @@ class StatedBackend(MockBackend):
 def compiled_candidates(spark, d):
     """Texts compiled by a model whose answers need coercion: every row satisfies every rule."""
     k = F.col("c_custkey").cast("string")
-    texts = table(spark, d, "customer").select(k.alias("resume_id"), F.concat(F.lit("Someone works in "), F.col("c_mktsegment"), F.lit(", number "), k, F.lit(". "), (F.col("c_custkey") % 5 * 15).cast("string"), F.lit(" days notice.")).alias("text"))
+    customers = spread(table(spark, d, "customer").select("c_custkey", "c_mktsegment"))
+    texts = customers.select(k.alias("resume_id"), F.concat(F.lit("Someone works in "), F.col("c_mktsegment"), F.lit(", number "), k, F.lit(". "), (F.col("c_custkey") % 5 * 15).cast("string"), F.lit(" days notice.")).alias("text"))
     got = compile_candidates(texts, StatedBackend(), write_table)
     job, lead, degree = F.get("career_history", F.lit(0)), F.get("career_history", F.lit(1)), F.get("education", F.lit(0))
     said = F.array_join(F.transform("skills", lambda x: F.concat_ws(":", x["name"], x["proficiency"], x["endorsements"].cast("string"))), ", ")

@@ -447,3 +447,34 @@ def test_resume_fields_are_read_by_several_tasks(spark, tmp_path):
     rows = spark.range(10_001).selectExpr("id AS p_partkey", "'type' AS p_type", "'brand' AS p_brand", "'name' AS p_name")
     rows.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     assert workflows.resume_fields(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_customers_are_compiled_by_several_tasks(spark, tmp_path, monkeypatch):
+    from fitspark.plans import workflows
+
+    rows = spark.range(1, 10_002).selectExpr("id AS c_custkey", "'M' AS c_mktsegment")
+    rows.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    seen = []
+
+    def compiled(texts, *args, **kwargs):
+        seen.append(texts.rdd.getNumPartitions())
+        raise InterruptedError
+
+    monkeypatch.setattr(workflows, "compile_candidates", compiled)
+    monkeypatch.setattr(workflows, "parse_resumes", compiled)
+    for query in (workflows.compiled_candidates, workflows.mended_candidates, workflows.typed_outcomes):
+        with pytest.raises(InterruptedError):
+            query(spark, str(tmp_path))
+    assert seen == [3, 3, 3]
+
+
+def test_positions_beyond_the_most_are_not_coerced(spark):
+    from fitspark.operators import coerce
+
+    job = lambda k: {"title": f"t{k}", "start_date": "2020-1-5", "end_date": "2021-01-05" if k else "Present", "duration_months": -1}
+    answers = [json.dumps({"career_history": x}) for x in ([job(k) for k in range(12)], [1, "x", job(3)], [], 5, [{"end_date": "2019-02-30", "is_current": False}])]
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, a string")
+    got = {r["i"]: r["c"] for r in rows.select("i", coerce.career(F.try_parse_json("a"), F.to_date(F.lit("2026-06-06"))).alias("c")).collect()}
+    assert [(j["title"], j["end_date"], j["duration_months"], j["is_current"]) for j in got[0]][:2] == [("t0", None, 77, True), ("t1", "2021-01-05", 12, False)] and len(got[0]) == 10
+    assert [j["title"] for j in got[1]] == ["t3"] and [len(got[i]) for i in (2, 3, 4)] == [1, 1, 1]
+    assert got[2] == got[3] and got[2][0]["description"] == "Unknown Title at Unknown Company." and got[2][0]["is_current"] and got[4][0]["end_date"] is None and got[4][0]["is_current"]
