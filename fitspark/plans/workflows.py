@@ -204,7 +204,8 @@ class MendingBackend(StatedBackend):
 
 def _numbered(spark, d: str) -> DataFrame:
     k = F.col("c_custkey").cast("string")
-    return table(spark, d, "customer").select(k.alias("resume_id"), F.concat(F.lit("Someone works in "), F.col("c_mktsegment"), F.lit(", number "), k, F.lit(".")).alias("text"))
+    customers = spread(table(spark, d, "customer").select("c_custkey", "c_mktsegment"))
+    return customers.select(k.alias("resume_id"), F.concat(F.lit("Someone works in "), F.col("c_mktsegment"), F.lit(", number "), k, F.lit(".")).alias("text"))
 
 
 @query("""
