@@ -241,7 +241,7 @@ def typed_outcomes(spark, d):
     """Sessions with each outcome: ok, invalid, and two ways in which the model failed. Only what is ok has a score."""
     parsed = parse_resumes(_numbered(spark, d), FailingBackend(), write_table)
     # A record that was edited into one without positions is invalid.
-    edited = parsed.withColumn("career_history", F.when(F.col("resume_id").cast("long") % 5 == 4, F.slice("career_history", 1, 0)).otherwise(F.col("career_history")))
+    edited = spread(parsed).withColumn("career_history", F.when(F.col("resume_id").cast("long") % 5 == 4, F.slice("career_history", 1, 0)).otherwise(F.col("career_history")))
     answered, failed = edited.where("status = 'ok'"), edited.where("status <> 'ok'")
     calls = F.size(F.filter("calls", lambda c: ~c["ok"])).alias("n_failed")
     fitted = fit_candidates(answered.drop("status", "violations").withColumn("n_failed", calls), pool.ROLE, TermEmbedding(("service", "sales", "led")), ref_date=pool.REF)
