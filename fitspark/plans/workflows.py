@@ -15,7 +15,7 @@ from fitspark.config import role_of
 from fitspark.embedding import HashEmbedding, TermEmbedding
 from fitspark.functions import arrays, jsonx, text
 from fitspark.functions.register import register
-from fitspark.operators import coerce, matching, metrics
+from fitspark.operators import coerce, matching, metrics, quantiles
 from fitspark.operators import ranking as rank
 from fitspark.operators.score import score_candidates
 from fitspark.plans import candidates as pool
@@ -327,9 +327,18 @@ def session_metrics(spark, d):
     FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
 def order_cube(spark, d):
     """All groupings of two columns; the approximate number of customers is within a tenth of the exact one."""
-    near = F.abs(F.approx_count_distinct("o_custkey", 0.02) - F.count_distinct("o_custkey")) <= 0.1 * F.count_distinct("o_custkey") + 2
-    g = table(spark, d, "orders").cube(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
-    return g.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"), near.alias("distinct_is_close"), F.round(F.percentile("o_totalprice", 0.5), 4).alias("median"))
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), "o_custkey", "o_totalprice")
+    by = ["status", "priority"]
+    # One aggregation would key the sketches and values by customer, too, and end in a task for all rows.
+    sums = o.cube(*by).agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"), F.approx_count_distinct("o_custkey", 0.02).alias("near"))
+    customers = o.where("o_custkey is not null").select(*by, "o_custkey").distinct().select("o_custkey", F.inline(quantiles.groupings(by)))
+    exact = customers.distinct().groupBy("level", *by).agg(F.count(F.lit(1)).alias("exact"))
+    median = quantiles.cube_quantile(o, by=by, value="o_totalprice", p=0.5)
+    out = sums
+    for more in (exact, median):
+        out = out.alias("o").join(more.alias("m"), (F.col("o.level") == F.col("m.level")) & F.col("o.status").eqNullSafe(F.col("m.status")) & F.col("o.priority").eqNullSafe(F.col("m.priority")), "left").select("o.*", *(f"m.{c}" for c in more.columns if c not in ("level", *by)))
+    count = F.coalesce("exact", F.lit(0))
+    return out.select(*by, "level", "n", "total", (F.abs(F.col("near") - count) <= 0.1 * count + 2).alias("distinct_is_close"), F.round("quantile", 4).alias("median"))
 
 
 @query("""

@@ -83,3 +83,26 @@ def test_leaderboard_and_heaviest(spark):
     assert [x["pos"] for x in split["must"]] == [1, 2, 3, 0] and [x["pos"] for x in split["nice"]] == [4]
     ok, bad = ranking.split_status(spark.createDataFrame([("ok",), ("invalid",), (None,)], "status string"))
     assert (ok.count(), bad.count()) == (1, 2)
+
+
+def test_cube_quantile_equals_percentile(spark):
+    import random
+
+    from fitspark.operators.quantiles import cube_quantile
+
+    r = random.Random(3)
+    data = [(r.choice(["a", "b", None]), r.choice([1, 2, 3]), r.choice([None, 1.0, 2.5, -0.5, r.random() * 9])) for _ in range(3000)] + [("c", 4, None), ("d", 5, 7.0), ("e", 6, 1.0), ("e", 6, 2.0)]
+    rows = spark.createDataFrame(data, "s string, k int, v double")
+    for p in (0.0, 0.37, 0.5, 1.0):
+        want = rows.cube("s", "k").agg(F.grouping_id().alias("level"), F.percentile("v", p).alias("q")).where("q is not null").select("level", "s", "k", F.round("q", 9).alias("q")).collect()
+        for bins in (1, 5, 256):
+            got = cube_quantile(rows, by=["s", "k"], value="v", p=p, bins=bins).select("level", "s", "k", F.round("quantile", 9).alias("q")).collect()
+            assert sorted(map(repr, got)) == sorted(map(repr, want)), (p, bins)
+    assert cube_quantile(rows.where("v > 99"), by=["s", "k"], value="v", p=0.5).count() == 0
+
+
+def test_the_cube_holds_no_values_of_a_group(spark):
+    from fitspark.plans.workflows import order_cube
+
+    plan = order_cube(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan and "distinct o_custkey" not in plan
