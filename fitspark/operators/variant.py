@@ -1,52 +1,78 @@
-"""Documents of any shape: leaves with their paths, and corrections between two versions, by recursive queries over VARIANT."""
+"""Documents of any shape: leaves with their paths, and corrections between two versions, by folds over the levels of a document's VARIANT."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels that a recursion may have at most.
-DEPTH = 200
+from fitspark.functions import arrays
 
+OBJECT, LIST = "map<string,variant>", "array<variant>"
 
-def _recursive(spark: SparkSession, query: str, rows: DataFrame) -> DataFrame:
-    """A recursive query over {rows}. The session's bound of rows is lifted: the levels of the documents bound the recursion."""
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(query, rows=rows)
 
+def _document(rows: DataFrame, c: str) -> Column:
+    return F.try_parse_json(F.col(c)) if rows.schema[c].dataType.simpleString() == "string" else F.col(c)
 
-def _keys(keys: list[str]) -> str:
-    return ", ".join(f"`{k}`" for k in keys)
 
+def kind_of(v: Column) -> Column:
+    """The name of a value's type. It walks through all of the value: for leaves."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
-def kind_of(v: str) -> str:
-    return f"regexp_extract(schema_of_variant({v}), '^[A-Z]+', 0)"
+
+def _under(path: Column, name: Column) -> Column:
+    return F.when(path == "", name).otherwise(F.concat(path, F.lit("."), name))
+
+
+def _levels(rows: DataFrame, c: str) -> Column:
+    """A bound of the levels of a document: it has no more than brackets that open."""
+    json = F.col(c) if rows.schema[c].dataType.simpleString() == "string" else F.to_json(F.col(c))
+    return F.coalesce(F.length(json) - F.length(F.translate(json, "{[", "")), F.lit(0))
+
+
+def _opened(start: Column, levels: Column, children) -> Column:
+    """The nodes (structs with a boolean `open`) that are left when all that are open are replaced by children(node), level by level."""
+
+    def state(nodes: Column) -> Column:
+        # Whether any is open is kept, so that steps beyond the last level cost nothing, however many nodes there are.
+        return arrays.bound(nodes, lambda n: F.struct(F.exists(n, lambda x: x["open"]).alias("more"), n.alias("nodes")))
+
+    def step(s: Column, _: Column) -> Column:
+        return F.when(s["more"], state(F.flatten(F.transform(s["nodes"], lambda x: F.when(x["open"], children(x)).otherwise(F.array(x)))))).otherwise(s)
+
+    return F.aggregate(F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.expr("cast(array() as array<int>)")), state(start), step, lambda s: s["nodes"])
 
 
 def json_leaves(docs: DataFrame, *, keys: list[str], doc: str = "doc", arrays: bool = True) -> DataFrame:
     """(keys, path, kind, value) of every leaf of the documents in column `doc` (VARIANT, or text in JSON).
 
-    A recursive query opens objects and, if `arrays`, lists level by level with
-    variant_explode. path is dotted, items as [i]; kind is the leaf's type; value is
-    JSON. Empty objects and lists are leaves. Null documents and text that is no JSON
-    have none. Repeated rows give repeated leaves.
+    A fold opens a document's objects and, if `arrays`, lists level by level, as deep as
+    they go, so that no row is joined, shuffled or kept between levels. path is dotted,
+    items as [i]; kind is the leaf's type; value is JSON. Empty objects and lists are
+    leaves. Null documents and text that is no JSON have none. Repeated rows give
+    repeated leaves.
     """
-    value = F.try_parse_json(F.col(doc)) if docs.schema[doc].dataType.simpleString() == "string" else F.col(doc)
-    rows = docs.select(*keys, F.lit("").alias("path"), value.alias("v")).where("v is not null")
-    k = _keys(keys)
-    opened = f"(({kind_of('v')} = 'OBJECT' AND to_json(v) <> '{{{{}}}}')" + (f" OR ({kind_of('v')} = 'ARRAY' AND to_json(v) <> '[]'))" if arrays else ")")
-    return _recursive(
-        docs.sparkSession,
-        f"""
-        WITH RECURSIVE step MAX RECURSION LEVEL {DEPTH} AS (
-          SELECT {k}, path, v, {opened} AS open FROM {{rows}}
-          UNION ALL
-          SELECT {k}, path, v, {opened} AS open FROM (
-            SELECT {k}, CASE WHEN e.key IS NULL THEN concat(path, '[', e.pos, ']') WHEN path = '' THEN e.key ELSE concat(path, '.', e.key) END AS path, e.value AS v
-            FROM step, LATERAL variant_explode(step.v) AS e WHERE step.open))
-        SELECT {k}, path, {kind_of("v")} AS kind, to_json(v) AS value FROM step WHERE NOT open""",
-        rows,
-    )
+
+    def node(x: Column) -> Column:
+        some = lambda c: F.coalesce(F.size(x[c]) > 0, F.lit(False))
+        return F.struct(*(x[c].alias(c) for c in ("path", "v", "members", "items")), (some("members") | some("items")).alias("open"))
+
+    def read(x: Column) -> Column:
+        # Members or items are null if it is no object or list.
+        items = F.try_variant_get(x["v"], "$", LIST) if arrays else F.lit(None).cast(LIST)
+        return F.struct(x["path"].alias("path"), x["v"].alias("v"), F.try_variant_get(x["v"], "$", OBJECT).alias("members"), items.alias("items"))
+
+    def nodes(x: Column) -> Column:
+        return F.transform(F.transform(x, read), node)
+
+    def children(x: Column) -> Column:
+        members = F.transform(F.map_entries(x["members"]), lambda e: F.struct(_under(x["path"], e["key"]).alias("path"), e["value"].alias("v")))
+        items = F.transform(x["items"], lambda v, i: F.struct(F.concat(x["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"), v.alias("v")))
+        return nodes(F.coalesce(members, items))
+
+    rows = docs.select(*keys, _document(docs, doc).alias("_v"), _levels(docs, doc).alias("_levels")).where("_v is not null")
+    start = nodes(F.array(F.struct(F.lit("").alias("path"), F.col("_v").alias("v"))))
+    leaves = rows.select(*keys, F.inline(F.transform(_opened(start, F.col("_levels"), children), lambda x: F.struct(x["path"].alias("path"), x["v"].alias("v")))))
+    return leaves.select(*keys, "path", kind_of(F.col("v")).alias("kind"), F.to_json("v").alias("value"))
 
 
 def json_corrections(pairs: DataFrame, *, keys: list[str], before: str = "before", after: str = "after") -> DataFrame:
@@ -57,31 +83,29 @@ def json_corrections(pairs: DataFrame, *, keys: list[str], before: str = "before
     document itself. Numbers that are equal are the same however they are written; objects are the
     same whatever the order of their members. Null, and text that is no JSON, counts as null.
 
-    Each level of the recursion opens the pairs of objects that differ, so equal
-    parts are left at once, and no row is joined or shuffled.
+    A fold over the levels opens the pairs of objects and drops what is equal, so each
+    value is compared once, and no row is joined, shuffled or kept between levels.
     """
-    value = lambda c: F.try_parse_json(F.col(c)) if pairs.schema[c].dataType.simpleString() == "string" else F.col(c)
-    rows = pairs.select(*keys, F.lit("").alias("path"), value(before).alias("b"), value(after).alias("a"))
-    k = _keys(keys)
-    opened = f"coalesce({kind_of('b')} = 'OBJECT' AND {kind_of('a')} = 'OBJECT', false)"
-    shown = lambda v: f"nullif(to_json({v}), 'null')"
-    differ = f"NOT ({shown('b')} <=> {shown('a')}) AND NOT coalesce({_number('b')} = {_number('a')}, false)"
-    return _recursive(
-        pairs.sparkSession,
-        f"""
-        WITH RECURSIVE step MAX RECURSION LEVEL {DEPTH} AS (
-          SELECT {k}, path, b, a, {opened} AS open FROM {{rows}} WHERE {differ}
-          UNION ALL
-          SELECT {k}, path, b, a, {opened} AS open FROM (
-            SELECT {k}, if(path = '', name, concat(path, '.', name)) AS path, element_at(bm, name) AS b, element_at(am, name) AS a
-            FROM (SELECT {k}, path, bm, am, explode(array_union(map_keys(bm), map_keys(am))) AS name
-                  FROM (SELECT {k}, path, try_variant_get(b, '$', 'map<string,variant>') AS bm, try_variant_get(a, '$', 'map<string,variant>') AS am FROM step WHERE open)))
-          WHERE {differ})
-        SELECT {k}, path, {shown("b")} AS before, {shown("a")} AS after FROM step WHERE NOT open""",
-        rows,
-    )
-
-
-def _number(v: str) -> str:
+
+    def shown(v: Column) -> Column:
+        return F.nullif(F.to_json(v), F.lit("null"))
+
+    def differing(pairs: Column) -> Column:
+        """The (path, b, a) that are two objects, which are open, or differ."""
+        read = F.transform(pairs, lambda x: F.struct(*(x[c].alias(c) for c in ("path", "b", "a")), F.try_variant_get(x["b"], "$", OBJECT).alias("bm"), F.try_variant_get(x["a"], "$", OBJECT).alias("am")))
+        told = F.transform(read, lambda x: F.struct(*(x[c].alias(c) for c in ("path", "b", "a", "bm", "am")), (x["bm"].isNotNull() & x["am"].isNotNull()).alias("open")))
+        return F.filter(told, lambda x: x["open"] | ~shown(x["b"]).eqNullSafe(shown(x["a"])) & ~F.coalesce(_number(x["b"]) == _number(x["a"]), F.lit(False)))
+
+    def children(x: Column) -> Column:
+        names = F.array_union(F.map_keys(x["bm"]), F.map_keys(x["am"]))
+        return differing(F.transform(names, lambda n: F.struct(_under(x["path"], n).alias("path"), F.element_at(x["bm"], n).alias("b"), F.element_at(x["am"], n).alias("a"))))
+
+    rows = pairs.select(*keys, _document(pairs, before).alias("_b"), _document(pairs, after).alias("_a"), F.least(_levels(pairs, before), _levels(pairs, after)).alias("_levels"))
+    start = differing(F.array(F.struct(F.lit("").alias("path"), F.col("_b").alias("b"), F.col("_a").alias("a"))))
+    told = F.transform(_opened(start, F.col("_levels"), children), lambda x: F.struct(x["path"].alias("path"), shown(x["b"]).alias("before"), shown(x["a"]).alias("after")))
+    return rows.select(*keys, F.inline(told)).select(*keys, "path", "before", "after")
+
+
+def _number(v: Column) -> Column:
     """The value of a number, null for all else: a text is no number."""
-    return f"CASE WHEN {kind_of(v)} IN ('BIGINT', 'DECIMAL', 'DOUBLE', 'FLOAT') THEN try_variant_get({v}, '$', 'double') END"
+    return F.when(kind_of(v).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(v, "$", "double"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fitspark.cluster import spread
 from fitspark.functions import text
 from fitspark.operators import variant
 from fitspark.operators.schema import first_schema_violation
@@ -91,7 +92,7 @@ DEEP = [f"l{i}" for i in range(9)]
 
 def _versions(spark, d):
     """Two versions of a document of eleven levels for each order: a deep value, a list, members that come and go, a type that changes."""
-    o = table(spark, d, "orders")
+    o = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey"), task_rows=20_000)
     n, custkey = F.col("o_orderkey"), F.col("o_custkey").cast("string")
 
     def version(value: Column, items: Column, rest: Column) -> Column:
@@ -109,7 +110,7 @@ def _versions(spark, d):
     UNION ALL SELECT o_orderkey, 'gone', '{{"a":1}}', NULL FROM orders WHERE o_orderkey % 4 = 0
     UNION ALL SELECT o_orderkey, 'n', '2.5', '{{"new":true}}' FROM orders WHERE o_orderkey % 4 = 1""")
 def json_corrections(spark, d):
-    """What a second version changed, without a schema, by recursion into the objects that differ."""
+    """What a second version changed, without a schema, by a fold over pairs of objects."""
     return variant.json_corrections(_versions(spark, d), keys=["o_orderkey"])
 
 

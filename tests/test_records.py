@@ -145,3 +145,11 @@ def test_references_equal_the_full_decoder(spark):
     assert [(x.t, x.u) for x in rows if x.u != html.unescape(x.t)] == []
     assert spark.range(1).select(unescape(F.lit(None).cast("string")).alias("u")).first()["u"] is None
     assert spark.range(1).select(html_text(F.lit("<p>It&#8217;s &eacute;t&eacute; &mdash; &#x1F600;</p>")).alias("u")).first()["u"] == "It’s été — \U0001f600"
+
+
+def test_corrections_do_not_shuffle(spark):
+    df = spark.createDataFrame([(1, '{"a": {"b": 1}}', '{"a": {"b": 2, "c": {}}}')], "id int, before string, after string")
+    out = json_corrections(df, keys=["id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "UnionLoop" not in plan
+    assert sorted(map(tuple, out.collect())) == [(1, "a.b", "1", "2"), (1, "a.c", None, "{}")]
