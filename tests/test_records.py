@@ -153,3 +153,28 @@ def test_corrections_do_not_shuffle(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "UnionLoop" not in plan
     assert sorted(map(tuple, out.collect())) == [(1, "a.b", "1", "2"), (1, "a.c", None, "{}")]
+
+
+def leaves(v, path=""):
+    if isinstance(v, dict) and v:
+        return [x for k in v for x in leaves(v[k], f"{path}.{k}" if path else k)]
+    if isinstance(v, list) and v:
+        return [x for i, e in enumerate(v) for x in leaves(e, f"{path}[{i}]")]
+    return [(path, v)]
+
+
+def test_leaves_equal_a_plain_recursion_without_a_shuffle(spark):
+    r = random.Random(8)
+    docs = [{k: random_value(r, 5) for k in "ab"} for _ in range(150)]
+    deep = [1]
+    for _ in range(250):
+        deep = {"x": deep, "y": None}
+    docs += [deep, [{"a": i} for i in range(2000)], {"{[{[": "{{{", "n": [None, {"m": None}]}]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(docs)], "id int, doc string")
+    out = json_leaves(df, keys=["id"])
+    got = sorted((x.id, x.path, x.value) for x in out.collect())
+    assert got == sorted((i, p, json.dumps(v, separators=(",", ":"), ensure_ascii=False)) for i, x in enumerate(docs) for p, v in leaves(x))
+    both = json_corrections(df.select("id", F.lit("{}").alias("before"), F.col("doc").alias("after")), keys=["id"])
+    for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (out, both)):
+        assert "Exchange" not in plan and "UnionLoop" not in plan
+    assert both.where("id = 150").count() == 1
