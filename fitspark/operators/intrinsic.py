@@ -53,10 +53,12 @@ def facts() -> dict[str, Column]:
     def too_early(c: Column) -> Column:
         out = F.lit(False)
         for name, year in METHOD["first_years"].items():
-            out = out | (F.lower(F.coalesce(c["name"], F.lit(""))).contains(name) & (falsy(c["year"], 9999) < year))
+            out = out | (c["name"].contains(name) & (c["year"] < year))
         return out
 
-    early = F.exists(certs, too_early)
+    # Lambdas compute an expression again wherever it stands, so names are lowered in a step of their own.
+    named = F.transform(certs, lambda c: F.struct(F.lower(F.coalesce(c["name"], F.lit(""))).alias("name"), falsy(c["year"], 9999).alias("year")))
+    early = F.exists(named, too_early)
     spans = F.filter(F.transform(F.coalesce(F.col("education"), F.expr("array()").cast(CANDIDATE["education"].dataType)), lambda e: F.struct(e["start_year"].alias("a"), e["end_year"].alias("b"))), lambda e: (falsy(e["a"], 0) != 0) & (falsy(e["b"], 0) != 0))
     s = F.col("signals")
     given = lambda name, default: F.coalesce(s[name].cast("double"), F.lit(float(default)))
