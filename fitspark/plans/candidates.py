@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitspark.config import Role, role_of
@@ -35,38 +35,52 @@ REF = "1999-01-01"
 def candidates(spark, d: str) -> DataFrame:
     """Candidates with positions, skills, education, certificates and signals, among them nulls, zeros and contradictions."""
     line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    even, part, supp, no = F.col("l_suppkey") % 2 == 0, F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     text_of = lambda *when: F.concat(*(F.when(c, t).otherwise("") for c, t in when))
-    work = F.concat(F.when(F.col("l_returnflag") == "A", "led the service api for search").otherwise("kept a service"), text_of((F.col("l_linestatus") == "F", " at 100 qps"), (part % 6 == 0, " as internal tool")))
-    position = {
-        "company": F.when(supp % 3 == 0, "Infosys").otherwise("Maker"),
-        "title": F.when(even, "Software Engineer").otherwise("Account Manager"),
-        "end_date": F.date_format("l_shipdate", "yyyy-MM-dd"),
-        "duration_months": F.col("l_quantity"),
-        "is_current": F.lit(False),
-        "company_size": F.lit("51-200"),
-        "description": F.when(even, work).otherwise("sales calls"),
-    }
-    skill = {
-        "name": F.element_at(F.array(*(F.lit(x) for x in ("PyTorch", "SQL", "Machine Learning", "Excel", "Search Ranking"))), (part % 5 + 1).cast("int")),
-        "proficiency": F.element_at(F.array(*(F.lit(x) for x in ("beginner", "intermediate", "advanced", "expert"))), (supp % 4 + 1).cast("int")),
-        "duration_months": F.when(no != 3, part % 90),
-        "duration_given": no != 2,
-    }
-    degree = {"start_year": 2000 + supp % 3, "end_year": F.when(part % 7 == 0, 0).otherwise(2004 + part % 2)}
-    course = {"name": F.when(part % 3 == 0, "LangChain Basics").when(part % 3 == 1, "Llama Course").otherwise("Cloud"), "year": F.when(supp % 11 != 0, 2019 + supp % 6)}
+    chosen = lambda of, k: F.element_at(F.array(*(F.lit(x) for x in of)), (k % len(of) + 1).cast("int"))
+    even = lambda e: e["l_suppkey"] % 2 == 0
+
+    def position(e: Column) -> dict[str, Column]:
+        work = F.concat(F.when(e["l_returnflag"] == "A", "led the service api for search").otherwise("kept a service"), text_of((e["l_linestatus"] == "F", " at 100 qps"), (e["l_partkey"] % 6 == 0, " as internal tool")))
+        return {
+            "company": F.when(e["l_suppkey"] % 3 == 0, "Infosys").otherwise("Maker"),
+            "title": F.when(even(e), "Software Engineer").otherwise("Account Manager"),
+            "end_date": F.date_format(e["l_shipdate"], "yyyy-MM-dd"),
+            "duration_months": e["l_quantity"],
+            "is_current": F.lit(False),
+            "company_size": F.lit("51-200"),
+            "description": F.when(even(e), work).otherwise("sales calls"),
+        }
+
+    def skill(e: Column) -> dict[str, Column]:
+        return {
+            "name": chosen(("PyTorch", "SQL", "Machine Learning", "Excel", "Search Ranking"), e["l_partkey"]),
+            "proficiency": chosen(("beginner", "intermediate", "advanced", "expert"), e["l_suppkey"]),
+            "duration_months": F.when(e["l_linenumber"] != 3, e["l_partkey"] % 90),
+            "duration_given": e["l_linenumber"] != 2,
+        }
+
+    def degree(e: Column) -> dict[str, Column]:
+        return {"start_year": 2000 + e["l_suppkey"] % 3, "end_year": F.when(e["l_partkey"] % 7 == 0, 0).otherwise(2004 + e["l_partkey"] % 2)}
+
+    def course(e: Column) -> dict[str, Column]:
+        third = e["l_partkey"] % 3
+        return {"name": F.when(third == 0, "LangChain Basics").when(third == 1, "Llama Course").otherwise("Cloud"), "year": F.when(e["l_suppkey"] % 11 != 0, 2019 + e["l_suppkey"] % 6)}
 
     def members(block, have):
         """The struct of a block's type with these members; others are null."""
         return F.struct(*(have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in block.fields))
 
-    def listed(name, have, when=None):
-        item = members(CANDIDATE[name].dataType.elementType, have)
-        every = F.sort_array(F.collect_list(F.struct(no, (item if when is None else F.when(when, item)).alias("x"))))
-        return F.filter(F.transform(every, lambda e: e["x"]), lambda x: x.isNotNull()).alias(name)
-
-    lists = [listed("career_history", position), listed("skills", skill), listed("education", degree, no <= 3), listed("certifications", course, no <= 2)]
-    jobs = line.groupBy("l_orderkey").agg(*lists, F.min(part % 150).alias("notice"), F.max("l_discount").alias("rate"))
+    def listed(name, of, most=None):
+        item = lambda e: F.struct(e["l_linenumber"].alias("no"), members(CANDIDATE[name].dataType.elementType, of(e)).alias("x"))
+        some = F.col("_lines") if most is None else F.filter("_lines", lambda e: e["l_linenumber"] <= most)
+        return F.transform(F.sort_array(F.transform(some, item)), lambda e: e["x"]).alias(name)
+
+    # The few columns of a line are shuffled and collected once; the wide blocks are made of them where they are used.
+    raw = ("l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus", "l_shipdate", "l_quantity")
+    dealt = line.select("l_orderkey", "l_discount", *raw).repartition("l_orderkey")
+    gathered = dealt.groupBy("l_orderkey").agg(F.collect_list(F.struct(*raw)).alias("_lines"), F.min(F.col("l_partkey") % 150).alias("notice"), F.max("l_discount").alias("rate"))
+    lists = [listed("career_history", position), listed("skills", skill), listed("education", degree, 3), listed("certifications", course, 2)]
+    jobs = gathered.select("l_orderkey", *lists, "notice", "rate")
     rows = jobs.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     cust, order, yoe = F.col("o_custkey"), F.col("o_orderkey"), F.round(F.col("o_totalprice") / 10000)
     headline = F.when(cust % 3 == 0, F.concat(F.lit("a person with "), (yoe + cust % 7).cast("int").cast("string"), F.lit(" years of experience"))).otherwise("a person")

@@ -180,3 +180,14 @@ def test_constants_can_be_changed_for_a_role(spark):
     for changes, named in (({"integrity": {"soft": 1}}, "integrity.soft"), ({"integrity": 1}, "integrity"), ({"pool_half_life": "x"}, "pool_half_life"), ({"context": {"owner": "("}}, "context.owner")):
         with pytest.raises(ProfileError, match=named):
             role_of(ROLE, changes)
+
+
+def test_lines_are_collected_once_and_searched_once(spark):
+    from fitspark.plans import candidates as plans
+
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = plans.candidate_components(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("collect_list(") == 1 and plan.count("internal (?:knowledge base") == 1
