@@ -105,3 +105,17 @@ def test_stored_sketches_merge_and_replace_days(spark, tmp_path):
     sets = days.where("day = 0").select(F.col("users").alias("a")).join(days.where("day = 1").select(F.col("users").alias("b")))
     both = sets.select(sketches.distinct(sketches.both("a", "b")).alias("both"), sketches.distinct(sketches.only("a", "b")).alias("only"), sketches.distinct(F.lit(None).cast("binary")).alias("none")).first()
     assert (both.both, both.only, both.none) == (0, 10_000, 0)
+
+
+def test_keys_with_few_rows_are_joined_without_bins(spark):
+    r = random.Random(11)
+    rows = [(k, i, s := r.randrange(60) / 2, s + r.choice([0, 1, 2, 30])) for i, k in enumerate([1] * 30 + [2] * 4 + [3] * 2 + [None] * 9)]
+    frame = spark.createDataFrame(rows, "k int, id int, s double, e double")
+    span = (F.col("s"), F.col("e"))
+    join = lambda **more: overlap_join(frame, frame, on=["k"], left_span=span, right_span=span, width=1.0, touch=True, **more)
+    pairs = lambda df: sorted((x["left"]["id"], x["right"]["id"]) for x in df.collect())
+    want = sorted((a[1], b[1]) for a in rows for b in rows if a[0] is not None and a[0] == b[0] and a[2] <= b[3] and b[2] <= a[3])
+    for few in (0, 3, 10, 256):
+        assert pairs(join(few_rows=few)) == want, few
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan(join()) and "Generate" in plan(join(few_rows=3))
