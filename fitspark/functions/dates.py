@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fitspark.functions import arrays
+
 
 def parse_date(c: Column) -> Column:
     """The date in the first ten characters, padded or not; null if there is none."""
@@ -19,7 +21,8 @@ def months(start: Column, end: Column) -> Column:
 def months_since(end: Column, is_current: Column, ref: Column) -> Column:
     """Months since a job ended; 0 while it goes on, or if its end is unknown or ahead."""
     day = parse_date(F.nullif(end, F.lit("")))
-    return F.when(~F.coalesce(is_current, F.lit(False)) & day.isNotNull(), F.greatest(F.lit(0.0), months(day, ref))).otherwise(F.lit(0.0))
+    # The text is parsed once, though months() takes the date apart.
+    return arrays.bound(day, lambda d: F.when(~F.coalesce(is_current, F.lit(False)) & d.isNotNull(), F.greatest(F.lit(0.0), months(d, ref))).otherwise(F.lit(0.0)))
 
 
 def half_life(age: Column, half: float) -> Column:
