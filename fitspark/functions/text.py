@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fitspark.dialect import java_pattern
+from fitspark.functions import arrays
 from fitspark.functions.entities import unescape
 
 # Fixed values.
@@ -76,13 +77,13 @@ def years_claimed(c: Column) -> Column:
 
 def notice_days(c: Column) -> Column:
     """Days of notice that a text states, 0 to 180, or null."""
-    low = F.lower(c)
-    take = lambda rx: F.nullif(F.regexp_extract(low, rx, 1), F.lit("")).try_cast("int")
-    days = take(NOTICE_DAYS)
-    mons = take(NOTICE_MONTHS) * 30
-    now = F.when(low.rlike(NOTICE_NONE), 0)
-    found = F.coalesce(days, mons, now)
-    return F.when(found.isNotNull(), F.least(F.lit(180), F.greatest(F.lit(0), found)))  # greatest() would skip a null
+
+    def stated(low: Column) -> Column:
+        take = lambda rx: F.regexp_extract(low, rx, 1).try_cast("int")
+        return F.coalesce(take(NOTICE_DAYS), take(NOTICE_MONTHS) * 30, F.when(low.rlike(NOTICE_NONE), 0))
+
+    # Numbers have no sign; least() would skip a null.
+    return arrays.bound(arrays.bound(F.lower(c), stated), lambda n: F.when(n > 180, 180).otherwise(n))
 
 
 def score_of(c: Column) -> Column:

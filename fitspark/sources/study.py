@@ -113,9 +113,9 @@ def candidates_of_resumes(resumes: DataFrame, *, ref: Column, key: Column, colum
     What a résumé does not state is null. Positions are dated backwards from `ref`.
     """
     t = F.coalesce(F.col(column), F.lit(""))
-    head = F.get(F.split(resume_section(t, "SUMMARY"), "\n"), F.lit(0))
-    school = F.regexp_extract(resume_section(t, "EDUCATION"), r"^([^,\n]+), ([^,\n]+), (\d{4})", 0)
-    part = lambda i: F.nullif(F.regexp_extract(school, r"^([^,\n]+), ([^,\n]+), (\d{4})", i), F.lit(""))
+    # Three parts without commas, or an empty one.
+    school = F.split(F.regexp_extract(resume_section(t, "EDUCATION"), r"^[^,\n]+, [^,\n]+, \d{4}", 0), ", ")
+    part = lambda i: F.get("_school", F.lit(i))
     first_line = F.get(F.split(resume_section(t, "SKILLS"), "\n"), F.lit(0))
     names = F.filter(F.transform(F.split(first_line, ","), lambda x: F.trim(x)), lambda x: x != "")
 
@@ -125,12 +125,13 @@ def candidates_of_resumes(resumes: DataFrame, *, ref: Column, key: Column, colum
     of = lambda name: CANDIDATE[name].dataType.elementType
     date = lambda d: F.date_format(d, "yyyy-MM-dd")
     job = lambda e: members(of("career_history"), {"title": e["title"], "company": e["company"], "start_date": date(e["start_date"]), "end_date": date(e["end_date"]), "duration_months": e["months"], "is_current": e["end_date"].isNull(), "description": e["description"]})
-    rows = resumes.withColumn("_jobs", dated_entries(resume_entries(t), ref))
+    # What is used more than once is a column: in an expression it would be searched for again at each use.
+    rows = resumes.withColumns({"_jobs": dated_entries(resume_entries(t), ref), "_summary": resume_section(t, "SUMMARY"), "_school": school})
     made = {
         "candidate_id": key,
-        "profile": members(CANDIDATE["profile"].dataType, {"headline": head, "summary": resume_section(t, "SUMMARY"), "years_of_experience": text.years_claimed(t), "current_title": F.get("_jobs", F.lit(0))["title"], "current_company": F.get("_jobs", F.lit(0))["company"]}),
+        "profile": members(CANDIDATE["profile"].dataType, {"headline": F.get(F.split("_summary", "\n"), F.lit(0)), "summary": F.col("_summary"), "years_of_experience": text.years_claimed(t), "current_title": F.get("_jobs", F.lit(0))["title"], "current_company": F.get("_jobs", F.lit(0))["company"]}),
         "career_history": F.transform("_jobs", job),
-        "education": F.when(school != "", F.array(members(of("education"), {"degree": part(1), "institution": part(2), "end_year": part(3)}))).otherwise(F.array().cast(CANDIDATE["education"].dataType)),
+        "education": F.when(F.size("_school") == 3, F.array(members(of("education"), {"degree": part(0), "institution": part(1), "end_year": part(2)}))).otherwise(F.array().cast(CANDIDATE["education"].dataType)),
         "skills": F.transform(names, lambda n: members(of("skills"), {"name": n, "duration_given": F.lit(False)})),
         "signals": members(CANDIDATE["signals"].dataType, {"notice_period_days": text.notice_days(t)}),
     }

@@ -449,6 +449,23 @@ def test_resume_fields_are_read_by_several_tasks(spark, tmp_path):
     assert workflows.resume_fields(spark, str(tmp_path)).rdd.getNumPartitions() == 3
 
 
+def test_what_resumes_state_is_searched_for_once(spark):
+    from fitspark.sources import study
+
+    made = ["SUMMARY\nx\nEDUCATION\nBSc,  City, 2010, more\nSKILLS\na", "EDUCATION\nBSc, City\n5 days notice", "EDUCATION\nBSc, City, x\n999 days notice", "2 months notice; immediate joiner", "Immediately available", "", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(made)], "i int, text string")
+    c = study.candidates_of_resumes(rows, ref=F.lit("2026-06-06").cast("date"), key=F.col("i").cast("string"))
+    out = c.select("i", "profile.summary", "education.degree", "education.institution", "education.end_year", "signals.notice_period_days", "career_history")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert [plan.count(x) for x in (r"\n)SUMMARY\n(", r"\n)EDUCATION\n(", "days?", "months?", "joiner")] == [1] * 5
+    got = [tuple(x)[1:6] for x in out.orderBy("i").collect()]
+    assert got == [("x", ["BSc"], [" City"], [2010], None), ("", [], [], [], 5), ("", [], [], [], 180), ("", [], [], [], 60), ("", [], [], [], 0), ("", [], [], [], None), ("", [], [], [], None)]
+
+
 def test_customers_are_compiled_by_several_tasks(spark, tmp_path, monkeypatch):
     from fitspark.plans import workflows
 
