@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitspark.functions import arrays
-
 OBJECT, LIST = "map<string,variant>", "array<variant>"
 
 
@@ -26,20 +24,23 @@ def _under(path: Column, name: Column) -> Column:
 def _levels(rows: DataFrame, c: str) -> Column:
     """A bound of the levels of a document: it has no more than brackets that open."""
     json = F.col(c) if rows.schema[c].dataType.simpleString() == "string" else F.to_json(F.col(c))
-    return F.coalesce(F.length(json) - F.length(F.translate(json, "{[", "")), F.lit(0))
+    without = F.replace(F.replace(json, F.lit("{"), F.lit("")), F.lit("["), F.lit(""))
+    return F.coalesce(F.length(json) - F.length(without), F.lit(0))
 
 
-def _opened(start: Column, levels: Column, children) -> Column:
-    """The nodes (structs with a boolean `open`) that are left when all that are open are replaced by children(node), level by level."""
+def _opened(start: Column, levels: Column, row: str, is_open, children) -> Column:
+    """The nodes (`row` each) that are left when all that is_open(node) are replaced by children(them), level by level.
 
-    def state(nodes: Column) -> Column:
-        # Whether any is open is kept, so that steps beyond the last level cost nothing, however many nodes there are.
-        return arrays.bound(nodes, lambda n: F.struct(F.exists(n, lambda x: x["open"]).alias("more"), n.alias("nodes")))
+    Those that are left are set aside at their own level, so that none is copied at
+    those below, and steps beyond the last level cost nothing.
+    """
 
     def step(s: Column, _: Column) -> Column:
-        return F.when(s["more"], state(F.flatten(F.transform(s["nodes"], lambda x: F.when(x["open"], children(x)).otherwise(F.array(x)))))).otherwise(s)
+        left = F.concat(s["left"], F.array(F.filter(s["nodes"], lambda x: ~is_open(x))))
+        return F.when(F.size(s["nodes"]) > 0, F.struct(children(F.filter(s["nodes"], is_open)).alias("nodes"), left.alias("left"))).otherwise(s)
 
-    return F.aggregate(F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.expr("cast(array() as array<int>)")), state(start), step, lambda s: s["nodes"])
+    state = F.struct(start.alias("nodes"), F.expr(f"cast(array() as array<array<{row}>>)").alias("left"))
+    return F.aggregate(F.sequence(F.lit(0), levels), state, step, lambda s: F.flatten(s["left"]))
 
 
 def json_leaves(docs: DataFrame, *, keys: list[str], doc: str = "doc", arrays: bool = True) -> DataFrame:
@@ -52,26 +53,27 @@ def json_leaves(docs: DataFrame, *, keys: list[str], doc: str = "doc", arrays: b
     repeated leaves.
     """
 
-    def node(x: Column) -> Column:
-        some = lambda c: F.coalesce(F.size(x[c]) > 0, F.lit(False))
-        return F.struct(*(x[c].alias(c) for c in ("path", "v", "members", "items")), (some("members") | some("items")).alias("open"))
+    row = f"struct<path:string,v:variant,members:{OBJECT},items:{LIST}>"
 
-    def read(x: Column) -> Column:
+    def read(nodes: Column) -> Column:
         # Members or items are null if it is no object or list.
-        items = F.try_variant_get(x["v"], "$", LIST) if arrays else F.lit(None).cast(LIST)
-        return F.struct(x["path"].alias("path"), x["v"].alias("v"), F.try_variant_get(x["v"], "$", OBJECT).alias("members"), items.alias("items"))
+        items = lambda v: F.try_variant_get(v, "$", LIST) if arrays else F.lit(None).cast(LIST)
+        return F.transform(nodes, lambda x: F.struct(x["path"].alias("path"), x["v"].alias("v"), F.try_variant_get(x["v"], "$", OBJECT).alias("members"), items(x["v"]).alias("items")))
 
-    def nodes(x: Column) -> Column:
-        return F.transform(F.transform(x, read), node)
+    def is_open(x: Column) -> Column:
+        some = lambda c: F.coalesce(F.size(x[c]) > 0, F.lit(False))
+        return some("members") | some("items")
 
-    def children(x: Column) -> Column:
+    def within(x: Column) -> Column:
         members = F.transform(F.map_entries(x["members"]), lambda e: F.struct(_under(x["path"], e["key"]).alias("path"), e["value"].alias("v")))
         items = F.transform(x["items"], lambda v, i: F.struct(F.concat(x["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"), v.alias("v")))
-        return nodes(F.coalesce(members, items))
+        return F.coalesce(members, items)
 
-    rows = docs.select(*keys, _document(docs, doc).alias("_v"), _levels(docs, doc).alias("_levels")).where("_v is not null")
-    start = nodes(F.array(F.struct(F.lit("").alias("path"), F.col("_v").alias("v"))))
-    leaves = rows.select(*keys, F.inline(F.transform(_opened(start, F.col("_levels"), children), lambda x: F.struct(x["path"].alias("path"), x["v"].alias("v")))))
+    rows = docs.select(*keys, _document(docs, doc).alias("_v"), _levels(docs, doc).alias("_levels"))
+    # Documents that are null have no node; a filter of rows would go before what deals them to tasks, and read each document there, too.
+    root = F.filter(F.array(F.struct(F.lit("").alias("path"), F.col("_v").alias("v"))), lambda x: x["v"].isNotNull())
+    left = _opened(read(root), F.col("_levels"), row, is_open, lambda nodes: read(F.flatten(F.transform(nodes, within))))
+    leaves = rows.select(*keys, F.inline(F.transform(left, lambda x: F.struct(x["path"].alias("path"), x["v"].alias("v")))))
     return leaves.select(*keys, "path", kind_of(F.col("v")).alias("kind"), F.to_json("v").alias("value"))
 
 
@@ -90,19 +92,24 @@ def json_corrections(pairs: DataFrame, *, keys: list[str], before: str = "before
     def shown(v: Column) -> Column:
         return F.nullif(F.to_json(v), F.lit("null"))
 
+    row = f"struct<path:string,b:variant,a:variant,bm:{OBJECT},am:{OBJECT}>"
+
+    def is_open(x: Column) -> Column:
+        return x["bm"].isNotNull() & x["am"].isNotNull()
+
     def differing(pairs: Column) -> Column:
         """The (path, b, a) that are two objects, which are open, or differ."""
         read = F.transform(pairs, lambda x: F.struct(*(x[c].alias(c) for c in ("path", "b", "a")), F.try_variant_get(x["b"], "$", OBJECT).alias("bm"), F.try_variant_get(x["a"], "$", OBJECT).alias("am")))
-        told = F.transform(read, lambda x: F.struct(*(x[c].alias(c) for c in ("path", "b", "a", "bm", "am")), (x["bm"].isNotNull() & x["am"].isNotNull()).alias("open")))
-        return F.filter(told, lambda x: x["open"] | ~shown(x["b"]).eqNullSafe(shown(x["a"])) & ~F.coalesce(_number(x["b"]) == _number(x["a"]), F.lit(False)))
+        return F.filter(read, lambda x: is_open(x) | ~shown(x["b"]).eqNullSafe(shown(x["a"])) & ~F.coalesce(_number(x["b"]) == _number(x["a"]), F.lit(False)))
 
-    def children(x: Column) -> Column:
+    def within(x: Column) -> Column:
         names = F.array_union(F.map_keys(x["bm"]), F.map_keys(x["am"]))
-        return differing(F.transform(names, lambda n: F.struct(_under(x["path"], n).alias("path"), F.element_at(x["bm"], n).alias("b"), F.element_at(x["am"], n).alias("a"))))
+        return F.transform(names, lambda n: F.struct(_under(x["path"], n).alias("path"), F.element_at(x["bm"], n).alias("b"), F.element_at(x["am"], n).alias("a")))
 
     rows = pairs.select(*keys, _document(pairs, before).alias("_b"), _document(pairs, after).alias("_a"), F.least(_levels(pairs, before), _levels(pairs, after)).alias("_levels"))
     start = differing(F.array(F.struct(F.lit("").alias("path"), F.col("_b").alias("b"), F.col("_a").alias("a"))))
-    told = F.transform(_opened(start, F.col("_levels"), children), lambda x: F.struct(x["path"].alias("path"), shown(x["b"]).alias("before"), shown(x["a"]).alias("after")))
+    left = _opened(start, F.col("_levels"), row, is_open, lambda nodes: differing(F.flatten(F.transform(nodes, within))))
+    told = F.transform(left, lambda x: F.struct(x["path"].alias("path"), shown(x["b"]).alias("before"), shown(x["a"]).alias("after")))
     return rows.select(*keys, F.inline(told)).select(*keys, "path", "before", "after")
 
 

@@ -178,3 +178,11 @@ def test_leaves_equal_a_plain_recursion_without_a_shuffle(spark):
     for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (out, both)):
         assert "Exchange" not in plan and "UnionLoop" not in plan
     assert both.where("id = 150").count() == 1
+
+
+def test_documents_are_read_once_and_after_they_are_dealt_to_tasks(spark):
+    df = spark.createDataFrame([(1, '{"a": [1, {}]}'), (2, None), (3, "oops"), (4, "null")], "id int, doc string")
+    out = json_leaves(df.repartition(2), keys=["id"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.index("parseJson") < plan.index("Repartition")
+    assert sorted(map(tuple, out.collect())) == [(1, "a[0]", "BIGINT", "1"), (1, "a[1]", "OBJECT", "{}"), (4, "", "VOID", "null")]
